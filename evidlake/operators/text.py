@@ -138,13 +138,14 @@ def tiles(df: DataFrame, item: str, text: str, g: int) -> DataFrame:
 
 def shingles(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """Distinct word shingles of a whole text (the text itself when it is shorter)."""
-    parts = F.split(text, " ")
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(parts) - (words - 1), F.lit(1))),
-            lambda i: F.array_join(F.slice(parts, i, words), " "),
+    # The words are bound to a lambda variable so they are split once, not once per shingle.
+    def of(parts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (words - 1), F.lit(1)))
+        return F.array_distinct(
+            F.transform(starts, lambda i: F.array_join(F.slice(parts, i, words), " "))
         )
-    )
+
+    return F.transform(F.array(F.split(text, " ")), of)[0]
 
 
 def with_minima(df: DataFrame, text: str, name: str = "minima") -> DataFrame:
@@ -153,11 +154,12 @@ def with_minima(df: DataFrame, text: str, name: str = "minima") -> DataFrame:
     Row-local: no shingle is ever shuffled.
     """
     hashed = df.withColumn("__d", F.transform(shingles(F.col(text)), lambda s: F.sha2(s, 256)))
-    least = [
-        F.array_min(F.transform(F.col("__d"), lambda d, k=k: F.substring(d, 1 + 8 * k, 8)))
-        for k in range(8)
-    ]
-    return hashed.withColumn(name, F.array(*least)).drop("__d")
+
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(F.col("__d"), lambda d: F.substring(d, 1 + 8 * k, 8)))
+
+    return hashed.withColumn(name, F.array(*[least(k) for k in range(8)])).drop("__d")
 
 
 def with_sketch(df: DataFrame, text: str) -> DataFrame:

@@ -6,6 +6,7 @@ AREAS = (
     "catalog",
     "scalars",
     "evaluation",
+    "retrieval",
 )
 
 

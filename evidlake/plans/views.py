@@ -49,7 +49,7 @@ VIEWS: dict[str, str] = {
     "V_LICENSE": "select l.l_orderkey * 10 + l.l_linenumber as license_id, l.l_orderkey as claim_id, l.l_orderkey % 500 as work_id, case when l.l_linenumber = 7 then -1 else o.o_custkey end as tenant_id, case l.l_returnflag when 'N' then 'ACTIVE' when 'A' then 'SUSPENDED' else 'REVOKED' end as state, case l.l_linestatus when 'O' then 'marketing' else 'editorial' end as permitted_use, l.l_shipdate as effective_from, l.l_shipdate + interval '30' day as effective_until from lineitem l join orders o on o.o_orderkey = l.l_orderkey",
     "V_SCAN": "select o_orderkey as scan_id, o_custkey as tenant_id, case o_orderkey % 5 when 0 then 'MATCH_FOUND' when 1 then 'INCONCLUSIVE' when 2 then 'NO_MATCH_IN_CHECKED_SOURCES' when 3 then 'SCOPE_INCOMPLETE' else 'ERROR' end as match_status, case when o_orderkey % 5 = 2 then 'COMPLETE' when o_orderkey % 7 < 4 then 'COMPLETE' when o_orderkey % 7 = 4 then 'PARTIAL' when o_orderkey % 7 = 5 then 'DEGRADED' else 'TRUNCATED' end as coverage_status, case o_orderkey % 4 when 0 then 'LIKELY_AI_GENERATED' when 1 then 'NO_AI_ORIGIN_EVIDENCE_DETECTED' when 2 then 'AI_ORIGIN_REVIEW_CANDIDATE' end as origin_class, case o_orderkey % 3 when 0 then 'HIGH' when 1 then 'LOW' else 'REVIEW' end as style_tier, case when o_orderkey % 2 = 0 then 'marketing' else 'editorial' end as intended_use, o_orderkey % 500 as work_id, o_orderdate as created_at from orders",
     "V_RIGHTS": "select l_orderkey as subject_id, l_orderkey * 10 + l_linenumber as rights_event_id, case l_linenumber % 4 when 0 then 'CORROBORATED' when 1 then 'DISPUTED' when 2 then 'SUPERSEDED' else 'REVOKED' end as event_type, l_shipdate as created_at from lineitem",
-    "V_COVER": f"select l_suppkey as scan_id, l_orderkey * 10 + l_linenumber as ref_id, l_linenumber <= 3 as is_candidate, {h32('concat(l_suppkey, chr(45), l_orderkey * 10 + l_linenumber)')} % 10 as outcome from lineitem",
+    "V_COVER": "select l_orderkey as scan_id, l_orderkey * 10 + l_linenumber as ref_id, l_linenumber <= 3 as is_candidate, " + h32("concat(l_orderkey, '-', l_linenumber, '-', l_partkey)") + " % 10 as outcome from lineitem",
     "V_POINT": "select l_suppkey as pair_id, l_orderkey * 10 + l_linenumber as link_id, least(1e0, l_discount * 10e0) as x, least(1e0, l_tax * 12e0) as y, l_quantity / 50e0 as err from lineitem",
     "V_STMT": "select conv_id as scan_id, turn, conv_id * 1000 + turn as statement_id, lag(conv_id * 1000 + turn) over (partition by conv_id order by turn) as previous_statement_id, sha256(text) as payload_digest, case when turn % 5 = 0 then 'RESULT' when turn % 5 = 1 then 'DISPUTE' when turn % 5 = 2 then 'CORRECTION' when turn % 5 = 3 then 'SUPERSESSION' else 'REVOCATION' end as statement_type from conversations",
     "V_LEAF": "select row_number() over (order by doc_id) - 1 as leaf_index, doc_id as statement_id, sha256(text) as packet_hash, 1704067200 + doc_id * 7 as created_s from documents where doc_id % 11 <> 0",

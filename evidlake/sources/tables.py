@@ -233,9 +233,9 @@ class Tables:
     def coverage_rows(self) -> DataFrame:
         """Recorded manifest rows of each scan; outcome 0 = failed, 1 = not verified, else verified."""
         return self.raw("lineitem").selectExpr(
-            "l_suppkey as scan_id", "l_orderkey * 10 + l_linenumber as ref_id",
+            "l_orderkey as scan_id", "l_orderkey * 10 + l_linenumber as ref_id",
             "l_linenumber <= 3 as is_candidate",
-            H32.format("concat(l_suppkey, '-', l_orderkey * 10 + l_linenumber)") + " % 10 as outcome",
+            H32.format("concat(l_orderkey, '-', l_linenumber, '-', l_partkey)") + " % 10 as outcome",
         )
 
     def points(self) -> DataFrame:
