@@ -7,6 +7,7 @@ AREAS = (
     "scalars",
     "evaluation",
     "retrieval",
+    "fusion",
 )
 
 

@@ -71,7 +71,7 @@ _BANDS = "union all ".join(
        select doc_id as work_id, leader as candidate_id, count(*) as shared_bands from e where doc_id <> leader group by all""",
 )
 def jn4(t):
-    return S.lsh_candidates(t.works(), "work_id", "text")
+    return S.lsh_candidates(t.texts().withColumnRenamed("doc_id", "work_id"), "work_id", "text")
 
 
 _LATEST = "select work_id, max(version) as version, arg_max(sha256, version) as version_sha256 from V_VERSION group by 1"
@@ -326,7 +326,7 @@ PAIR_SQL = f"select doc_id, item_id, count(*) as shared, max(n)::bigint as passa
 
 
 def pairs(t: Tables):
-    return S.nominate_by_shingles(t.raw("documents"), t.raw("benchmark"))
+    return S.nominate_by_shingles(t.texts(), t.raw("benchmark"))
 
 
 def containment(doc_id: int, item_id: int, text: str, passage: str) -> float:

@@ -12,6 +12,15 @@ def bits(e: str, o: int) -> str:
     )
 
 
+def wlogit(score: str, weight: str, where: str = "true") -> str:
+    """Sigmoid of the weighted mean logit as an aggregate."""
+    p = f"least(greatest({score}, 1e-5), 1 - 1e-5)"
+    return (
+        f"(1 / (1 + exp(-(sum({weight} * ln({p} / (1 - {p}))) filter (where {where}) / "
+        f"sum({weight}) filter (where {where})))))"
+    )
+
+
 # A text's distinct word shingles, and one byte of a min-hash.
 SHINGLES = (
     "list_distinct(list_transform(generate_series(1, greatest(len(string_split({0}, ' ')) - 4, 1)), "
@@ -54,4 +63,8 @@ VIEWS: dict[str, str] = {
     "V_STMT": "select conv_id as scan_id, turn, conv_id * 1000 + turn as statement_id, lag(conv_id * 1000 + turn) over (partition by conv_id order by turn) as previous_statement_id, sha256(text) as payload_digest, case when turn % 5 = 0 then 'RESULT' when turn % 5 = 1 then 'DISPUTE' when turn % 5 = 2 then 'CORRECTION' when turn % 5 = 3 then 'SUPERSESSION' else 'REVOCATION' end as statement_type from conversations",
     "V_LEAF": "select row_number() over (order by doc_id) - 1 as leaf_index, doc_id as statement_id, sha256(text) as packet_hash, 1704067200 + doc_id * 7 as created_s from documents where doc_id % 11 <> 0",
     "V_CKPT": "select tree_size, tree_size % 30 = 0 as confirmed, tree_size % 20 = 0 as queued from (select row_number() over (order by doc_id) as tree_size from documents where doc_id % 11 <> 0) t where tree_size % 10 = 0",
+    "V_MEMBER": "select *, greatest(0e0, 1e0 - sd / 0.18e0) as st, case when spatial_corroborated then greatest(o, dc, sm) else greatest(o, dc) end as agg from (select asset_id, provider_no, max(family) as family, bool_or(calibrated) as calibrated, max(score) filter (where view_no = 0) as o, "
+    + wlogit("score", "weight", "scope = 'DELIVERY_TRANSFORM'") + " as dc, " + wlogit("score", "weight", "scope = 'DELIVERY_TRANSFORM' and view_no > 0") + " as td, stddev_pop(score) filter (where scope = 'DELIVERY_TRANSFORM') as sd, median(score) filter (where scope = 'SPATIAL_CROP') as sm, count(*) filter (where scope = 'SPATIAL_CROP' and score >= 0.58) as sup, count(*) filter (where scope = 'SPATIAL_CROP' and score >= 0.58) >= 3 as spatial_corroborated from V_DET group by asset_id, provider_no) q",
+    "V_FAMILY": "select asset_id, family, round(" + wlogit("a6", "rel") + ", 6) as score, avg(rel) as rel, bool_and(calibrated) as calibrated, bool_and(provider_no < 2 or asset_id % 3 = 0) as verified, avg(s6) as stability, count(*) as members from (select asset_id, family, provider_no, calibrated, round(agg, 6) as a6, round(st, 6) as s6, (case when calibrated then 1e0 else 0.78e0 end) * (0.45e0 + 0.55e0 * round(st, 6)) as rel from V_MEMBER) m group by asset_id, family",
+    "V_FUSED": "select asset_id, " + wlogit("score", "rel") + " as fused, case when count(*) > 1 then stddev_pop(score) end as disagreement, sum(stability * rel) / sum(rel) as stability, min(stability) as min_stability, sum(members)::bigint as members, count(*) as observed, count(*) filter (where verified) as families, count(*) filter (where verified and calibrated) as cal, count(*) filter (where stability >= 0.35 and score >= 0.58) as obs_pos, count(*) filter (where verified and stability >= 0.35 and score >= 0.58) as pos, count(*) filter (where verified and stability >= 0.35 and score >= 0.78) as strong, count(*) filter (where verified and calibrated and stability >= 0.35 and score >= 0.78) as cal_strong, count(*) filter (where verified and calibrated and stability >= 0.35 and score >= 0.58) as cal_pos, count(*) filter (where verified and score >= 0.58) as ver_pos from V_FAMILY group by asset_id",
 }

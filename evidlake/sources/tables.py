@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidlake.functions.expr import sign_bits
 from evidlake.functions.running import ordinal, previous
 from evidlake.operators.text import region_views, with_sketch
+from evidlake.session import spread
 
 # Rows of one chunk when ids are numbered in order (see functions.running).
 ID_CHUNK = 100_000
@@ -25,6 +26,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, *columns: str) -> DataFrame:
+        """Documents for work that is heavy per row."""
+        return spread(self.raw("documents").select("doc_id", "text", *columns), "doc_id")
+
     # -- catalog ---------------------------------------------------------------------------------
     def works(self) -> DataFrame:
         return self.raw("documents").selectExpr(
@@ -58,13 +63,13 @@ class Tables:
         )
 
     def lines(self) -> DataFrame:
-        return self.raw("documents").selectExpr("doc_id", "posexplode(split(text, '\\n')) as (pos, line)").selectExpr(
+        return self.texts().selectExpr("doc_id", "posexplode(split(text, '\\n')) as (pos, line)").selectExpr(
             "doc_id", "cast(pos + 1 as bigint) as line_no", "line"
         )
 
     def words(self) -> DataFrame:
         return (
-            self.raw("documents")
+            self.texts()
             .selectExpr("doc_id", "posexplode(split(text, ' ')) as (pos, word)")
             .where("word <> ''")
             .selectExpr(
@@ -78,11 +83,11 @@ class Tables:
         )
 
     def chunks(self) -> DataFrame:
-        return region_views(self.raw("documents").select("doc_id", "text"), "doc_id", "text")
+        return region_views(self.texts(), "doc_id", "text")
 
     def fingerprints(self) -> DataFrame:
         """64-bit text sketches of all works, as two halves."""
-        docs = self.raw("documents").select(F.col("doc_id").alias("item_id"), "text")
+        docs = self.texts().withColumnRenamed("doc_id", "item_id")
         return with_sketch(docs, "text").drop("text")
 
     # -- vectors ---------------------------------------------------------------------------------
