@@ -8,6 +8,8 @@ AREAS = (
     "evaluation",
     "retrieval",
     "fusion",
+    "rights",
+    "profiles",
 )
 
 
