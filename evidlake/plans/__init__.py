@@ -10,6 +10,7 @@ AREAS = (
     "fusion",
     "rights",
     "profiles",
+    "ledger",
 )
 
 

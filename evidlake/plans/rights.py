@@ -341,14 +341,30 @@ def prj19(t):
     return lanes(t).select("scan_id", D.findings_line().alias("findings"))
 
 
-@query("lg6_rights_replay")
+# A sequential fold over the sorted history: STATE:version:end.
+_FOLD = "list_reduce({0}, lambda acc, x: case when split_part(acc, ':', 1) in ('SUPERSEDED', 'REVOKED') or split_part(acc, ':', 1) = split_part(x, ':', 1) then acc else concat(split_part(x, ':', 1), ':', split_part(acc, ':', 2)::bigint + 1, ':', split_part(x, ':', 2)) end, 'ASSERTED:1:')"
+_HIST = "select subject_id, rights_event_id, event_type, created_at, list(concat(event_type, ':', epoch_us(created_at))) over (partition by subject_id order by created_at, rights_event_id rows unbounded preceding) as hist from V_RIGHTS"
+
+
+@query(
+    "lg6_rights_replay",
+    f"""with h as ({_HIST}), f as (select *, {_FOLD.format('hist')} as a, {_FOLD.format('hist[1:len(hist) - 1]')} as b from h)
+        select subject_id, rights_event_id, event_type, case when split_part(b, ':', 1) in ('SUPERSEDED', 'REVOKED') then 'TERMINAL' else split_part(b, ':', 1) end as state_before, a <> b as legal, split_part(a, ':', 2)::bigint as version,
+          case when a <> b and event_type in ('SUPERSEDED', 'REVOKED') then epoch_us(created_at) end as effective_until_us from f""",
+)
 def lg6(t):
-    return R.replay_rights(t.rights_events())
+    out = R.replay_rights(t.rights_events()).drop("created_at")
+    return out.withColumn("effective_until_us", F.unix_micros("effective_until")).drop("effective_until")
 
 
-@query("lg6_current_rights")
+@query(
+    "lg6_current_rights",
+    f"""with h as ({_HIST}), m as (select subject_id, arg_max(hist, len(hist)) as hist from h group by 1), f as (select subject_id, len(hist) as n, {_FOLD.format('hist')} as a from m)
+        select subject_id, split_part(a, ':', 1) as state, split_part(a, ':', 2)::bigint as version, case when split_part(a, ':', 1) in ('SUPERSEDED', 'REVOKED') then split_part(a, ':', 3)::bigint end as effective_until_us, n - split_part(a, ':', 2)::bigint + 1 as rejected from f""",
+)
 def lg6b(t):
-    return R.current_rights(R.replay_rights(t.rights_events()))
+    out = R.current_rights(R.replay_rights(t.rights_events()))
+    return out.withColumn("effective_until_us", F.unix_micros("effective_until")).drop("effective_until")
 
 
 @query(
