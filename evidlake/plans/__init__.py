@@ -11,6 +11,8 @@ AREAS = (
     "rights",
     "profiles",
     "ledger",
+    "operations",
+    "plugins",
 )
 
 
