@@ -151,16 +151,17 @@ def idempotency(requests: DataFrame, keys: list[str], row: str) -> DataFrame:
     The first request per key is an aggregate; requests meet it in a join that spreads hot keys.
     """
     k = F.concat_ws("|", *keys)
-    first = requests.groupBy(k.alias("__key")).agg(F.min(F.struct("ts", row, "digest")).alias("__first"))
+    first = requests.groupBy(k.alias("__key")).agg(F.min(F.struct("ts", row, "digest")).alias("f"))
+    first = first.select("__key", F.col(f"f.{row}").alias("__first_row"), F.col("f.digest").alias("__first_digest"))
     out = join_unique(requests.withColumn("__key", k), first, "__key", row, "inner")
     verdict = cascade(
         [
-            (F.col(row) == F.col(f"__first.{row}"), "NEW"),
-            (F.col("digest") == F.col("__first.digest"), "REPLAY"),
+            (F.col(row) == F.col("__first_row"), "NEW"),
+            (F.col("digest") == F.col("__first_digest"), "REPLAY"),
         ],
         "CONFLICT",
     )
-    return out.withColumn("outcome", verdict).drop("__key", "__first")
+    return out.withColumn("outcome", verdict).drop("__key", "__first_row", "__first_digest")
 
 
 def trailing_count(df: DataFrame, key: str, row: str, ts: str, hours: int) -> DataFrame:
@@ -307,9 +308,11 @@ def accept_attestations(
         ),
     )
     k = F.concat_ws("|", "tenant_id", "body_hash")
-    first = j.where("refusal is null").groupBy(k.alias("__key")).agg(F.min(F.struct("issued_us", "attestation_id")).alias("__f"))
+    first = j.where("refusal is null").groupBy(k.alias("__key")).agg(
+        F.min_by("attestation_id", F.struct("issued_us", "attestation_id")).alias("__first_id")
+    )
     out = join_unique(j.withColumn("__key", k), first, "__key", "attestation_id")
-    replay = c("refusal").isNull() & (c("__f.attestation_id") != c("attestation_id"))
+    replay = c("refusal").isNull() & (c("__first_id") != c("attestation_id"))
     return out.withColumn("refusal", F.when(replay, "REPLAYED_BODY").otherwise(c("refusal"))).withColumn(
         "accepted", c("refusal").isNull()
-    ).drop("__key", "__f", "__readable", "__active", "__status")
+    ).drop("__key", "__first_id", "__readable", "__active", "__status")

@@ -13,6 +13,7 @@ AREAS = (
     "ledger",
     "operations",
     "plugins",
+    "streams",
 )
 
 
