@@ -146,26 +146,20 @@ def backoff_seconds(attempts: Column, cap: int) -> Column:
 
 def hmac_sha256(key: Column, message: Column) -> Column:
     """HMAC of two binary columns from nested digests (keys up to one 64-byte block)."""
-    block = F.hex(F.rpad(key, 64, F.lit(bytes(1))))
-    pad = lambda mask: F.unhex(
-        F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(63)),
-                lambda i: F.lpad(
-                    F.hex(
-                        F.conv(F.substring(block, i * 2 + 1, F.lit(2)), 16, 10)
-                        .cast("bigint")
-                        .bitwiseXOR(F.lit(mask).cast("bigint"))
-                    ),
-                    2,
-                    "0",
-                ),
-            ),
-            "",
-        )
-    )
-    inner = F.unhex(F.sha2(F.concat(pad(0x36), message), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
+    block = F.rpad(F.hex(key), 128, "0")
+
+    def pad(mask: int) -> Column:
+        words = [
+            F.lpad(
+                F.hex(F.conv(F.substring(block, 1 + 8 * i, 8), 16, 10).cast("bigint").bitwiseXOR(F.lit(mask).cast("bigint"))),
+                8, "0",
+            )
+            for i in range(16)
+        ]
+        return F.unhex(F.concat(*words))
+
+    inner = F.unhex(F.sha2(F.concat(pad(0x36363636), message), 256))
+    return F.sha2(F.concat(pad(0x5C5C5C5C), inner), 256)
 
 
 def leaf_hash(hex_digest: Column) -> Column:

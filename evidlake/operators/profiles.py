@@ -154,7 +154,7 @@ def exemplars(anchors: DataFrame, n: int = 3) -> DataFrame:
     """The n members of its own profile nearest to each anchor, ties by id."""
     u = anchors.select("item_id", F.col("profile_key").alias("scope"), F.col("embedding").alias("vec"))
     q = u.withColumnRenamed("item_id", "query_id")
-    return nearest(q, u.withColumnRenamed("item_id", "ref_id"), n)
+    return nearest(q, u.withColumnRenamed("item_id", "ref_id"), n, scoped=True)
 
 
 def robust_member(anchors: DataFrame, dim: int, n: int = 3) -> DataFrame:

@@ -44,12 +44,14 @@ def _unit_rows(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest(
     queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True,
-    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, scoped: bool = False,
 ) -> DataFrame:
     """The k most similar references of every query: ``query_id, ref_id, similarity, rank``.
 
-    ``queries(query_id, scope, vec)``, ``refs(ref_id, scope, vec)``; only equal scopes are compared (use
-    one constant for none). ``metric`` is ``cosine`` or ``dot``. Ties rank by the smaller ``ref_id``.
+    ``queries(query_id, scope, vec)``, ``refs(ref_id, scope, vec)``; only equal scopes are compared. Without
+    scopes (``scoped=False``) the column is one constant, the group table has at most ``pivots`` rows and
+    is broadcast; with scopes it grows with them and is joined with hot scopes spread out. ``metric`` is
+    ``cosine`` or ``dot``. Ties rank by the smaller ``ref_id``.
     """
     anchor = _pivots(refs, pivots)
     if not len(anchor):
@@ -103,7 +105,14 @@ def nearest(
     by_scope = cells.groupBy("scope").agg(
         F.collect_list(F.struct("cell", "radius", "hi", "lo", "n")).alias("cells")
     )
-    bounded = aimed.join(by_scope, "scope").withColumn(
+    def attach(big: DataFrame, small: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+        if not scoped:
+            return big.join(F.broadcast(small), keys)
+        key = F.concat_ws("|", *keys)
+        side = small.withColumn("__at", key).drop(*keys)
+        return join_unique(big.withColumn("__at", key), side, "__at", row_id, "inner").drop("__at")
+
+    bounded = attach(aimed, by_scope, ["scope"], "query_id").withColumn(
         "cells",
         F.transform(
             "cells",
@@ -135,12 +144,12 @@ def nearest(
         F.ceil(F.col("n") / block_rows).cast("int").alias("ref_blocks"),
         F.ceil(F.col("asked") / block_rows).cast("int").alias("query_blocks"),
     )
-    left = visits.join(blocks, ["scope", "cell"]).select(
+    left = attach(visits, blocks, ["scope", "cell"], "query_id").select(
         "query_id", "scope", "cell", "vec",
         F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.col("ref_blocks") - 1)).alias("rb"),
     )
-    right = placed.join(blocks, ["scope", "cell"]).select(
+    right = attach(placed, blocks, ["scope", "cell"], "ref_id").select(
         "ref_id", "scope", "cell", "vec",
         F.pmod(F.xxhash64("ref_id"), F.col("ref_blocks")).cast("int").alias("rb"),
         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"),

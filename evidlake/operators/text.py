@@ -9,8 +9,8 @@ from evidlake.functions.expr import cascade, r6
 
 # Letters whose case folding is not plain lowercasing.
 CASEFOLD = [
-    ("[ßẞ]", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"),
-    ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("[ﬅﬆ]", "st"),
+    ("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
+    ("ﬅ", "st"), ("ﬆ", "st"),
 ]
 # Phrases that label an item as generated, tried in this order.
 LABEL_PATTERNS = [
@@ -25,9 +25,9 @@ SHINGLE_WORDS = 5
 def normalize_text(col: Column) -> Column:
     """Case-fold, ``_`` to blank, keep only ``[a-z0-9+.-]``, collapse blanks."""
     out = col
-    for pattern, plain in CASEFOLD:
-        out = F.regexp_replace(out, pattern, plain)
-    out = F.regexp_replace(F.lower(out), "_", " ")
+    for letter, plain in CASEFOLD:
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    out = F.translate(F.lower(out), "_", " ")
     return F.trim(F.regexp_replace(out, "[^a-z0-9+.-]+", " "))
 
 
@@ -166,7 +166,8 @@ def with_sketch(df: DataFrame, text: str) -> DataFrame:
     """Add ``hi`` and ``lo``, a 64-bit sketch: the last byte of each of the eight min-hashes."""
     def half(first: int) -> Column:
         tails = [F.substring(F.col("minima")[first + i], 7, 2) for i in range(4)]
-        return F.conv(F.concat(*tails), 16, 10).cast("bigint")
+        # Never NULL, so no join on it makes the optimizer repeat the hashing in a not-null filter.
+        return F.coalesce(F.conv(F.concat(*tails), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
     return with_minima(df, text).withColumn("hi", half(0)).withColumn("lo", half(4)).drop("minima")
 

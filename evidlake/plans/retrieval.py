@@ -20,7 +20,7 @@ def vectors(t: Tables, scope: str = "0L"):
 
 def top(t: Tables, k: int, scope: str = "0L"):
     q, r = vectors(t, scope)
-    return S.nearest(q, r, k)
+    return S.nearest(q, r, k, scoped=scope != "0L")
 
 
 _TOP = "select * from (select query_id, ref_id, expected_profile, known, profile_key, sim, row_number() over (partition by query_id order by sim desc, ref_id) as rank from V_QREF {0}) z where rank <= {1}"

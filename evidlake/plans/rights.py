@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from evidlake.functions.expr import joined
+from evidlake.functions.skew import join_unique
 from evidlake.operators import decisions as D
 from evidlake.operators import rights as R
 from evidlake.operators.fusion import origin_state
@@ -160,7 +161,10 @@ def with_facts(t: Tables):
     s = t.scans().selectExpr(
         "*", "element_at(array('REQUIRED', 'INFORMATIONAL', 'DISABLED'), cast(scan_id % 3 + 1 as int)) as origin_mode", "style_tier in ('HIGH', 'REVIEW') as style_review"
     )
-    return D.baseline_policy(s).join(facts(t), ["work_id", "intended_use"], "left").withColumn("recorded_action", F.col("baseline_action"))
+    key = F.concat_ws("|", "work_id", "intended_use")
+    known = facts(t).withColumn("__use", key).drop("work_id", "intended_use")
+    joined_ = join_unique(D.baseline_policy(s).withColumn("__use", key), known, "__use", "scan_id")
+    return joined_.drop("__use").withColumn("recorded_action", F.col("baseline_action"))
 
 
 _POL = [

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from evidlake.functions.expr import r6
-from evidlake.plans.operations import _DS, BASELINES
+from evidlake.plans.operations import _BAD, _DS, BASELINES
 from evidlake.plans.registry import query
 from evidlake.plans.retrieval import _TOP
 from evidlake.sources.tables import Tables
@@ -28,7 +28,8 @@ def live(t: Tables) -> Streams:
     "select event_id, case when event_id = f then 'NEW' when digest = fd then 'REPLAY' else 'CONFLICT' end as outcome from (select event_id, digest, first_value(event_id) over w as f, first_value(digest) over w as fd from V_EVENT window w as (partition by tenant_id, idem_key order by ts, event_id)) t",
 )
 def ss1(t):
-    return drain(ST.deduplicate(live(t).requests().select("tenant_id", "idem_key", "event_id", "digest", "ts")), "dedup")
+    rows = live(t).requests().select("tenant_id", "idem_key", "event_id", "digest", "ts")
+    return drain_batches(rows, "dedup", W.deduplicate_batch(["tenant_id", "idem_key"]), {"outcomes": "event_id bigint, outcome string"})["outcomes"]
 
 
 @query("ss2_daily_quota")
@@ -59,22 +60,20 @@ def ss5(t):
     return drain(ST.close_batches(leaves, 64, 10_000_000), "batches")
 
 
-_DELIV = "select concat(tenant_id, '/', idem_key) as k, event_id, epoch_us(ts) as at, event_type <> 'error' and event_id % 3 <> 0 as ok from V_EVENT"
+_DELIV = "select concat(tenant_id, '/', idem_key) as k, event_id, epoch_us(ts) as tt, event_type <> 'error' and event_id % 3 <> 0 as ok from V_EVENT"
 
 
 @query(
     "ss6_delivery_retries",
-    f"""with d as ({_DELIV}), n as (select *, row_number() over (partition by k order by at, event_id) as a, coalesce(sum(ok::int) over (partition by k order by at, event_id rows between unbounded preceding and 1 preceding), 0) as done from d)
-        select k as delivery_key, event_id, a as attempt, case when ok then 'DELIVERED' when a >= 3 then 'DEAD_LETTERED' else 'RETRYING' end as state, case when not ok and a < 3 then at + least(600, (2 ** a)::bigint)::bigint * 1000000 end as next_attempt_us from n where done = 0 and a <= 3""",
+    f"""with d as ({_DELIV}), n as (select *, row_number() over (partition by k order by tt, event_id) as a, coalesce(sum(ok::int) over (partition by k order by tt, event_id rows between unbounded preceding and 1 preceding), 0) as done from d)
+        select k as delivery_key, event_id, a as attempt, case when ok then 'DELIVERED' when a >= 3 then 'DEAD_LETTERED' else 'RETRYING' end as state, case when not ok and a < 3 then tt + least(600, (2 ** a)::bigint)::bigint * 1000000 end as next_attempt_us from n where done = 0 and a <= 3""",
 )
 def ss6(t):
     results = live(t).requests().selectExpr(
         "concat(tenant_id, '/', idem_key) as delivery_key", "event_id", "ts", "event_type <> 'error' and event_id % 3 <> 0 as succeeded"
     )
     ddl = "delivery_key string, event_id bigint, attempt bigint, state string, next_attempt_us bigint"
-    out = drain_batches(
-        ST.delivery_retries(results, 3), "delivery", W.route_deliveries, {"deliveries": ddl, "dead_letters": ddl}
-    )
+    out = drain_batches(results, "delivery", W.retry_batch(3), {"deliveries": ddl, "dead_letters": ddl})
     return out["deliveries"].unionByName(out["dead_letters"])
 
 
@@ -103,7 +102,7 @@ def ss9(t):
         BASELINES, "lane string, score_name string, bundle_id string, base_mean double, base_sd double, min_n bigint, warn double, revalidate double"
     )
     ddl = "lane string, score_name string, identity_matches boolean, observations bigint, shift double, state string, reason_code string"
-    obs = live(t).telemetry().where("bundle_id = 'b0'")
+    obs = live(t).telemetry().where("bundle_id = 'b0'").withColumn("value", F.expr(_BAD))
     out = drain_batches(obs, "drift", W.drift_batch(base), {"checks": ddl})["checks"]
     return out.withColumn("shift", r6(F.col("shift")))
 

@@ -26,26 +26,6 @@ def _stamped(events: DataFrame) -> DataFrame:
     return events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-def deduplicate(requests: DataFrame) -> DataFrame:
-    """NEW, REPLAY or CONFLICT of each request of a (tenant, key); the state is the first payload digest."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches)
-        first = state.get[0] if state.exists else None
-        out = []
-        for event_id, digest in zip(rows["event_id"], rows["digest"], strict=True):
-            if first is None:
-                first = digest
-                out.append((event_id, "NEW"))
-            else:
-                out.append((event_id, "REPLAY" if digest == first else "CONFLICT"))
-        state.update((first,))
-        yield pd.DataFrame(out, columns=["event_id", "outcome"])
-
-    return _stamped(requests).groupBy("tenant_id", "idem_key").applyInPandasWithState(
-        step, "event_id bigint, outcome string", "digest string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def daily_quota(requests: DataFrame, limit: int) -> DataFrame:
     """Admit at most ``limit`` requests of a tenant in any 24 hours; a rejected one uses nothing up.
 
@@ -165,30 +145,3 @@ def close_batches(leaves: DataFrame, every: int, max_age_s: int, watermark: str
         step, "batch bigint, leaves bigint, tree_size bigint, trigger string", "count bigint, top bigint, oldest bigint",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
-
-
-def delivery_retries(results: DataFrame, max_attempts: int, cap_s: int = 600) -> DataFrame:
-    """State of a delivery after each attempt: delivered, retrying with backoff, or dead-lettered.
-
-    ``results(delivery_key, event_id, ts, succeeded)``; attempts after an end state are ignored.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches)
-        attempts, phase = state.get if state.exists else (0, "PENDING")
-        out = []
-        for event_id, at, ok in zip(rows["event_id"], rows["at"], rows["succeeded"], strict=True):
-            if phase in ("DELIVERED", "DEAD_LETTERED"):
-                continue
-            attempts += 1
-            phase = "DELIVERED" if ok else "DEAD_LETTERED" if attempts >= max_attempts else "RETRYING"
-            nxt = int(at) + min(cap_s, 2**attempts) * 1_000_000 if phase == "RETRYING" else None
-            out.append((key[0], event_id, attempts, phase, nxt))
-        state.update((attempts, phase))
-        frame = pd.DataFrame(out, columns=["delivery_key", "event_id", "attempt", "state", "next_attempt_us"])
-        frame["next_attempt_us"] = frame["next_attempt_us"].astype("Int64")
-        yield frame
-
-    return _stamped(results).groupBy("delivery_key").applyInPandasWithState(
-        step, "delivery_key string, event_id bigint, attempt bigint, state string, next_attempt_us bigint",
-        "attempts bigint, phase string", "append", GroupStateTimeout.NoTimeout,
-    )

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidlake.functions.expr import backoff_seconds
+from evidlake.functions.running import running
+from evidlake.functions.skew import join_unique
 from evidlake.operators.similarity import nearest
 from evidlake.operators.usage import evaluate_drift, fan_out, merge_telemetry, telemetry_summary
 from evidlake.streaming.sources import write_batch
@@ -75,7 +78,82 @@ def split_late(max_delay_s: int):
     return each
 
 
-def route_deliveries(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """Delivery states to one sink, dead letters to another."""
-    write_batch(batch.where("state <> 'DEAD_LETTERED'"), folder, "deliveries", batch_id)
-    write_batch(batch.where("state = 'DEAD_LETTERED'"), folder, "dead_letters", batch_id)
+def deduplicate_batch(keys: list[str]):
+    """NEW, REPLAY or CONFLICT per request of a key, whatever the number of keys.
+
+    What a key's first payload was is kept as rows beside the output, written once per batch for the keys
+    that batch saw first. Everything runs as joins and aggregates, with no call per key.
+    """
+    def each(batch: DataFrame, batch_id: int, folder: str) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("key", F.concat_ws("|", *keys))
+        first = rows.groupBy("key").agg(F.min(F.struct("ts", "event_id", "digest")).alias("f")).select(
+            "key", F.col("f.event_id").alias("first_id"), F.col("f.digest").alias("first_digest")
+        )
+        if batch_id > 0:
+            known = spark.read.schema("key string, digest string, batch bigint").parquet(f"{folder}/registry/*")
+            first = first.join(known.where(F.col("batch") < batch_id).select("key", "digest"), "key", "left")
+        else:
+            first = first.withColumn("digest", F.lit(None).cast("string"))
+        fresh = first.where("digest is null")
+        write_batch(
+            fresh.select("key", F.col("first_digest").alias("digest"), F.lit(batch_id).cast("bigint").alias("batch")),
+            folder, "registry", batch_id,
+        )
+        facts = first.select(
+            "key", F.when(F.col("digest").isNull(), F.col("first_id")).alias("new_id"),
+            F.coalesce("digest", "first_digest").alias("truth"),
+        )
+        outcome = F.when(F.col("event_id") == F.col("new_id"), "NEW").when(
+            F.col("digest") == F.col("truth"), "REPLAY"
+        ).otherwise("CONFLICT")
+        judged = join_unique(rows, facts, "key", "event_id", "inner")
+        write_batch(judged.select("event_id", outcome.alias("outcome")), folder, "outcomes", batch_id)
+
+    return each
+
+
+def retry_batch(max_attempts: int, cap_s: int = 600):
+    """Delivered, retrying with backoff, or dead-lettered after each attempt; dead letters go to a sink of
+    their own. ``(delivery_key, event_id, ts, succeeded)``; attempts after an end state are ignored.
+
+    An attempt counts when no earlier one succeeded and fewer than ``max_attempts`` came before, so the
+    state of a delivery is two numbers kept beside the output, and a batch is numbered by running counts.
+    """
+    def each(batch: DataFrame, batch_id: int, folder: str) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
+            "hour", F.floor(F.col("at") / 3_600_000_000).cast("bigint")
+        )
+        if batch_id > 0:
+            seen = spark.read.schema("delivery_key string, tried bigint, won bigint").parquet(f"{folder}/attempts/*")
+            before = seen.groupBy("delivery_key").agg(F.sum("tried").alias("tried0"), F.sum("won").alias("won0"))
+            rows = join_unique(rows, before, "delivery_key", "event_id")
+        else:
+            none = F.lit(None).cast("bigint")
+            rows = rows.withColumn("tried0", none).withColumn("won0", none)
+        rows = running(
+            rows, ["delivery_key"], [("hour", True)], [("at", True), ("event_id", True)],
+            {"n": (F.lit(1).cast("bigint"), "sum"), "wins": (F.col("succeeded").cast("bigint"), "sum")},
+        )
+        zero = F.lit(0).cast("bigint")
+        attempt = F.coalesce("tried0", zero) + F.col("n")
+        prior = F.coalesce("won0", zero) + F.col("wins") - F.col("succeeded").cast("bigint")
+        rows = rows.withColumn("attempt", attempt).where((prior == 0) & (F.col("attempt") <= max_attempts))
+        state = F.when(F.col("succeeded"), "DELIVERED").when(
+            F.col("attempt") >= max_attempts, "DEAD_LETTERED"
+        ).otherwise("RETRYING")
+        rows = rows.withColumn("state", state)
+        wait = backoff_seconds(F.col("attempt"), cap_s) * 1_000_000
+        out = rows.select(
+            "delivery_key", "event_id", "attempt", "state",
+            F.when(F.col("state") == "RETRYING", F.col("at") + wait).alias("next_attempt_us"),
+        )
+        write_batch(out.where("state <> 'DEAD_LETTERED'"), folder, "deliveries", batch_id)
+        write_batch(out.where("state = 'DEAD_LETTERED'"), folder, "dead_letters", batch_id)
+        tried = rows.groupBy("delivery_key").agg(
+            F.count(F.lit(1)).alias("tried"), F.sum(F.col("succeeded").cast("bigint")).alias("won")
+        )
+        write_batch(tried, folder, "attempts", batch_id)
+
+    return each
