@@ -180,12 +180,16 @@ def profile_table(anchors: DataFrame, dim: int, block_rows: int = BLOCK_ROWS) ->
     """
     u = unit_anchors(anchors).select("item_id", F.col("profile_key").alias("own"), "vec")
     p = pools(unit_anchors(anchors), dim).select("profile_key", F.col("mean").alias("vec"))
-    blocks = lambda df: F.greatest(F.lit(1), F.ceil(df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() / block_rows)).cast("int")
-    left = u.withColumn("qb", F.pmod(F.xxhash64("item_id"), blocks(u)).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), blocks(p) - 1))
+    def blocks(count: Column) -> Column:
+        rows = anchors.agg(count.alias("n")).select("n").scalar()
+        return F.greatest(F.lit(1), F.ceil(rows / block_rows)).cast("int")
+
+    item_blocks, profile_blocks = blocks(F.count(F.lit(1))), blocks(F.count_distinct("profile_key"))
+    left = u.withColumn("qb", F.pmod(F.xxhash64("item_id"), item_blocks).cast("int")).withColumn(
+        "rb", F.explode(F.sequence(F.lit(0), profile_blocks - 1))
     )
-    right = p.withColumn("rb", F.pmod(F.xxhash64("profile_key"), blocks(p)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), blocks(u) - 1))
+    right = p.withColumn("rb", F.pmod(F.xxhash64("profile_key"), profile_blocks).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), item_blocks - 1))
     )
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -235,19 +239,27 @@ def empirical_support(
     sizes = anchors.groupBy("profile_key").agg(F.count(F.lit(1)).alias("n"))
     profiles = sizes.agg(F.count(F.lit(1)).alias("p")).select("p").scalar()
     total = sizes.agg(F.sum("n").alias("t")).select("t").scalar()
-    pos = leave_one_out(table, sizes).select("item_id", "profile_key", "score", F.lit(0).alias("kind"))
-    neg = table.where("own <> profile_key").select("item_id", "profile_key", "score", F.lit(2).alias("kind"))
-    ask = table.where("own = profile_key").select("item_id", "profile_key", "score", F.lit(1).alias("kind"))
-    # At equal scores positives come before the query (they count as <=) and negatives after it (>=).
-    line = pos.unionByName(neg).unionByName(ask).withColumn("__b", F.floor(F.col("score") * 1024).cast("bigint"))
+    # One pass over the table: an own score gives the query itself and, with the anchor taken out, a
+    # positive; any other score is a negative. At equal scores positives come before the query (they
+    # count as <=) and negatives after it (>=).
+    own = F.col("own") == F.col("profile_key")
+    point = lambda score, kind: F.struct(score.alias("score"), F.lit(kind).alias("kind"))
+    out_of_pool = (F.col("score") * F.col("n") - 1.0) / (F.col("n") - 1)
+    parts = (
+        F.when(~own, F.array(point(F.col("score"), 2)))
+        .when(F.col("n") >= 2, F.array(point(out_of_pool, 0), point(F.col("score"), 1)))
+        .otherwise(F.array(point(F.col("score"), 1)))
+    )
+    line = table.join(sizes, "profile_key").select("item_id", "profile_key", F.explode(parts).alias("p")).select(
+        "item_id", "profile_key", "p.*"
+    ).withColumn("__b", F.floor(F.col("score") * 1024).cast("bigint"))
     is_ = lambda k: F.when(F.col("kind") == k, 1).otherwise(F.lit(0)).cast("bigint")
     at = running(
         line, ["profile_key"], [("__b", True)], [("score", True), ("kind", True), ("item_id", True)],
         {"pos_upto": (is_(0), "sum"), "neg_below": (is_(2), "sum")},
     ).where("kind = 1")
-    sep = roc_auc(
-        pos.unionByName(neg).withColumn("label", is_(0)), ["profile_key"]
-    ).withColumnRenamed("auc", "separation_auc")
+    classes = line.where("kind <> 1").withColumn("label", is_(0))
+    sep = roc_auc(classes, ["profile_key"]).withColumnRenamed("auc", "separation_auc")
     n_neg = total - F.col("n")
     n_pos = F.when(F.col("n") >= 2, F.col("n")).otherwise(F.lit(0))
     raw = F.when(n_neg > 0, (1.0 + n_neg - F.col("neg_below")) / (n_neg + 1.0))

@@ -13,7 +13,7 @@ _AUC = """select grp, sum(case when a.score > b.score then 1e0 when a.score = b.
   from (select grp, score from V_SCORE where label = 1) a join (select grp, score from V_SCORE where label = 0) b using (grp) group by grp"""
 
 
-@query("ag8_roc_auc", f"select grp, round(auc, 6) as auc from ({_AUC}) t")
+@query("ag8_roc_auc", f"select g.grp, round(auc, 6) as auc from (select distinct grp from V_SCORE) g left join ({_AUC}) t on t.grp = g.grp")
 def ag8(t):
     return V.roc_auc(t.scores(), ["grp"]).select("grp", r6(F.col("auc")).alias("auc"))
 
@@ -88,8 +88,8 @@ def ag12(t):
     """with p as (select grp, score, row_number() over (partition by grp order by score) - 1 as i, count(*) over (partition by grp) as n from V_SCORE where label = 1),
        q as (select grp, score, row_number() over (partition by grp order by score) - 1 as i, count(*) over (partition by grp) as n from V_SCORE where label = 0),
        a as (select grp, score as t95 from p where i = floor((n - 1) * 0.05e0)), b as (select grp, score as t1 from q where i = ceil((n - 1) * 0.99e0))
-       select grp, t95 as fpr_at_95_tpr_threshold, round((select avg(case when q.score >= t95 then 1e0 else 0e0 end) from q where q.grp = a.grp), 6) as fpr_at_95_tpr,
-         t1 as tpr_at_1_fpr_threshold, round((select avg(case when p.score >= t1 then 1e0 else 0e0 end) from p where p.grp = a.grp), 6) as tpr_at_1_fpr from a join b using (grp)""",
+       , o as (select a.grp, t95, t1 from a join b on b.grp = a.grp), x as (select o.grp, avg(case when q.score >= t95 then 1e0 else 0e0 end) as v from o join q on q.grp = o.grp group by 1), y as (select o.grp, avg(case when p.score >= t1 then 1e0 else 0e0 end) as v from o join p on p.grp = o.grp group by 1)
+       select g.grp, t95 as fpr_at_95_tpr_threshold, round(x.v, 6) as fpr_at_95_tpr, t1 as tpr_at_1_fpr_threshold, round(y.v, 6) as tpr_at_1_fpr from (select distinct grp from V_SCORE) g left join o on o.grp = g.grp left join x on x.grp = g.grp left join y on y.grp = g.grp""",
 )
 def ag13(t):
     return V.operating_points(t.scores(), ["grp"]).select(
@@ -100,9 +100,9 @@ def ag13(t):
 
 @query(
     "ag14_equal_error",
-    """with th as (select distinct grp, score as t from V_SCORE), r as (select th.grp, t, sum(case when s.label = 1 and s.score < t then 1e0 else 0e0 end) / sum(s.label) as fnr,
+    """with th as (select distinct grp, score as t from V_SCORE), r as (select th.grp, t, sum(s.label) > 0 and sum(1 - s.label) > 0 as both_, sum(case when s.label = 1 and s.score < t then 1e0 else 0e0 end) / sum(s.label) as fnr,
          sum(case when s.label = 0 and s.score >= t then 1e0 else 0e0 end) / sum(1 - s.label) as fpr from th join V_SCORE s on s.grp = th.grp group by th.grp, t)
-       select grp, round(e, 6) as eer, t as eer_threshold from (select grp, 0.5e0 * (fnr + fpr) as e, t, row_number() over (partition by grp order by abs(fnr - fpr), 0.5e0 * (fnr + fpr), t) as k from r) z where k = 1""",
+       select grp, case when both_ then round(e, 6) end as eer, case when both_ then t end as eer_threshold from (select grp, both_, 0.5e0 * (fnr + fpr) as e, t, row_number() over (partition by grp order by abs(fnr - fpr), 0.5e0 * (fnr + fpr), t) as k from r) z where k = 1""",
 )
 def ag14(t):
     return V.equal_error(t.scores(), ["grp"]).select("grp", r6(F.col("eer")).alias("eer"), "eer_threshold")
