@@ -51,6 +51,11 @@ def with_views(sql: str) -> str:
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: plan(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            # Zone-less timestamps of the tables are UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return plan(Tables(spark, folder))
+
+        return run
 
     return {name: bind(plan) for name, plan in PLANS.items()}
