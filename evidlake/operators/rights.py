@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidlake.functions.expr import cascade, codes, effective_at, joined
-from evidlake.functions.running import previous, running
+from evidlake.functions.running import running
 from evidlake.functions.skew import join_unique
 
 DAY_US = 86_400_000_000
@@ -212,12 +212,12 @@ def replay_rights(events: DataFrame) -> DataFrame:
     e = events.withColumn("day", F.floor(F.unix_micros("created_at") / DAY_US).cast("bigint"))
     order = [("created_at", True), ("rights_event_id", True)]
     at = F.struct("created_at", "rights_event_id")
+    seen = F.struct("created_at", "rights_event_id", "event_type")
     e = running(
-        e, ["subject_id"], [("day", True)], order, {"__first_end": (F.when(terminal, at), "min")}, inclusive=False
-    )
-    e = previous(
-        e, ["subject_id"], [("day", True)], ["created_at", "rights_event_id"], {"__before": c("event_type")}, when=~terminal
-    )
+        e, ["subject_id"], [("day", True)], order,
+        {"__first_end": (F.when(terminal, at), "min"), "__last": (F.when(~terminal, seen), "max")},
+        inclusive=False,
+    ).withColumn("__before", c("__last.event_type"))
     open_ = c("__first_end").isNull()
     current = F.when(~open_, "TERMINAL").otherwise(F.coalesce(c("__before"), F.lit("ASSERTED")))
     legal = open_ & (c("event_type") != current)
