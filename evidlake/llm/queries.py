@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.llm import chat, mixing, simhash, topk
+from evidlake.llm import chat, mixing, packing, simhash, tokenfile, topk, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,23 @@ from s qualify rank <= 10
 def op6_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfile.digest(table(spark, folder, "documents"))
+
+
+@query
+def op10_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
