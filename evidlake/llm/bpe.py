@@ -15,8 +15,8 @@ import numpy as np
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
 # What the pattern's \s matches.
 BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-# Pre-tokens that a worker remembers at most.
-KNOWN = 1 << 21
+# Bytes of text that are encoded at once, and pre-tokens that a worker remembers at most: some 100 MB together.
+RUN, KNOWN = 1 << 19, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 

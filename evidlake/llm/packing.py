@@ -90,7 +90,7 @@ def cut(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, offsets, rows in runs_of_text(batch):
+            for data, offsets, rows in runs_of_text(batch, size=bpe.RUN):
                 ids, count = bpe.encoder(path).encode(data, offsets)
                 bounds = np.append(0, np.cumsum(count))
                 raw = memoryview(np.insert(ids, bounds[1:], end).astype("<u4")).cast("B")

@@ -40,7 +40,7 @@ def encode(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nr = 0
         for batch in batches:
-            for data, offsets, rows in pieces(batch):
+            for data, offsets, rows in pieces(batch, size=bpe.RUN):
                 ids, count = bpe.encoder(path).encode(data, offsets)
                 bounds = np.append(0, np.cumsum(count))
                 out = np.insert(ids, bounds[1:], end)
