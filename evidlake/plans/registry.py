@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidlake.plans.views import VIEWS
+from evidlake.session import ship_package
 from evidlake.sources.tables import Tables
 
 Plan = Callable[[Tables], DataFrame]
@@ -52,6 +53,7 @@ def with_views(sql: str) -> str:
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             # Zone-less timestamps of the tables are UTC.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return plan(Tables(spark, folder))
