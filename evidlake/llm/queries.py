@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.llm import chat, mixing, packing, simhash, suffix_dedup, tokenfile, topk, toxicity, winnowing
+from evidlake.llm import (
+    automaton_dedup, chat, mixing, packing, simhash, suffix_dedup, tokenfile, topk, toxicity, winnowing,
+)
 from evidlake.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +116,8 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op3_automaton_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return automaton_dedup.dedup(table(spark, folder, "documents"))
