@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import WORD
+from evidlake.llm.common import WORD, boxed
 from evidlake.llm.repeats import Units, copies, covered, gram_hashes, repeated_windows, words_of
 
 WINDOW, GRAM = 50, 16
@@ -238,12 +238,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Texts that lose nothing stay as they are; others are their remaining words joined by one blank. A document of
     which no word is left goes; one that had none before stays.
     """
-    gone = repeats(docs).select("d", "t", F.col("kept").alias("__kept")).dropDuplicates(["d", "t"])
-    flags = copies(docs, F.regexp_count("text", F.lit(WORD)).alias("n")).where("is_copy").where(F.col("n") >= WINDOW)
-    flags = flags.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct().withColumn("__kept", F.lit(""))
-    changed = gone.unionByName(flags)
-    named = docs.select(*[docs[c] for c in docs.columns], docs["doc_id"].cast("long").alias("__d"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("__t"))
-    found = named.join(changed, (F.col("__d") == F.col("d")) & (F.col("__t") == F.col("t")), "left").where("__kept is null or __kept <> ''")
-    text = F.coalesce("__kept", docs["text"])
-    new = {"text": text} | ({"n_chars": F.when(F.col("__kept").isNull(), docs["n_chars"]).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    gone = repeats(docs).select("d", "t", "kept").dropDuplicates(["d", "t"])
+    whole = copies(docs, F.regexp_count("text", F.lit(WORD)).alias("n")).where("is_copy").where(F.col("n") >= WINDOW)
+    whole = whole.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct().withColumn("kept", F.lit(""))
+    rows = boxed(docs, docs["doc_id"].cast("long").alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("th"))
+    found = rows.join(gone.unionByName(whole), (F.col("id") == F.col("d")) & (F.col("th") == F.col("t")), "left")
+    new = {"text": F.coalesce("kept", "row.text")}
+    if "n_chars" in docs.columns:
+        length = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(length)
+    return found.where("kept is null or kept <> ''").select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

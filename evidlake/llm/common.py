@@ -37,6 +37,11 @@ def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     )
 
 
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row as one struct ``row``, so that its columns can't clash with others; ``select("row.*")`` gives them back."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *more)
+
+
 def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidlake.llm.common import WORD, written
+from evidlake.llm.common import WORD, boxed, written
 
 # Documents that one node of the reduction tree settles among themselves, at most about.
 FAN_IN = 128
@@ -158,12 +158,7 @@ def mix(
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, with their columns: each row as many times as the mix takes it."""
-    names = docs.columns
-    copies = mix(docs, **how).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("copies").alias("__n"))
-    keyed = docs.select(
-        *[docs[n] for n in names], docs["doc_id"].cast("long").alias("__doc"), docs["source"].cast("string").alias("__source")
-    )
-    found = keyed.join(
-        copies.where("__n > 0"), F.col("__doc").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s"))
-    )
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*names)
+    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "copies")
+    keyed = boxed(docs, docs["doc_id"].cast("long").alias("doc"), docs["source"].cast("string").alias("source"))
+    found = keyed.join(copies, F.col("doc").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -66,8 +66,8 @@ def fill(left: dict[int, int], room: int) -> dict[int, int]:
 def patterns(lengths: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Minimum bin slack for a histogram of lengths: each sequence starts with the longest piece left.
 
-    What fills it is used again for as many sequences as the counts allow, so each pattern uses up at least one
-    length: there are at most ``capacity`` patterns, whatever the number of pieces.
+    What fills it is used again for as many sequences as the counts allow, so each pattern at least halves what is
+    left of one length: there are at most ``capacity`` times the binary logarithm of the number of pieces.
     """
     left = {length: n for length, n in lengths.items() if n}
     out = []
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int =
 
     A document's ids (null text: empty) end with ``end``. It is cut into runs of ``capacity`` ids, which fill a
     sequence each, and a rest. The driver gets the histogram of lengths, ``capacity`` rows at most, finds the
-    patterns, and sends them out: at most ``capacity`` patterns of at most 63 lengths each. Pieces are numbered
+    patterns, and sends them out (see ``patterns`` for their bound; each has 63 lengths at most). Pieces are numbered
     within their length, in chunks, and a piece's number tells its sequence and offset.
 
     Pieces in a sequence have no gaps. A shorter sequence is padded to ``capacity`` by its reader, unless it has a power

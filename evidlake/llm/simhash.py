@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidlake.llm.common import texts, written
+from evidlake.llm.common import boxed, texts, written
 from evidlake.llm.components import components
 
 BITS, BLOCKS = 64, 4
@@ -239,8 +239,8 @@ def near_dedup(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
 
     Of repeated rows with that doc_id the first by text and source stays. Rows with a null doc_id all stay.
     """
-    best = groups(docs, words, budget).where("doc_id = component_id").select(F.col("doc_id").alias("__d")).distinct()
-    named = docs.withColumn("__id", docs["doc_id"].cast("long"))
-    first = Window.partitionBy("__id").orderBy(docs["text"], docs["source"])
-    kept = named.join(best, F.col("__id") == F.col("__d"), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(docs["doc_id"].isNull()))
+    best = groups(docs, words, budget).where("doc_id = component_id").select(F.col("doc_id").alias("best")).distinct()
+    rows = boxed(docs, docs["doc_id"].cast("long").alias("id"))
+    first = Window.partitionBy("id").orderBy("row.text", "row.source")
+    kept = rows.join(best, F.col("id") == F.col("best"), "left_semi").withColumn("nr", F.row_number().over(first))
+    return kept.where("nr = 1").select("row.*").unionByName(docs.where(docs["doc_id"].isNull()))
