@@ -8,6 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def compound_key(*cols: str) -> Column:
+    """One string for a tuple of columns: each value with its length before it, so that different tuples, NULLs
+    and separators inside values included, never give the same string.
+    """
+    text = [F.col(c).cast("string") for c in cols]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
+
+
 def as_col(value: object) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidlake.functions.expr import cascade, ratio
+from evidlake.functions.expr import cascade, compound_key, ratio
 from evidlake.functions.running import ordinal, previous, running
 from evidlake.functions.skew import join_unique
 from evidlake.operators.evaluation import nearest_rank
 
 DAY_US = 86_400_000_000
-RING = 5_000
 
 
 def ts_us(c: str) -> Column:
@@ -65,11 +64,10 @@ def recent_n(df: DataFrame, series: list[str], n: int, order: str, tie: str) ->
     return df.withColumn("age_rank", F.row_number().over(w).cast("bigint")).where(F.col("age_rank") <= n)
 
 
-def latency_quantiles(obs: DataFrame, series: str, ring: int = RING) -> DataFrame:
-    """Nearest-rank p50, p95 and p99 over the most recent samples of each series."""
-    recent = recent_n(obs, [series], ring, "created_at", "event_id")
+def latency_quantiles(obs: DataFrame, series: str) -> DataFrame:
+    """Nearest-rank p50, p95 and p99 over all samples of each series, from counts of distinct values."""
     return nearest_rank(
-        recent, [series], "latency_ms", {"p50": 0.50, "p95": 0.95, "p99": 0.99}, buckets=1.0, count_name="samples"
+        obs, [series], "latency_ms", {"p50": 0.50, "p95": 0.95, "p99": 0.99}, buckets=1.0, count_name="samples"
     )
 
 
@@ -104,11 +102,12 @@ def join_baseline(baselines: DataFrame, current: DataFrame) -> DataFrame:
 def evaluate_drift(current: DataFrame, baselines: DataFrame) -> DataFrame:
     """State of each baseline: identity first, then sample size, then standardized shift of the mean.
 
-    ``baselines(lane, score_name, bundle_id, base_mean, base_sd, min_n, warn, revalidate)``.
+    ``baselines(lane, score_name, bundle_id, base_mean, base_sd, min_n, warn, revalidate)``; several bundles
+    of one baseline are separated by commas. Scores from any other set of bundles have lost their identity.
     """
     c = F.col
     j = join_baseline(baselines.withColumnRenamed("bundle_id", "base_bundle"), current)
-    same = F.coalesce(c("bundle_ids") == F.array("base_bundle"), F.lit(False))
+    same = F.coalesce(c("bundle_ids") == F.array_sort(F.split("base_bundle", ",")), F.lit(False))
     shift = F.abs(c("mean") - c("base_mean")) / F.greatest(c("base_sd"), F.lit(1e-6))
     n = F.coalesce(c("count"), F.lit(0).cast("bigint"))
     rules = [
@@ -150,7 +149,7 @@ def idempotency(requests: DataFrame, keys: list[str], row: str) -> DataFrame:
 
     The first request per key is an aggregate; requests meet it in a join that spreads hot keys.
     """
-    k = F.concat_ws("|", *keys)
+    k = compound_key(*keys)
     first = requests.groupBy(k.alias("__key")).agg(F.min(F.struct("ts", row, "digest")).alias("f"))
     first = first.select("__key", F.col(f"f.{row}").alias("__first_row"), F.col("f.digest").alias("__first_digest"))
     out = join_unique(requests.withColumn("__key", k), first, "__key", row, "inner")
@@ -189,7 +188,7 @@ def trailing_count(df: DataFrame, key: str, row: str, ts: str, hours: int) -> Da
 
 def assign_versions(new: DataFrame, existing: DataFrame, keys: list[str], row: str, ts: str) -> DataFrame:
     """Next version number of each new row after the versions its key already has."""
-    k = F.concat_ws("|", *keys)
+    k = compound_key(*keys)
     top = existing.groupBy(k.alias("__key")).agg(F.max("version").alias("__top"))
     numbered = ordinal(
         new.withColumn("__key", k).withColumn("__day", F.floor(ts_us(ts) / DAY_US).cast("bigint")),
@@ -307,7 +306,7 @@ def accept_attestations(
             ]
         ),
     )
-    k = F.concat_ws("|", "tenant_id", "body_hash")
+    k = compound_key("tenant_id", "body_hash")
     first = j.where("refusal is null").groupBy(k.alias("__key")).agg(
         F.min_by("attestation_id", F.struct("issued_us", "attestation_id")).alias("__first_id")
     )

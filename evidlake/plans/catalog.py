@@ -88,12 +88,12 @@ def src6(t):
 
 @query(
     "src7_bulk_import",
-    """select catalog_id, count(*) as files, count(l.doc_id) as described,
+    """select catalog_id, part, count(*) as files, count(l.doc_id) as described,
          count(*) filter (where coalesce(case when l.toxic = 1 then 'RESTRICTED' end, 'NONE') = 'NONE') as defaulted,
-         case when count(*) > 50 then 0 else count(*) filter (where strlen(text) <= 12000) end::bigint as imported,
-         case when count(*) > 50 then count(*) else count(*) filter (where strlen(text) > 12000) end::bigint as rejected,
-         count(*) > 50 as over_cap, count(*) <= 50 and count(*) filter (where strlen(text) > 12000) = 0 as complete
-       from V_WORK w left join labels l on l.doc_id = w.work_id group by catalog_id""",
+         count(*) filter (where strlen(text) <= 12000) as imported, count(*) filter (where strlen(text) > 12000) as rejected,
+         count(*) filter (where strlen(text) > 12000) = 0 as complete
+       from (select *, (row_number() over (partition by catalog_id order by md5(concat(work_id, '.txt')), work_id) - 1) // 20 as part from V_WORK) w
+       left join labels l on l.doc_id = w.work_id group by catalog_id, part""",
 )
 def src7(t):
     files = C.admit(t.works(), "text", 12000, 1_000_000_000).selectExpr(
@@ -103,7 +103,7 @@ def src7(t):
         "concat(doc_id, '.txt') as filename", "concat('item ', doc_id) as title",
         "case when toxic = 1 then 'RESTRICTED' end as license_hint",
     )
-    return C.bulk_import(files, entries, "catalog_id", 50)
+    return C.bulk_import(files, entries, "catalog_id", 20)
 
 
 @query(

@@ -117,18 +117,28 @@ def ag15(t):
     return V.calibration_error(t.scores(), ["grp"]).select("grp", r6(F.col("ece")).alias("ece"), r6(F.col("brier")).alias("brier"))
 
 
-@query("ag16_platt_fit")
+_PLATT = """with recursive s as (select provider, ln(greatest(1e-6, least(1 - 1e-6, score)) / (1 - greatest(1e-6, least(1 - 1e-6, score)))) as x, label::double as y from V_SCORE),
+  cnt as (select provider, count(*) filter (where y = 1) as positives, count(*) filter (where y = 0) as negatives from s group by 1),
+  fit(k, provider, a, b) as (select 0, provider, 1e0, 0e0 from cnt union all
+    select k + 1, provider, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) from (
+      select k, provider, a, b, sum((q - y) * x) + 1e-3 * a as ga, sum(q - y) + 1e-4 * b as gb, sum(v * x * x) + 1e-3 as haa, sum(v * x) as hab, sum(v) + 1e-4 as hbb
+      from (select *, greatest(q * (1 - q), 1e-6) as v from (select f.k, f.provider, f.a, f.b, s.x, s.y, 1 / (1 + exp(-(f.a * s.x + f.b))) as q from fit f join s using (provider) where f.k < 12) j0) j group by k, provider, a, b) g)
+  select provider, round(case when state = 'FITTED' then a end, 6) as slope, round(case when state = 'FITTED' then b end, 6) as intercept, state, positives, negatives, case when state = 'FITTED' then 0e0 end as residual
+  from (select *, case when least(positives, negatives) < 25 then 'INSUFFICIENT_CLASS_SAMPLES' when not (a > 0) then 'INVERTED_OR_NOT_FINITE' else 'FITTED' end as state from fit join cnt using (provider) where k = 12) r"""
+
+
+@query("ag16_platt_fit", _PLATT)
 def ag16(t):
     return V.fit_platt(t.scores(), "provider").select(
-        "provider", r6(F.col("slope")).alias("slope"), r6(F.col("intercept")).alias("intercept"), "state", "positives", "negatives"
+        "provider", r6(F.col("slope")).alias("slope"), r6(F.col("intercept")).alias("intercept"), "state", "positives", "negatives",
+        r6(F.col("residual")).alias("residual"),
     )
 
 
+_TIMES = " + ".join(f"(u >= {b})::int" for b in V.POISSON_BOUNDS)
 _BOOT = f"""with c as (select source_lineage_id as cl, sum(case when (score >= 0.5) = (label = 1) then 1e0 else 0e0 end) as num, count(*)::double as den from V_SCORE group by 1),
-  ix as (select *, row_number() over (order by cl) as i, count(*) over () as n from c),
-  dr as (select it, i - 1 as slot, n from ix cross join range(1, 201) r(it)),
-  pk as (select it, {h32("concat(it, '-', slot)")} % n + 1 as i from dr),
-  sm as (select it, sum(num) / sum(den) as v from pk join ix using (i) group by it)"""
+  dr as (select it, num, den, {h32("concat(it, '-', cl)")} as u from c cross join range(1, 201) r(it)),
+  sm as (select it, sum(num * ({_TIMES})) / sum(den * ({_TIMES})) as v from dr group by it)"""
 
 
 @query(

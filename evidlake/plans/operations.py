@@ -67,12 +67,12 @@ def ag5(t):
 
 # Recorded baselines: one per lane and score; some name another bundle, some need more data.
 BASELINES = [
-    ("copy", "view", "b0", 40.0, 30.0, 10, 0.2, 1.0), ("copy", "click", "b0", 20.0, 10.0, 10, 0.5, 1.0), ("origin", "error", "b0", 49.0, 50.0, 10, 0.2, 1.0),
-    ("origin", "purchase", "b1", 50.0, 30.0, 10, 0.2, 1.0), ("style", "signup", "b0", 50.0, 30.0, 10_000_000, 0.2, 1.0), ("style", "absent", "b0", 1.0, 1.0, 1, 0.2, 1.0),
+    ("copy", "view", "b0,b1", 40.0, 30.0, 10, 0.2, 1.0), ("copy", "click", "b0,b1", 20.0, 10.0, 10, 0.5, 1.0), ("origin", "error", "b0,b1", 49.0, 50.0, 10, 0.2, 1.0),
+    ("origin", "purchase", "b1", 50.0, 30.0, 10, 0.2, 1.0), ("style", "signup", "b0,b1", 50.0, 30.0, 10_000_000, 0.2, 1.0), ("style", "absent", "b0", 1.0, 1.0, 1, 0.2, 1.0),
 ]
 _BL = "(values " + ", ".join(f"('{a}', '{b}', '{c}', {d}e0, {e}e0, {f}, {g}e0, {h}e0)" for a, b, c, d, e, f, g, h in BASELINES) + ") b(lane, score_name, base, bm, bs, mn, wa, re)"
 _DR = f"""select lane, score_name, coalesce(bundles = base, false) as identity_matches, coalesce(n, 0)::bigint as observations, abs(mean - bm) / greatest(bs, 1e-6) as sh, mn, wa, re from {_BL} left join (
-   select score_name, sum(count) as n, sum(total) / sum(count) as mean, array_to_string(list_sort(list(distinct bundle_id)), ',') as bundles from ({_PACK}) p where bundle_id = 'b0' and count > 0 group by 1) m using (score_name)"""
+   select score_name, sum(count) as n, sum(total) / sum(count) as mean, array_to_string(list_sort(list(distinct bundle_id)), ',') as bundles from ({_PACK}) p where count > 0 group by 1) m using (score_name)"""
 _DS = f"""select lane, score_name, identity_matches, observations, round(sh, 6) as shift, case when not identity_matches then 'REVALIDATION_REQUIRED' when observations < mn then 'INSUFFICIENT_CURRENT_OBSERVATIONS' when sh >= re then 'REVALIDATION_REQUIRED' when sh >= wa then 'WARNING' else 'STABLE' end as state,
    case when not identity_matches then 'MODEL_BUNDLE_IDENTITY_DRIFT' when observations < mn then 'DRIFT_SAMPLE_GATE_NOT_MET' when sh >= re then 'SCORE_DISTRIBUTION_SHIFT_EXCEEDS_REVALIDATION_THRESHOLD' when sh >= wa then 'SCORE_DISTRIBUTION_SHIFT_WARNING' end as reason_code from ({_DR}) d"""
 
@@ -81,7 +81,7 @@ def drift(t: Tables):
     base = t.spark.createDataFrame(
         BASELINES, "lane string, score_name string, bundle_id string, base_mean double, base_sd double, min_n bigint, warn double, revalidate double"
     )
-    current = O.merge_telemetry(packets(t).where("bundle_id = 'b0'"), ["score_name"])
+    current = O.merge_telemetry(packets(t), ["score_name"])
     return O.evaluate_drift(current, base)
 
 
@@ -108,7 +108,7 @@ _RECENT = "select * from (select *, row_number() over (partition by meter order
 
 @query(
     "ag7_latency_quantiles",
-    f"select meter, count(*) as samples, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95, quantile_disc(latency_ms, 0.99) as p99 from ({_RECENT.format(5000)}) r group by 1",
+    "select meter, count(*) as samples, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95, quantile_disc(latency_ms, 0.99) as p99 from V_USAGE group by 1",
 )
 def ag7(t):
     return O.latency_quantiles(t.usage(), "meter")

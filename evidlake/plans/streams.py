@@ -102,7 +102,7 @@ def ss9(t):
         BASELINES, "lane string, score_name string, bundle_id string, base_mean double, base_sd double, min_n bigint, warn double, revalidate double"
     )
     ddl = "lane string, score_name string, identity_matches boolean, observations bigint, shift double, state string, reason_code string"
-    obs = live(t).telemetry().where("bundle_id = 'b0'").withColumn("value", F.expr(_BAD))
+    obs = live(t).telemetry().withColumn("value", F.expr(_BAD))
     out = drain_batches(obs, "drift", W.drift_batch(base), {"checks": ddl})["checks"]
     return out.withColumn("shift", r6(F.col("shift")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidlake.functions.expr import cascade, codes, joined
+from evidlake.functions.running import ordinal
 
 
 def scan_catalog(works: DataFrame, tenant_id: str, catalog_id: str | None = None) -> DataFrame:
@@ -67,22 +68,24 @@ def admit(df: DataFrame, text: str, max_bytes: int, max_units: int) -> DataFrame
     )
 
 
-def bulk_import(files: DataFrame, manifest: DataFrame, batch: str, cap: int) -> DataFrame:
+def bulk_import(files: DataFrame, manifest: DataFrame, batch: str, size: int) -> DataFrame:
     """Outcome of each import batch: files left-joined to the manifest by file name.
 
-    A batch above ``cap`` files is refused as a whole and says so; nothing is silently left out.
+    A batch of more than ``size`` files is imported in numbered parts of that size, in the order of the file
+    names' MD5, so every file is in one part whatever the batch holds.
     """
-    rows = files.join(manifest, "filename", "left")
+    spread = files.withColumn("__md5", F.md5("filename")).withColumn("__chunk", F.substring("__md5", 1, 3))
+    numbered = ordinal(spread, [batch], [("__chunk", True)], [("__md5", True), ("filename", True)], "__nr")
+    rows = numbered.withColumn("part", F.floor((F.col("__nr") - 1) / size).cast("bigint")).join(manifest, "filename", "left")
     n = F.count(F.lit(1))
     ok = F.count(F.when(F.col("reject_reason").isNull(), 1))
-    return rows.groupBy(batch).agg(
+    return rows.groupBy(batch, "part").agg(
         n.alias("files"),
         F.count("title").alias("described"),
         F.count(F.when(F.coalesce(F.col("license_hint"), F.lit("NONE")) == "NONE", 1)).alias("defaulted"),
-        F.when(n > cap, 0).otherwise(ok).cast("bigint").alias("imported"),
-        F.when(n > cap, n).otherwise(n - ok).cast("bigint").alias("rejected"),
-        (n > cap).alias("over_cap"),
-        ((n <= cap) & (ok == n)).alias("complete"),
+        ok.alias("imported"),
+        (n - ok).alias("rejected"),
+        (ok == n).alias("complete"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidlake.functions.expr import backoff_seconds
 from evidlake.functions.running import running
+from evidlake.functions.expr import compound_key
 from evidlake.functions.skew import join_unique
 from evidlake.operators.similarity import nearest
 from evidlake.operators.usage import evaluate_drift, fan_out, merge_telemetry, telemetry_summary
@@ -86,7 +87,7 @@ def deduplicate_batch(keys: list[str]):
     """
     def each(batch: DataFrame, batch_id: int, folder: str) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("key", F.concat_ws("|", *keys))
+        rows = batch.withColumn("key", compound_key(*keys))
         first = rows.groupBy("key").agg(F.min(F.struct("ts", "event_id", "digest")).alias("f")).select(
             "key", F.col("f.event_id").alias("first_id"), F.col("f.digest").alias("first_digest")
         )
