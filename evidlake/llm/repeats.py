@@ -217,16 +217,16 @@ def find_live(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Of one document: its text's bytes and its live places; gives for each place the gram's hash, the units there are on its
 #: left and on its right within reach, and the bytes of all of them.
-Surround = Callable[[np.ndarray, np.ndarray, Units], tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]
+Surround = Callable[[np.ndarray, np.ndarray, Units], tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]
 #: Of one bucket: doc_id, gram hash, left, right and bytes of surroundings; gives rows of them with the first and the last
 #: of windows (0: the leftmost that holds the gram) that are in a smaller doc_id.
-Match = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Match = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def send_surroundings(units: Units, surround: Surround, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, th, place, gram, left, right = (np.concatenate([h[i] for h in held]) for i in range(6))
-        raw = pa.array([b for h in held for b in h[6]], pa.binary())
+        raw = pa.concat_arrays([h[6] for h in held])
         bucket = ((gram >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((gram, bucket))
         cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
@@ -238,7 +238,7 @@ def send_surroundings(units: Units, surround: Surround, buckets: int) -> Callabl
                     "docs": [planes(doc[some])], "ths": [th[some].tobytes()], "places": [planes(place[some].astype(np.uint32))],
                     "grams": [gram[some].tobytes()], "left": [left[some].astype(np.uint8).tobytes()],
                     "right": [right[some].astype(np.uint8).tobytes()],
-                    "around": pa.array([raw.take(pa.array(some)).to_pylist()], pa.list_(pa.binary())),
+                    "around": pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), raw.take(pa.array(some))),
                 }
             )
 
@@ -252,7 +252,7 @@ def send_surroundings(units: Units, surround: Surround, buckets: int) -> Callabl
                 data = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
                 gram, left, right, around = surround(data, place, units)
                 held.append((np.full(len(place), ids[i]), np.full(len(place), ths[i]), place, gram, left, right, around))
-                n += sum(map(len, around))
+                n += around.nbytes
                 if n >= BYTES_AT_ONCE:
                     yield from flush(held)
                     held, n = [], 0
@@ -265,12 +265,14 @@ def send_surroundings(units: Units, surround: Surround, buckets: int) -> Callabl
 def match_buckets(units: Units, match: Match) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in runs(batches, "bucket"):
-            rows = pa.Table.from_batches(held).to_pylist()
+            raw = pa.concat_arrays([b.column("around").flatten() for b in held])
+            rows = pa.Table.from_batches(held).drop_columns(["around"]).to_pylist()
+            held.clear()
             doc = np.concatenate([unplanes(r["docs"], np.int64) for r in rows])
             place = np.concatenate([unplanes(r["places"], np.uint32) for r in rows]).astype(np.int64)
             th, gram = np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in rows])
             left, right = (np.concatenate([np.frombuffer(r[c], np.uint8) for r in rows]).astype(np.int64) for c in ("left", "right"))
-            row, lo, hi = match(doc, gram, left, right, [b for r in rows for b in r["around"]])
+            row, lo, hi = match(doc, gram, left, right, raw)
             if not len(row):
                 continue
             # Windows by the number of their first unit in the document.

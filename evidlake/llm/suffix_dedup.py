@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from evidlake.llm.repeats import Units, bytes_of, copies, covered, gram_hashes, repeated_windows
 
 WINDOW, GRAM, START = 50, 16, 8
+# Bytes of a surrounding: all windows that hold the gram in the middle.
+WIDTH = 2 * WINDOW - GRAM
 
 
-def surround(data: np.ndarray, place: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def surround(data: np.ndarray, place: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Bytes around each live gram; beyond the document's ends they are zero, and ``left`` and ``right`` say so."""
     reach, q = units.reach, units.gram
     padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(reach, np.uint8)])
@@ -23,31 +25,42 @@ def surround(data: np.ndarray, place: np.ndarray, units: Units) -> tuple[np.ndar
     inner = np.ascontiguousarray(around[:, reach : reach + q])
     unit = bytes_of(inner.ravel(), None)[0]
     gram = gram_hashes(unit, q)[:: q] if len(place) else np.zeros(0, np.uint64)
-    raw, size = around.tobytes(), 2 * reach + q
-    rows = [raw[i : i + size] for i in range(0, len(raw), size)]
+    ends = np.arange(len(place) + 1, dtype=np.int32) * (2 * reach + q)
+    rows = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(ends), pa.py_buffer(around.tobytes())])
     return gram, np.minimum(place, reach), np.minimum(len(data) - q - place, reach), rows
 
 
 def refine(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
     """Split buckets by the bucket pointers of a later offset: members of a bucket stay together if those agree."""
-    return np.unique((bucket.astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64), return_inverse=True)[1].reshape(bucket.shape)
+    return np.unique((bucket.astype(np.uint64) << np.uint64(32)) | later, return_inverse=True)[1].astype(np.uint32)
 
 
-def window_buckets(around: np.ndarray, window: int) -> np.ndarray:
-    """Bucket of the window from each offset of each row: equal numbers for equal windows.
+def window_buckets(around: np.ndarray) -> Iterator[np.ndarray]:
+    """For each offset the bucket of every row's window from there on: equal numbers for equal windows.
 
-    Suffixes start in the buckets of their first START bytes. A bucket is refined by the pointers that its suffixes
-    have START bytes on; the new pointers, which now stand for twice as many bytes, refine it again, until the next
-    step would go past the window; the last takes the pointer at the offset that ends with it.
+    Suffixes at an offset start in the buckets of their first START bytes. These are refined by the pointers of the
+    suffixes START bytes on; the new pointers, which stand for twice as many bytes, refine again what lies before them,
+    until the next step would go past the window; the last takes the pointer at the offset that ends with it. All
+    pointers are used again for the offsets that follow, and dropped behind them.
     """
-    first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(around, START, axis=1)).view(np.uint64)[..., 0]
-    bucket = np.unique(first, return_inverse=True)[1].reshape(first.shape)
-    depth = START
-    while depth < window:
-        step = min(depth, window - depth)
-        bucket = refine(bucket[:, : bucket.shape[1] - step], bucket[:, step:])
-        depth += step
-    return bucket
+    known: dict[tuple[int, int], np.ndarray] = {}
+
+    def pointer(depth: int, at: int) -> np.ndarray:
+        if (depth, at) not in known:
+            if depth == START:
+                first = np.ascontiguousarray(around[:, at : at + START]).view(np.uint64)[:, 0]
+                known[depth, at] = np.unique(first, return_inverse=True)[1].astype(np.uint32)
+            else:
+                before = START
+                while before * 2 < depth:
+                    before *= 2
+                known[depth, at] = refine(pointer(before, at), pointer(before, at + depth - before))
+        return known[depth, at]
+
+    for at in range(around.shape[1] - WINDOW + 1):
+        yield pointer(WINDOW, at)
+        for key in [k for k in known if k[1] <= at]:
+            del known[key]
 
 
 def classes(gram: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +80,10 @@ def classes(gram: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.ndar
     return order, np.flatnonzero(np.append(True, ~same))
 
 
-def match(doc: np.ndarray, gram: np.ndarray, left: np.ndarray, right: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def match(doc: np.ndarray, gram: np.ndarray, left: np.ndarray, right: np.ndarray, raw: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """See ``repeats.Match``. Equal surroundings of one gram are sorted once, under their smallest doc_id."""
     reach = WINDOW - GRAM
-    around = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 2 * reach + GRAM)
+    around = np.frombuffer(raw.buffers()[2], np.uint8)[raw.offset * WIDTH : (raw.offset + len(raw)) * WIDTH].reshape(-1, WIDTH)
     order, begin = classes(gram, doc, around, left, right)
     size = np.diff(np.append(begin, len(order)))
     head = order[begin]
@@ -86,11 +99,12 @@ def match(doc: np.ndarray, gram: np.ndarray, left: np.ndarray, right: np.ndarray
     some = np.flatnonzero(several)
     if len(some):
         own = head[some]
-        bucket = window_buckets(around[own], WINDOW)
-        valid = (np.arange(reach + 1) >= low[own][:, None]) & (np.arange(reach + 1) <= high[own][:, None])
-        first = np.full(bucket.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, bucket[valid], np.broadcast_to(doc[own][:, None], bucket.shape)[valid])
-        hit = valid & (first[bucket] < doc[own][:, None])
+        hit = np.zeros((len(own), reach + 1), bool)
+        for at, bucket in enumerate(window_buckets(around[own])):
+            valid = np.flatnonzero((low[own] <= at) & (at <= high[own]))
+            first = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, bucket[valid], doc[own[valid]])
+            hit[valid, at] = first[bucket[valid]] < doc[own[valid]]
         edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         which, lo = np.nonzero(edge == 1)
         hi = np.nonzero(edge == -1)[1] - 1
