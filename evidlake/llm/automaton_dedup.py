@@ -8,7 +8,7 @@ quadratic, so a document goes to the shards alone whose gram it has.
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -79,43 +79,40 @@ class Automaton:
         return out
 
 
-def surround(data: np.ndarray, place: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def surround(data: np.ndarray, place: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     words = data.tobytes().split()
     unit = words_of(data, np.array([0, len(data)]))[0]
     gram = gram_hashes(unit, units.gram)[place]
     left = np.minimum(place, units.reach)
     right = np.minimum(len(words) - units.gram - place, units.reach)
     lo, hi = (place - left).tolist(), (place + units.gram + right).tolist()
-    return gram, left, right, [b" ".join(words[a:b]) for a, b in zip(lo, hi, strict=True)]
+    return gram, left, right, pa.array([b" ".join(words[a:b]) for a, b in zip(lo, hi, strict=True)], pa.binary())
 
 
-#: A member of a shard: doc_id, words, place of its first window in the row, row.
-Member = tuple[int, list[bytes], int, int]
+#: A member of a shard: doc_id, words (as numbers), place of its first window, and the rows that have them.
+Member = tuple[int, tuple[int, ...], int, list[int]]
 
 
 def search(members: list[Member], at: int, size: int) -> Iterator[tuple[int, int, int]]:
     """(row, first window, last window) of runs of the members' windows that a member of a smaller doc_id has too.
 
     All members have the same ``size`` words from place ``at`` on in common, counted in the windows of a member:
-    a window w of a member is words w - first to w - first + 49 of it. Members with the same words count once.
+    a window w of a member is words w - first to w - first + 49 of it. Members with the same words count once,
+    under the smallest doc_id.
     """
-    same: dict[tuple[bytes, ...], list[Member]] = {}
-    for m in members:
-        same.setdefault((m[2], *m[1]), []).append(m)
-    heads = []
-    for group in same.values():
-        group.sort(key=lambda m: (m[0], m[3]))
-        least = group[0][0]
-        heads.append((least, [m for m in group if m[0] == least]))
-        for m in group:
-            if m[0] > least:
-                yield m[3], m[2], m[2] + len(m[1]) - WINDOW
+    same: dict[tuple, Member] = {}
+    for m in sorted(members, key=lambda m: m[0]):
+        known = same.setdefault((m[2], m[1]), m)
+        if known is not m and known[0] == m[0]:
+            same[m[2], m[1]] = (*m[:3], known[3] + m[3])
+        elif known is not m:
+            yield from ((row, m[2], m[2] + len(m[1]) - WINDOW) for row in m[3])
+    heads = list(same.values())
     if len(heads) < 2:
         return
     if len(heads) > SHARD and size < WINDOW:
-        yield from split([own for _, own in heads], at, size)
+        yield from split(heads, at, size)
         return
-    heads.sort(key=lambda h: (h[0], h[1][0][3]))
     automaton = Automaton()
     i = 0
     while i < len(heads):
@@ -123,11 +120,11 @@ def search(members: list[Member], at: int, size: int) -> Iterator[tuple[int, int
         while j < len(heads) and heads[j][0] == heads[i][0]:
             j += 1
         if i:
-            for _, own in heads[i:j]:
-                for lo, hi in long_runs(automaton.statistics(own[0][1])):
-                    yield from ((m[3], m[2] + lo, m[2] + hi) for m in own)
-        for _, own in heads[i:j]:
-            automaton.add(own[0][1])
+            for _, words, first, rows in heads[i:j]:
+                for lo, hi in long_runs(automaton.statistics(words)):
+                    yield from ((row, first + lo, first + hi) for row in rows)
+        for head in heads[i:j]:
+            automaton.add(head[1])
         i = j
 
 
@@ -142,7 +139,7 @@ def long_runs(statistics: list[int]) -> Iterator[tuple[int, int]]:
             begin = None
 
 
-def split(groups: list[list[Member]], at: int, size: int) -> Iterator[tuple[int, int, int]]:
+def split(members: list[Member], at: int, size: int) -> Iterator[tuple[int, int, int]]:
     """Search a large shard in parts by longer common runs.
 
     A window with the common run has, of the words it holds besides, at least half on one side: it is in the part of
@@ -150,41 +147,54 @@ def split(groups: list[list[Member]], at: int, size: int) -> Iterator[tuple[int,
     Members are cut down to the windows that a part is about.
     """
     half = -(-(WINDOW - size) // 2)
-    for left in (True, False):
-        parts: dict[tuple[bytes, ...], list[Member]] = {}
-        begin = at - half if left else at
-        for own in groups:
-            _, words, first, _ = own[0]
+    for begin in (at - half, at):
+        parts: dict[tuple[int, ...], list[int]] = {}
+        for i, (_, words, first, _) in enumerate(members):
             lo = begin - first
-            if lo < 0 or lo + size + half > len(words):
+            if lo >= 0 and lo + size + half <= len(words):
+                parts.setdefault(words[lo : lo + size + half], []).append(i)
+        while parts:
+            _, part = parts.popitem()
+            if len({members[i][0] for i in part}) < 2:
                 continue
-            # Windows that hold the longer run start from its end - 50 to its begin.
-            a, b = max(first, begin + size + half - WINDOW), min(first + len(words) - WINDOW, begin)
-            if a > b:
-                continue
-            cut = words[a - first : b - first + WINDOW]
-            key = tuple(words[lo : lo + size + half])
-            parts.setdefault(key, []).extend((m[0], cut, a, m[3]) for m in own)
-        for part in parts.values():
-            if len({m[0] for m in part}) > 1:
-                yield from search(part, begin, size + half)
+            some = []
+            for doc, words, first, rows in (members[i] for i in part):
+                # Windows that hold the longer run start from its end - 50 to its begin.
+                a, b = max(first, begin + size + half - WINDOW), min(first + len(words) - WINDOW, begin)
+                if a <= b:
+                    some.append((doc, words[a - first : b - first + WINDOW], a, rows))
+            yield from search(some, begin, size + half)
+
 
+def match(doc: np.ndarray, gram: np.ndarray, left: np.ndarray, right: np.ndarray, raw: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """See ``repeats.Match``: a shard for each gram of the bucket, one after another.
 
-def match(doc: np.ndarray, gram: np.ndarray, left: np.ndarray, right: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """See ``repeats.Match``: a shard for each gram of the bucket, one after another."""
+    Equal surroundings enter a shard once, with the smallest doc_id that has them; all windows of the others are
+    in that document.
+    """
     reach = WINDOW - GRAM
     order = np.lexsort((doc, gram))
     cuts = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1]))
-    found = []
+    found = array("q")
     for lo, hi in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-        members = []
+        heads: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
         for i in order[lo:hi].tolist():
-            words = raw[i].split(b" ")
+            least, rows = heads.setdefault((int(left[i]), raw[i].as_py()), (int(doc[i]), []))
+            if doc[i] == least:
+                rows.append(i)
+            elif left[i] + GRAM + right[i] >= WINDOW:
+                found.extend((i, reach - int(left[i]), int(right[i])))
+        if len(heads) < 2:
+            continue
+        numbers: dict[bytes, int] = {}
+        members = []
+        for (before, text), (least, rows) in heads.items():
+            words = tuple(numbers.setdefault(w, len(numbers)) for w in text.split(b" "))
             if len(words) >= WINDOW:
-                members.append((int(doc[i]), words, reach - int(left[i]), i))
-        if len(members) > 1:
-            found += search(members, reach, GRAM)
-    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+                members.append((least, words, reach - before, rows))
+        for hit in search(members, reach, GRAM):
+            found.extend(hit)
+    return tuple(np.frombuffer(found, np.int64).reshape(-1, 3).T) if found else (np.zeros(0, np.int64),) * 3
 
 
 def repeats(docs: DataFrame) -> DataFrame:

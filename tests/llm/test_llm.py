@@ -131,13 +131,13 @@ def test_split_shards():
         side = lambda: [b"%d" % rng.randrange(2) if rng.random() < 0.04 else b"s" for _ in range(rng.choice([0, 20, 34]))]
         left, right = side(), side()
         if len(left) + len(right) + 16 >= 50:
-            members.append((rng.randrange(60), left + gram + right, reach - len(left), i))
+            members.append((rng.randrange(60), tuple(left + gram + right), reach - len(left), [i]))
     first = {}
-    for doc, words, at, _ in members:
+    for doc, words, _, _ in members:
         for k in range(len(words) - 49):
-            key = tuple(words[k : k + 50])
+            key = words[k : k + 50]
             first[key] = min(first.get(key, doc), doc)
-    want = {(row, at + k) for doc, words, at, row in members for k in range(len(words) - 49) if first[tuple(words[k : k + 50])] < doc}
+    want = {(row, at + k) for doc, words, at, (row,) in members for k in range(len(words) - 49) if first[words[k : k + 50]] < doc}
     for shard in (1, 5, 1000):
         automaton_dedup.SHARD = shard
         got = {(row, w) for row, lo, hi in automaton_dedup.search(members, reach, 16) for w in range(lo, hi + 1)}
@@ -150,12 +150,13 @@ def test_refinement():
     around = rng.integers(97, 99, (40, 84)).astype(np.uint8)
     around[20:] = around[:20]
     around[20:, 60] ^= 1
-    bucket = suffix_dedup.window_buckets(around, 50)
-    same = {}
-    for r in range(40):
-        for o in range(35):
+    bucket = np.stack(list(suffix_dedup.window_buckets(around)), axis=1)
+    assert bucket.shape == (40, 35)
+    for o in range(35):
+        same = {}
+        for r in range(40):
             same.setdefault(around[r, o : o + 50].tobytes(), set()).add(int(bucket[r, o]))
-    assert all(len(v) == 1 for v in same.values()) and len({next(iter(v)) for v in same.values()}) == len(same)
+        assert all(len(v) == 1 for v in same.values()) and len({next(iter(v)) for v in same.values()}) == len(same)
 
 
 def test_covered():
