@@ -102,8 +102,9 @@ def cosine(a: Column, b: Column) -> Column:
 def l2_normalize(a: Column) -> Column:
     """Unit vector, or NULL when the norm is <= 1e-12 or an element is not finite."""
     bad = F.exists(as_double(a), lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    size = norm(a)
-    return F.when(~bad & (size > 1e-12), F.transform(as_double(a), lambda x: x / size))
+    # The norm is bound once per vector; inside the inner function alone it would be computed for every element.
+    divided = lambda size: F.when(~bad & (size > 1e-12), F.transform(as_double(a), lambda x: x / size))
+    return F.element_at(F.transform(F.array(norm(a)), divided), 1)
 
 
 def hash32(text: Column) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidlake.session import cut_lineage
+
 # Keys that put everything below them into a bucket.
 BUCKETS = {
     "failure": "failure", "failures": "failure", "error": "failure", "errors": "failure",
@@ -120,7 +122,8 @@ def route(
     """
     if force_fallback:
         return detect(items, item, text, *fallback).withColumn("role", F.lit("FALLBACK"))
-    first = detect(items, item, text, *primary).withColumn("role", F.lit("PRIMARY"))
+    # Both the results and the list of failures come from one run of the primary detector.
+    first = cut_lineage(detect(items, item, text, *primary)).withColumn("role", F.lit("PRIMARY"))
     failed = items.join(first.where("error is not null").select(item), item, "left_semi")
     second = detect(failed, item, text, *fallback).withColumn("role", F.lit("FALLBACK"))
     return first.where("error is null").unionByName(second)

@@ -90,11 +90,13 @@ def profile_rank(anchors: DataFrame, dim: int, top: int = 5) -> DataFrame:
     ranked = pool_scores(q, p.select("profile_key", F.col("mean").alias("vec")), top + 1)
     # At most top + 1 rows per query reach this window.
     w = Window.partitionBy("query_id").orderBy("rank")
-    out = ranked.withColumn("margin", F.col("score") - F.lead("score").over(w)).where(F.col("rank") <= top)
+    # Profiles with a higher score are those before the first of equal scores.
+    first = F.min("rank").over(Window.partitionBy("query_id", "score"))
+    out = ranked.withColumn("margin", F.col("score") - F.lead("score").over(w)).withColumn("first", first).where(F.col("rank") <= top)
     z = F.when((F.col("sd") > 1e-6) & (count >= 3), (F.col("score") - F.col("mu")) / F.col("sd"))
     return out.join(stats, "query_id").select(
         "query_id", "profile_key", "rank", "score",
-        ((count - F.col("rank") + 1) / count).alias("catalog_percentile"),
+        ((count - F.col("first") + 1) / count).alias("catalog_percentile"),
         z.alias("z"), "margin",
     )
 

@@ -10,7 +10,7 @@ from evidlake.functions.expr import cascade, r6
 # Letters whose case folding is not plain lowercasing.
 CASEFOLD = [
     ("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
-    ("ﬅ", "st"), ("ﬆ", "st"),
+    ("ﬅ", "st"), ("ﬆ", "st"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("ẖ", "ẖ"), ("ẗ", "ẗ"), ("ẘ", "ẘ"), ("ẙ", "ẙ"), ("ẚ", "aʾ"),
 ]
 # Phrases that label an item as generated, tried in this order.
 LABEL_PATTERNS = [

@@ -371,7 +371,15 @@ def fn7(t):
     return t.leaves().select("statement_id", X.leaf_hash(p).alias("leaf_hash"), X.node_hash(p, F.sha2(p, 256)).alias("node_hash"))
 
 
-@query("fn8_hmac_freshness")
+_PAD = "xor(unhex(rpad(hex(encode(concat('secret-', user_id))), 128, '0'))::bit, unhex(repeat('{0}', 64))::bit)::blob"
+_SECS = "floor(epoch(ts))::bigint"
+
+
+@query(
+    "fn8_hmac_freshness",
+    f"""select event_id, sha256({_PAD.format('5C')} || unhex(sha256({_PAD.format('36')} || encode(concat_ws('.', {_SECS}::varchar, props))))) as signature,
+       abs(epoch(timestamp '2024-01-15 00:00:00')::bigint - {_SECS}) <= 300 as fresh from events""",
+)
 def fn8(t):
     secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
     body = F.encode(F.concat_ws(".", secs.cast("string"), F.col("props")), "utf-8")

@@ -124,7 +124,7 @@ def ss11(t):
     return drain(joined.select("event_id", "event_type", "endpoint_id"), "fanout")
 
 
-@query("ss12_late_rows")
+@query("ss12_late_rows", "select event_id, epoch_us(ts) as at_us, false as late from events")
 def ss12(t):
     ddl = "event_id bigint, at_us bigint"
     rows = live(t).requests().select("event_id", "ts")
