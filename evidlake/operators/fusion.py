@@ -163,6 +163,8 @@ def fuse_copy(pairs: DataFrame, th: CopyThresholds = CopyThresholds()) -> DataFr
     out = pairs.withColumn("reason_codes", F.when(exact, F.lit("EXACT_SHA256_MATCH")).otherwise(joined(reasons)))
     out = (
         out.withColumn("evidence_index", F.when(exact, 1.0).otherwise(r6(c("__index"))))
+        # Equal bytes need no alignment: their geometry is perfect.
+        .withColumn("geometry_quality", F.when(exact, 1.0).otherwise(c("geometry_quality")))
         .withColumn("match_supported", exact | c("__match"))
         .withColumn("review_supported", ~exact & c("__review"))
         .withColumn(

@@ -216,7 +216,7 @@ _FUSE = f"""with i as ({_PAIRIN}), g as (select *, {_GQ} as gq, coalesce(ai >= 0
      (validated and fs and (fa or fp)) or (validated and coalesce(structure >= 0.84, false) and gq >= 0.72) or (validated and coalesce(ai >= 0.86, false) and gq >= 0.72 and coalesce(structure >= 0.62, false)) or (rel and coalesce(structure >= 0.84, false) and (fa or fp)) or (validated and coalesce(structure >= 0.97, false) and ir >= 0.9) as mt,
      0.25e0 * coalesce(ai, phash) + 0.15e0 * phash + 0.32e0 * gq + 0.28e0 * coalesce(structure, 0) as idx from g),
   r as (select *, not mt and (validated or coalesce(ai >= 0.8, false) or phash >= 0.9 or rel) as rv from m),
-  f as (select doc_id, item_id, gq as geometry_quality, exact, case when exact then 1e0 else round(idx, 6) end as evidence_index, exact or mt as match_supported, not exact and rv as review_supported,
+  f as (select doc_id, item_id, case when exact then 1e0 else gq end as geometry_quality, exact, case when exact then 1e0 else round(idx, 6) end as evidence_index, exact or mt as match_supported, not exact and rv as review_supported,
     case when exact then 'VERY_HIGH' when mt and idx >= 0.84 then 'VERY_HIGH' when mt then 'HIGH' when rv then 'REVIEW' else 'LOW' end as evidence_tier,
     case when exact then 'EXACT_BINARY_COPY' when mt and least(qc, rc) < 0.18 then 'VERIFIED_PARTIAL_COPY_EVIDENCE' when mt then 'VERIFIED_NEAR_DUPLICATE' when rv then 'REVIEW_CANDIDATE' else 'NEAREST_CANDIDATE_ONLY' end as classification,
     case when exact then 4 else fa::int + fp::int + fs::int end::bigint as support_count, case when exact then 'NOT_REQUIRED_FOR_EXACT_HASH' when validated then 'VERIFIED' when rel then 'RECOVERED_PENDING_PIXEL_AGREEMENT' else 'REJECTED' end as geometry_state,
