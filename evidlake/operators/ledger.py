@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidlake.functions.expr import cascade, codes, joined, leaf_hash, node_hash
 from evidlake.functions.running import ordinal, previous, running
 from evidlake.functions.skew import join_unique
+from evidlake.session import cut_lineage
 from evidlake.sources.manifest import SHA256_HEX
 
 CHUNK_BITS = 12
@@ -45,29 +46,40 @@ def _rounds(nodes: DataFrame, bits: int) -> int:
 def node_table(leaves: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Every node of the log's tree once: ``level, idx, hash``.
 
-    A task builds the subtree of one chunk of 2**bits nodes; chunk tops form the next, 2**bits times
-    smaller round, so a trillion leaves take four rounds rather than forty.
+    A row holds one chunk of 2**bits nodes, whose levels are built one from another by built-in digests; chunk tops
+    form the next, 2**bits times smaller round, so a trillion leaves take four rounds rather than forty. Each round
+    is computed once: it is the input of the next and a part of the result.
     """
-    def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        first = int(pdf["idx"].iloc[0]) >> bits << bits
-        rows = []
-        for up, row in enumerate(_levels(pdf["hash"].tolist(), bits)):
-            if up:
-                rows += [(int(pdf["level"].iloc[0]) + up, (first >> up) + i, h) for i, h in enumerate(row)]
-        return pd.DataFrame(rows, columns=["level", "idx", "hash"])
-
-    current = base_nodes(leaves).withColumn("level", F.lit(0).cast("bigint"))
-    out = current.select("level", "idx", "hash")
+    current = base_nodes(leaves)
+    out = current.select(F.lit(0).cast("bigint").alias("level"), "idx", "hash")
     for n in range(_rounds(current, bits)):
-        built = current.groupBy(F.shiftright("idx", bits).alias("chunk")).applyInPandas(
-            subtree, "level bigint, idx bigint, hash string"
+        chunks = current.groupBy(F.shiftright("idx", bits).alias("chunk")).agg(
+            F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("nodes")
+        ).select("chunk", F.transform("nodes", lambda x: x.hash).alias("l0"))
+        for up in range(1, bits + 1):
+            chunks = chunks.withColumn(f"l{up}", paired(F.col(f"l{up - 1}")))
+        levels = F.array(
+            *[F.struct(F.lit(up).cast("bigint").alias("up"), F.col(f"l{up}").alias("hashes")) for up in range(1, bits + 1)]
+        )
+        rows = chunks.select("chunk", F.explode(levels).alias("x")).select(
+            "chunk", "x.up", F.posexplode("x.hashes").alias("at", "hash")
         )
+        first = F.col("chunk") * F.pow(F.lit(2.0), F.lit(bits) - F.col("up")).cast("bigint")
+        built = cut_lineage(rows.select((F.lit(n * bits) + F.col("up")).alias("level"), (first + F.col("at")).alias("idx"), "hash"))
         out = out.unionByName(built)
-        current = built.where(F.col("level") == (n + 1) * bits)
+        current = built.where(F.col("level") == (n + 1) * bits).select("idx", "hash")
     return out
 
 
+def paired(row: Column) -> Column:
+    """The level above a row of nodes: neighbours are hashed together, an unpaired last node moves up as it is."""
+    last = F.floor((F.size(row) + 1) / 2).cast("int") - 1
+    right = lambda i: F.get(row, 2 * i + 1)
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.coalesce(node_hash(F.get(row, 2 * i), right(i)), F.get(row, 2 * i))
+    )
+
+
 def merkle_root(leaves: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Root and size of the log."""
     nodes = node_table(leaves, bits)

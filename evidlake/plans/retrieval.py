@@ -344,8 +344,16 @@ def containment(doc_id: int, item_id: int, text: str, passage: str) -> float:
 
 @query(
     "jn22_pair_verification",
-    f"select doc_id, item_id, case when (doc_id + item_id) % 17 = 0 then null else round(shared / passage_shingles, 6) end as score, case when (doc_id + item_id) % 17 = 0 then 'VERIFICATION_FAILED:ValueError' end as error from ({PAIR_SQL}) p",
+    f"select doc_id, item_id, round(shared / passage_shingles, 6) as score from ({PAIR_SQL}) p",
 )
 def jn22(t):
+    return pairs(t).select("doc_id", "item_id", r6(F.col("shared") / F.col("passage_shingles")).alias("score"))
+
+
+@query(
+    "udf4_pair_plugin",
+    f"select doc_id, item_id, case when (doc_id + item_id) % 17 = 0 then null else round(shared / passage_shingles, 6) end as score, case when (doc_id + item_id) % 17 = 0 then 'VERIFICATION_FAILED:ValueError' end as error from ({PAIR_SQL}) p",
+)
+def udf4(t):
     out = S.verify_pairs(pairs(t), t.raw("documents"), t.raw("benchmark"), containment)
     return out.select("doc_id", "item_id", r6(F.col("score")).alias("score"), "error")
