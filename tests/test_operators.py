@@ -12,6 +12,7 @@ from evidlake.functions.expr import leaf_hash
 from evidlake.operators import coverage, fusion, ledger, plugins, rights, similarity, usage
 from evidlake.operators import evaluation as ev
 from evidlake.operators import profiles as pr
+from evidlake.sources.catalog import bulk_import
 
 
 def vec_frames(spark, q, r, scopes=1):
@@ -249,3 +250,33 @@ def test_embedding_provider_errors_are_rows(spark):
     assert {r["error"] for r in bad} == {"EMBEDDING_NOT_USABLE"}
     short = plugins.embed(df, "id", "text", lambda texts: np.ones((1, 3))).collect()
     assert all(r["error"].startswith("EMBEDDING_FAILED") for r in short)
+
+
+def test_keys_of_different_tuples_never_meet(spark):
+    rows = [(1, "a", "b|c", "d1", 1), (2, "a|b", "c", "d2", 2), (3, None, "c", "d3", 3), (4, "c", None, "d4", 4), (5, None, "c", "d3", 5), (6, "a", "b|c", "d9", 6), (7, "-", "c", "d7", 7)]
+    df = spark.createDataFrame(rows, "event_id bigint, tenant_id string, idem_key string, digest string, ts bigint").withColumn(
+        "ts", F.timestamp_seconds("ts")
+    )
+    got = {r["event_id"]: r["outcome"] for r in usage.idempotency(df, ["tenant_id", "idem_key"], "event_id").collect()}
+    assert got == {1: "NEW", 2: "NEW", 3: "NEW", 4: "NEW", 5: "REPLAY", 6: "CONFLICT", 7: "NEW"}
+
+
+def test_drift_of_mixed_bundles(spark):
+    packets = spark.createDataFrame(
+        [("s", "b0", 5, 50.0, 1.0, 20.0), ("s", "b1", 5, 60.0, 1.0, 20.0), ("t", "b0", 9, 90.0, 1.0, 20.0)],
+        "score_name string, bundle_id string, count bigint, total double, min double, max double",
+    )
+    base = spark.createDataFrame(
+        [("x", "s", "b0", 11.0, 1.0, 1, 5.0, 9.0), ("y", "s", "b1,b0", 11.0, 1.0, 1, 5.0, 9.0), ("x", "t", "b0", 10.0, 1.0, 1, 5.0, 9.0)],
+        "lane string, score_name string, bundle_id string, base_mean double, base_sd double, min_n bigint, warn double, revalidate double",
+    )
+    got = {(r["lane"], r["score_name"]): (r["state"], r["observations"]) for r in usage.evaluate_drift(usage.merge_telemetry(packets, ["score_name"]), base).collect()}
+    assert got == {("x", "s"): ("REVALIDATION_REQUIRED", 10), ("y", "s"): ("STABLE", 10), ("x", "t"): ("STABLE", 9)}
+
+
+def test_import_leaves_no_file_out(spark):
+    files = spark.range(105).selectExpr("concat('f', id) as filename", "if(id < 100, 'big', 'small') as batch", "cast(null as string) as reject_reason")
+    manifest = spark.range(50).selectExpr("concat('f', id) as filename", "'t' as title", "'NONE' as license_hint")
+    got = bulk_import(files, manifest, "batch", 30).collect()
+    assert sorted((r["batch"], r["part"], r["files"]) for r in got) == [("big", 0, 30), ("big", 1, 30), ("big", 2, 30), ("big", 3, 10), ("small", 0, 5)]
+    assert sum(r["imported"] for r in got) == 105 and sum(r["described"] for r in got) == 50
