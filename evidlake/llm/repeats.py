@@ -172,45 +172,85 @@ def send_anchors(units: Units, buckets: int) -> Callable[[Iterable[pa.RecordBatc
     return run
 
 
-def find_live(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, th and places of live anchors. Of copies of a text only that with the smallest doc_id comes."""
+def find_live(groups: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Places of live anchors, by document. Of copies of a text only that with the smallest doc_id comes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in runs(batches, "bucket"):
+            yield from to_documents(*live_places(held), groups)
+
+    return run
+
+
+def live_places(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, th and place of each live anchor of one bucket."""
+    rows = pa.Table.from_batches(held).to_pylist()
+    doc, th = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("docs", "ths"))
+    counts = [unplanes(r["counts"], np.uint32) for r in rows]
+    places = []
+    for r, c in zip(rows, counts, strict=True):
+        delta = unplanes(r["places"], np.uint32).astype(np.int64)
+        total, at = np.cumsum(delta), np.cumsum(c) - c
+        places.append(total - np.repeat(total[at] - delta[at], c))
+    raw = np.concatenate([np.frombuffer(r["grams"], np.uint8) for r in rows]).reshape(-1, 6)
+    gram = np.zeros((len(raw), 8), np.uint8)
+    gram[:, :6] = raw
+    gram = gram.view(np.uint64).ravel()
+    owner = np.repeat(np.arange(len(doc)), np.concatenate(counts))
+    order = np.argsort(gram)
+    owner, gram, place = owner[order], gram[order], np.concatenate(places)[order]
+    at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    size = np.diff(np.append(at, len(gram)))
+    live = np.ones(len(at), bool)
+    for x in (doc[owner], th[owner]):
+        live &= np.minimum.reduceat(x, at) != np.maximum.reduceat(x, at)
+    live = np.repeat(live, size)
+    owner, gram, place = owner[live], gram[live], place[live]
+    order = np.lexsort((doc[owner], th[owner], gram))
+    owner, gram, place = owner[order], gram[order], place[order]
+    at = np.flatnonzero(np.append(len(gram) > 0, (gram[1:] != gram[:-1]) | (th[owner[1:]] != th[owner[:-1]])))
+    least = np.repeat(doc[owner[at]], np.diff(np.append(at, len(gram))))
+    first = doc[owner] == least
+    return doc[owner[first]], th[owner[first]], place[first]
+
+
+def to_documents(doc: np.ndarray, th: np.ndarray, values: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """Send numbers (one row or several for each document) to their documents: one batch for each group of documents."""
+    if not len(doc):
+        return
+    group = (((doc.view(np.uint64) ^ th.view(np.uint64)) * _B) >> np.uint64(33)) % np.uint64(groups)
+    order = np.lexsort((th, doc, group))
+    doc, th, values, group = doc[order], th[order], values[order], group[order]
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
+        own = np.flatnonzero(np.append(True, (doc[lo + 1 : hi] != doc[lo : hi - 1]) | (th[lo + 1 : hi] != th[lo : hi - 1])))
+        yield pa.RecordBatch.from_pydict(
+            {
+                "bucket": pa.array([int(group[lo])], pa.int32()), "docs": [planes(doc[lo:hi][own])], "ths": [th[lo:hi][own].tobytes()],
+                "counts": [planes(np.diff(np.append(own, hi - lo)).astype(np.uint32))],
+                "values": [planes(np.ascontiguousarray(values[lo:hi], np.uint32).ravel())],
+            }
+        )
+
+
+def at_documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, th and all numbers that were sent to it, for each document of a group."""
     for _, held in runs(batches, "bucket"):
         rows = pa.Table.from_batches(held).to_pylist()
-        doc, th = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("docs", "ths"))
-        counts = [unplanes(r["counts"], np.uint32) for r in rows]
-        places = []
-        for r, c in zip(rows, counts, strict=True):
-            delta = unplanes(r["places"], np.uint32).astype(np.int64)
-            total, at = np.cumsum(delta), np.cumsum(c) - c
-            places.append(total - np.repeat(total[at] - delta[at], c))
-        raw = np.concatenate([np.frombuffer(r["grams"], np.uint8) for r in rows]).reshape(-1, 6)
-        gram = np.zeros((len(raw), 8), np.uint8)
-        gram[:, :6] = raw
-        gram = gram.view(np.uint64).ravel()
-        owner = np.repeat(np.arange(len(doc)), np.concatenate(counts))
-        order = np.argsort(gram)
-        owner, gram, place = owner[order], gram[order], np.concatenate(places)[order]
-        at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        size = np.diff(np.append(at, len(gram)))
-        live = np.ones(len(at), bool)
-        for x in (doc[owner], th[owner]):
-            live &= np.minimum.reduceat(x, at) != np.maximum.reduceat(x, at)
-        live = np.repeat(live, size)
-        owner, gram, place = owner[live], gram[live], place[live]
-        if not len(owner):
-            continue
-        order = np.lexsort((doc[owner], th[owner], gram))
-        owner, gram, place = owner[order], gram[order], place[order]
-        at = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (th[owner[1:]] != th[owner[:-1]])))
-        least = np.repeat(doc[owner[at]], np.diff(np.append(at, len(gram))))
-        owner, place = owner[doc[owner] == least], place[doc[owner] == least]
-        order = np.lexsort((place, owner))
-        owner, place = owner[order], place[order]
-        at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        doc = np.concatenate([unplanes(r["docs"], np.int64) for r in rows])
+        th = np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows])
+        counts = np.concatenate([unplanes(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+        values = np.concatenate([unplanes(r["values"], np.uint32) for r in rows])
+        values = values.reshape(int(counts.sum()), -1)
+        owner = np.repeat(np.arange(len(doc)), counts)
+        order = np.lexsort((th[owner], doc[owner]))
+        owner, values = owner[order], values[order]
+        at = np.flatnonzero(np.append(True, (doc[owner[1:]] != doc[owner[:-1]]) | (th[owner[1:]] != th[owner[:-1]])))
+        ends = np.append(at, len(owner)) * values.shape[1]
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": doc[owner[at]], "th": th[owner[at]],
-                "places": pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), pa.array(place.astype(np.int32))),
+                "values": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.ravel().astype(np.int32))),
             }
         )
 
@@ -262,7 +302,7 @@ def send_surroundings(units: Units, surround: Surround, buckets: int) -> Callabl
     return run
 
 
-def match_buckets(units: Units, match: Match) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def match_buckets(units: Units, match: Match, groups: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in runs(batches, "bucket"):
             raw = pa.concat_arrays([b.column("around").flatten() for b in held])
@@ -273,17 +313,9 @@ def match_buckets(units: Units, match: Match) -> Callable[[Iterable[pa.RecordBat
             th, gram = np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in rows])
             left, right = (np.concatenate([np.frombuffer(r[c], np.uint8) for r in rows]).astype(np.int64) for c in ("left", "right"))
             row, lo, hi = match(doc, gram, left, right, raw)
-            if not len(row):
-                continue
             # Windows by the number of their first unit in the document.
-            lo, hi = place[row] - units.reach + lo, place[row] - units.reach + hi
-            order = np.lexsort((lo, th[row], doc[row]))
-            d, t = doc[row][order], th[row][order]
-            at = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))
-            flat = np.stack([lo[order], hi[order]], axis=1).astype(np.int32).ravel()
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": d[at], "th": t[at], "windows": pa.ListArray.from_arrays(pa.array(np.append(at * 2, len(flat)).astype(np.int32)), pa.array(flat))}
-            )
+            windows = np.stack([place[row] - units.reach + lo, place[row] - units.reach + hi], axis=1)
+            yield from to_documents(doc[row], th[row], windows, groups)
 
     return run
 
@@ -308,13 +340,19 @@ def repeated_windows(docs: DataFrame, units: Units, surround: Surround, match: M
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(60_000, max(partitions(spark), -(-total // BUCKET_BYTES)))
     sent = rows.mapInArrow(send_anchors(units, buckets), "bucket int, docs binary, ths binary, counts binary, grams binary, places binary")
-    live = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find_live, "doc_id long, th long, places array<int>")
-    live = live.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("places")).alias("places"))
+    groups = partitions(spark)
+    to, at = "bucket int, docs binary, ths binary, counts binary, values binary", "doc_id long, th long, values array<int>"
+
+    def bucketed(rows: DataFrame, n: int) -> DataFrame:
+        return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+    live = bucketed(bucketed(sent, buckets).mapInArrow(find_live(groups), to), groups).mapInArrow(at_documents, at)
+    live = live.withColumnRenamed("values", "places")
     known = written(rows.join(live, ["doc_id", "th"]).select("doc_id", "th", "text", "places"), "live", compression="zstd")
     kind = "bucket int, docs binary, ths binary, places binary, grams binary, left binary, right binary, around array<binary>"
-    met = known.mapInArrow(send_surroundings(units, surround, buckets), kind).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = met.mapInArrow(match_buckets(units, match), "doc_id long, th long, windows array<int>")
-    found = written(found.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("windows")).alias("windows")), "windows")
+    met = bucketed(known.mapInArrow(send_surroundings(units, surround, buckets), kind), buckets)
+    found = bucketed(met.mapInArrow(match_buckets(units, match, groups), to), groups).mapInArrow(at_documents, at)
+    found = written(found.withColumnRenamed("values", "windows"), "windows")
     return known.select("doc_id", "th", "text").join(found, ["doc_id", "th"])
 
 
