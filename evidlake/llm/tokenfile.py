@@ -64,7 +64,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 0) -
     Rows are in the order of doc_id, null first, then text; ``part`` numbers the ranges in that order, nr the rows of
     a range. A document's ids are in one row whatever its length. No documents: files without rows.
     """
-    ordered = texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encode(ordered, path or bpe.standard_path(), end).select(
         F.spark_partition_id().alias("part"), "nr", "doc_id", "n_tokens", "ids"
     ).write.options(**FORMAT).parquet(folder)
