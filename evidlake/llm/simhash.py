@@ -234,13 +234,18 @@ def groups(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
     )
 
 
-def near_dedup(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of one document of each group: that with its smallest doc_id; the columns stay as they are.
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of one document of each group (doc_id, component_id): that with its smallest doc_id; the columns stay as they are.
 
     Of repeated rows with that doc_id the first by text and source stays. Rows with a null doc_id all stay.
     """
-    best = groups(docs, words, budget).where("doc_id = component_id").select(F.col("doc_id").alias("best")).distinct()
+    best = found.where("doc_id = component_id").select(F.col("doc_id").alias("best")).distinct()
     rows = boxed(docs, docs["doc_id"].cast("long").alias("id"))
     first = Window.partitionBy("id").orderBy("row.text", "row.source")
     kept = rows.join(best, F.col("id") == F.col("best"), "left_semi").withColumn("nr", F.row_number().over(first))
     return kept.where("nr = 1").select("row.*").unionByName(docs.where(docs["doc_id"].isNull()))
+
+
+def near_dedup(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
+    """One document of each group of fingerprints stays: see ``keep_first``."""
+    return keep_first(docs, groups(docs, words, budget))
