@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidlake.llm import (
-    automaton_dedup, chat, mixing, packing, simhash, suffix_dedup, tokenfile, topk, toxicity, winnowing,
+    automaton_dedup, chat, graph_search, mixing, packing, periodic, simhash, spelling, suffix_dedup, tokenfile, topk, toxicity,
+    winnowing,
 )
 from evidlake.session import ship_package
 
@@ -121,3 +122,18 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_automaton_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return automaton_dedup.dedup(table(spark, folder, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.groups(table(spark, folder, "documents"))
+
+
+@query
+def op12_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digest(periodic.collapse(periodic.with_planted_runs(table(spark, folder, "documents"))))
