@@ -103,8 +103,12 @@ def evaluate_policy(scans: DataFrame) -> DataFrame:
     n = lambda x: F.coalesce(c(x), F.lit(0).cast("bigint"))
     arr = lambda x: F.coalesce(c(x), F.array().cast("array<string>"))
     unrecorded = c("claims").isNull()
+    unmatched = c("work_id").isNull() if "work_id" in scans.columns else F.lit(False)
     s = scans.withColumn("__blocking", arr("blocking")).withColumn(
-        "__missing", F.when(unrecorded, F.array(F.lit("NO_RECORDED_CLAIM"), F.lit("NO_RECORDED_LICENSE"))).otherwise(arr("missing"))
+        "__missing",
+        F.when(unmatched, F.array(F.lit("NO_MATCHED_WORK")))
+        .when(unrecorded, F.array(F.lit("NO_RECORDED_CLAIM"), F.lit("NO_RECORDED_LICENSE")))
+        .otherwise(arr("missing")),
     )
     blocked = F.size("__blocking") > 0
     eligible = F.when(rule("require_corroborated_claim"), n("strong")).otherwise(n("scope")) > 0

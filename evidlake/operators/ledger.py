@@ -285,27 +285,38 @@ def subject_integrity(leaves: DataFrame, checkpoints: DataFrame, writes_enabled:
     return at.select("leaf_index", status.alias("public_status"), chosen.alias("tree_size"))
 
 
-def projection_integrity(rows: DataFrame, events: DataFrame, leaves: DataFrame) -> DataFrame:
+def projection_integrity(rows: DataFrame, events: DataFrame, leaves: DataFrame, subject: str = "claim") -> DataFrame:
     """Current row against its latest event and that event's leaf; the first failure is the reason.
 
-    ``rows(id, projection_digest)``, ``events(id, event_id, at, event_type, payload_digest,
-    projection_digest)``, ``leaves(event_id, packet_hash)``.
+    ``rows(id, projection_digest[, tenant_id])``, ``events(id, event_id, at, event_type, payload_digest,
+    projection_digest[, event_tenant, subject_type, subject_id, recomputed_digest])``, ``leaves(event_id, packet_hash)``.
+    Checks whose optional columns are absent are left out. The latest event is an aggregate, so a subject with a long
+    history is no hot key.
     """
     c = F.col
-    newest = events.groupBy("id").agg(
-        F.max(F.struct("at", "event_id", "event_type", "payload_digest", "projection_digest")).alias("e")
-    )
+    name = subject.upper()
+    fields = [n for n in events.columns if n not in ("id", "at", "event_id")]
+    newest = events.groupBy("id").agg(F.max(F.struct("at", "event_id", *fields)).alias("e"))
     out = rows.join(newest, "id", "left").withColumn("event_id", c("e.event_id")).join(leaves, "event_id", "left")
-    reason = cascade(
-        [
-            (c("e").isNull(), "CLAIM_INTEGRITY_EVENT_MISSING"),
-            (~c("e.event_type").isin("CLAIM_CREATED", "CLAIM_STATE_CHANGED"), "CLAIM_INTEGRITY_EVENT_TYPE_INVALID"),
-            (F.coalesce(c("packet_hash") != c("e.payload_digest"), F.lit(True)), "CLAIM_INTEGRITY_LOG_INCLUSION_MISSING"),
-            (c("e.projection_digest").isNull(), "CLAIM_INTEGRITY_PROJECTION_MISSING"),
-            (c("e.projection_digest") != c("projection_digest"), "CLAIM_PROJECTION_INTEGRITY_MISMATCH"),
-        ]
-    )
-    return out.select("id", "event_id", reason.alias("reason_code")).withColumn("verified", c("reason_code").isNull())
+    differs = lambda a, b: ~a.eqNullSafe(b)
+    has = set(fields)
+    rules = [
+        (c("e").isNull(), f"{name}_INTEGRITY_EVENT_MISSING"),
+        (~c("e.event_type").isin(f"{name}_CREATED", f"{name}_STATE_CHANGED"), f"{name}_INTEGRITY_EVENT_TYPE_INVALID"),
+    ]
+    if "event_tenant" in has:
+        rules.append((differs(c("e.event_tenant"), c("tenant_id")), f"{name}_INTEGRITY_TENANT_MISMATCH"))
+    if "subject_id" in has:
+        other = differs(c("e.subject_type"), F.lit(subject)) | differs(c("e.subject_id"), c("id"))
+        rules.append((other, f"{name}_INTEGRITY_SUBJECT_MISMATCH"))
+    if "recomputed_digest" in has:
+        rules.append((differs(c("e.recomputed_digest"), c("e.payload_digest")), f"{name}_INTEGRITY_DIGEST_MISMATCH"))
+    rules += [
+        (F.coalesce(c("packet_hash") != c("e.payload_digest"), F.lit(True)), f"{name}_INTEGRITY_LOG_INCLUSION_MISSING"),
+        (c("e.projection_digest").isNull(), f"{name}_INTEGRITY_PROJECTION_MISSING"),
+        (c("e.projection_digest") != c("projection_digest"), f"{name}_PROJECTION_INTEGRITY_MISMATCH"),
+    ]
+    return out.select("id", "event_id", cascade(rules).alias("reason_code")).withColumn("verified", c("reason_code").isNull())
 
 
 # Status a chain ends with, by the type of its last statement.

@@ -8,92 +8,158 @@ from pyspark.sql import functions as F
 from evidlake.functions.expr import cascade, codes, effective_at, joined
 from evidlake.functions.running import running
 from evidlake.functions.skew import join_unique
+from evidlake.session import stored
 
 DAY_US = 86_400_000_000
+MINUTE_US = 60_000_000
 # States that never authorize.
 LICENSE_BLOCKED = ("SUSPENDED", "SUPERSEDED", "REVOKED", "EXPIRED")
 CLAIM_BLOCKED = ("DISPUTED", "SUPERSEDED", "REVOKED")
+# Before every instant.
+ALWAYS = -(1 << 62)
+
+
+def gated(rows: DataFrame, verdicts: DataFrame, id_column: str, subject: str) -> DataFrame:
+    """Rows with ``verified`` and ``integrity_code`` of their integrity verdict (ledger.projection_integrity).
+
+    The gate fails closed: a row that no verdict speaks of isn't verified.
+    """
+    v = verdicts.select(
+        F.col("id").alias("__vid"), F.col("verified").alias("verified"), F.col("reason_code").alias("integrity_code")
+    )
+    out = rows.join(v, rows[id_column] == F.col("__vid"), "left").drop("__vid")
+    missing = F.col("verified").isNull()
+    return out.withColumn(
+        "integrity_code", F.when(missing, f"{subject.upper()}_INTEGRITY_EVENT_MISSING").otherwise(F.col("integrity_code"))
+    ).withColumn("verified", F.coalesce("verified", F.lit(False)))
+
+
+def _listed(licenses: DataFrame) -> DataFrame:
+    """Licenses with lists of uses and a verdict, whatever of these their table has."""
+    none = F.array().cast("array<string>")
+    if "permitted_uses" not in licenses.columns:
+        licenses = licenses.withColumn("permitted_uses", F.array("permitted_use"))
+    out = licenses.withColumn("permitted_uses", F.coalesce("permitted_uses", none))
+    prohibited = F.coalesce("prohibited_uses", none) if "prohibited_uses" in licenses.columns else none
+    verified = F.coalesce("verified", F.lit(False)) if "verified" in licenses.columns else F.lit(True)
+    return out.withColumn("prohibited_uses", prohibited).withColumn("verified", verified)
 
 
 def license_authorizes(uses: DataFrame, licenses: DataFrame) -> DataFrame:
     """For every use, how many licenses of its work permit it at that time, and why others do not.
 
-    ``uses(event_id, work_id, intended_use, at_us)``,
-    ``licenses(work_id, state, permitted_use, from_us, until_us)``.
-    No use is paired with a license: starts, ends and uses are swept once in time order, so a work with
-    very many licenses and uses stays linear. The sweep is chunked by day.
+    ``uses(event_id, work_id, intended_use, at_us)``, ``licenses(work_id, state, permitted_uses, from_us, until_us)`` and, if
+    there, ``prohibited_uses`` and ``verified`` (a single ``permitted_use`` will do as well). A license that fails the
+    integrity gate gives no right and is only counted; of the others, the first of these applies: a blocked state, not yet
+    effective, expired, the use is prohibited (even if it is also permitted), the use isn't listed. Open ends are NULL.
+
+    No use is paired with a license. Permissions and vetoes are counted apart per (work, use): each license adds to them
+    when it begins and takes away when it ends; changes and questions are reduced to one row for each instant before they are
+    swept in time order, so neither many licenses of a work nor many uses at one time gather in a task. The sweep is
+    chunked by day and minute, and every use then looks its instant up.
     """
-    active = licenses.where(~F.col("state").isin(*LICENSE_BLOCKED))
-    both = lambda df, use: df.withColumn("use_key", F.explode(F.array(F.lit("*"), F.col(use))))
-    zero = F.lit(0).cast("bigint")
-    one = F.lit(1).cast("bigint")
-    # kind 0 sorts before the uses of the same instant: a license is effective from its first moment
-    # and no longer effective at its last.
-    starts = both(active, "permitted_use").select(
-        "work_id", "use_key", F.col("from_us").alias("at_us"), F.lit(0).alias("kind"), zero.alias("event_id"),
-        one.alias("started"), zero.alias("ended"),
+    c = F.col
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    rows = _listed(licenses)
+    blocked = c("state").isin(*LICENSE_BLOCKED)
+    active = rows.where(c("verified") & ~blocked)
+    starts = F.coalesce("from_us", F.lit(ALWAYS))
+    terms = F.array(
+        F.struct(starts.alias("at_us"), one.alias("sign"), one.alias("started"), zero.alias("ended")),
+        # One that ends before it starts is not yet effective until it has ended.
+        F.struct(F.greatest(starts, "until_us").alias("at_us"), (-one).alias("sign"), zero.alias("started"), one.alias("ended")),
     )
-    ends = both(active, "permitted_use").select(
-        "work_id", "use_key", F.col("until_us").alias("at_us"), F.lit(0).alias("kind"), zero.alias("event_id"),
-        zero.alias("started"), one.alias("ended"),
+    terms = F.filter(terms, lambda t: (t["sign"] > 0) | c("until_us").isNotNull())
+    allowed = F.array_except("permitted_uses", "prohibited_uses")
+    effects = F.concat(
+        F.array(F.struct(F.lit("*").alias("use_key"), zero.alias("permits"), zero.alias("vetoes"))),
+        F.transform(allowed, lambda u: F.struct(u.alias("use_key"), one.alias("permits"), zero.alias("vetoes"))),
+        F.transform(F.array_distinct("prohibited_uses"), lambda u: F.struct(u.alias("use_key"), zero.alias("permits"), one.alias("vetoes"))),
     )
-    asks = both(uses, "intended_use").select(
-        "work_id", "use_key", "at_us", F.lit(1).alias("kind"), "event_id", zero.alias("started"), zero.alias("ended")
+    changes = active.select("work_id", F.explode(terms).alias("t"), effects.alias("es")).select("work_id", "t", F.explode("es").alias("e"))
+    # Kind 0 sorts before the questions of the same instant: a license is effective from its first moment on, and no
+    # longer at its last. "u:" keeps a use that is called "*" apart.
+    use = lambda u: F.concat(F.lit("u:"), u)
+    key = F.when(c("e.use_key") == "*", F.when((c("e.permits") + c("e.vetoes")) == 0, F.lit("*")).otherwise(use(c("e.use_key")))).otherwise(use(c("e.use_key")))
+    changes = changes.select(
+        "work_id", key.alias("use_key"), c("t.at_us").alias("at_us"), F.lit(0).alias("kind"),
+        (c("t.sign") * c("e.permits")).alias("permits"), (c("t.sign") * c("e.vetoes")).alias("vetoes"),
+        c("t.started").alias("started"), c("t.ended").alias("ended"),
     )
-    line = starts.unionByName(ends).unionByName(asks).withColumn(
-        "day", F.floor(F.col("at_us") / DAY_US).cast("bigint")
+    asked = uses.where("work_id is not null and intended_use is not null and at_us is not null").select("work_id", "intended_use", "at_us").distinct()
+    questions = asked.select(
+        "work_id", F.explode(F.array(F.lit("*"), use(c("intended_use")))).alias("use_key"), "at_us", F.lit(1).alias("kind"),
+        *[zero.alias(n) for n in ("permits", "vetoes", "started", "ended")],
     )
+    sums = [F.sum(n).alias(n) for n in ("permits", "vetoes", "started", "ended")]
+    # Swept more than once, level by level: computed once.
+    line = stored(changes.unionByName(questions).groupBy("work_id", "use_key", "at_us", "kind").agg(*sums), "changes")
+    line = line.withColumn("day", F.floor(c("at_us") / DAY_US).cast("bigint")).withColumn("minute", F.floor(c("at_us") / MINUTE_US).cast("bigint"))
     swept = running(
-        line, ["work_id", "use_key"], [("day", True)], [("at_us", True), ("kind", True), ("event_id", True)],
-        {"n_started": (F.col("started"), "sum"), "n_ended": (F.col("ended"), "sum")},
+        line, ["work_id", "use_key"], [("day", True), ("minute", True)], [("at_us", True), ("kind", True)],
+        {f"n_{n}": (c(n), "sum") for n in ("permits", "vetoes", "started", "ended")},
     ).where("kind = 1")
-    any_use = F.col("use_key") == "*"
-    at = swept.groupBy("event_id", "work_id").agg(
-        F.max(F.when(any_use, F.col("n_started"))).alias("__s"),
-        F.max(F.when(any_use, F.col("n_ended"))).alias("expired"),
-        F.max(F.when(~any_use, F.col("n_started") - F.col("n_ended"))).alias("permitting"),
+    swept = stored(swept.select("work_id", "use_key", "at_us", *[f"n_{n}" for n in ("permits", "vetoes", "started", "ended")]), "swept")
+    at_all = swept.where("use_key = '*'").select("work_id", "at_us", c("n_started").alias("begun"), c("n_ended").alias("over"))
+    at_use = swept.where("use_key <> '*'").select(
+        "work_id", F.substring("use_key", 3, 1 << 30).alias("intended_use"), "at_us", c("n_permits").alias("permitting"), c("n_vetoes").alias("prohibiting")
     )
-    totals = licenses.groupBy("work_id").agg(
-        F.count_if(~F.col("state").isin(*LICENSE_BLOCKED)).alias("__active"),
-        F.count_if(F.col("state") == "SUSPENDED").alias("suspended"),
-        F.count_if(F.col("state") == "REVOKED").alias("revoked"),
+    ok = c("verified")
+    totals = rows.groupBy("work_id").agg(
+        F.count_if(ok & ~blocked).alias("active"),
+        *[F.count_if(ok & (c("state") == s)).alias(f"state_{s.lower()}") for s in LICENSE_BLOCKED],
+        F.count_if(~ok).alias("unverified"),
     )
-    out = join_unique(at, totals, "work_id", "event_id")
-    n = lambda c: F.coalesce(F.col(c), zero)
+    known = at_use.join(at_all, ["work_id", "at_us"]).join(totals, "work_id", "left")
+    together = lambda df: F.to_json(F.struct(*[df[n] for n in ("work_id", "intended_use", "at_us")]), {"ignoreNullFields": "false"})
+    known = known.withColumn("__ask", together(known)).drop("work_id", "intended_use", "at_us")
+    out = join_unique(uses.withColumn("__ask", together(uses)), known, "__ask", "event_id")
+    n = lambda name: F.coalesce(c(name), zero)
     out = out.select(
-        "event_id", "work_id",
-        n("permitting").alias("permitting"),
-        (n("__s") - n("expired") - n("permitting")).alias("other_use"),
-        n("expired").alias("expired"),
-        (n("__active") - n("__s")).alias("not_yet_effective"),
-        n("suspended").alias("suspended"),
-        n("revoked").alias("revoked"),
+        "event_id", "work_id", n("permitting").alias("permitting"), n("prohibiting").alias("prohibiting"),
+        (n("begun") - n("over") - n("permitting") - n("prohibiting")).alias("other_use"),
+        (n("over") + n("state_expired")).alias("expired"), (n("active") - n("begun")).alias("not_yet_effective"),
+        n("state_suspended").alias("suspended"), n("state_revoked").alias("revoked"), n("state_superseded").alias("superseded"),
+        n("unverified").alias("unverified"),
     )
     reasons = codes(
-        (F.col("other_use") > 0, "LICENSE_DOES_NOT_LIST_INTENDED_USE"),
-        (F.col("expired") > 0, "LICENSE_EXPIRED"),
-        (F.col("not_yet_effective") > 0, "LICENSE_NOT_YET_EFFECTIVE"),
-        (F.col("permitting") > 0, "LICENSE_PERMITS_INTENDED_USE"),
-        (F.col("revoked") > 0, "LICENSE_REVOKED"),
-        (F.col("suspended") > 0, "LICENSE_SUSPENDED"),
+        (c("other_use") > 0, "LICENSE_DOES_NOT_LIST_INTENDED_USE"),
+        (c("expired") > 0, "LICENSE_EXPIRED"),
+        (c("not_yet_effective") > 0, "LICENSE_NOT_YET_EFFECTIVE"),
+        (c("permitting") > 0, "LICENSE_PERMITS_INTENDED_USE"),
+        (c("prohibiting") > 0, "LICENSE_PROHIBITS_INTENDED_USE"),
+        (c("unverified") > 0, "LICENSE_PROJECTION_INTEGRITY_UNVERIFIED"),
+        (c("revoked") > 0, "LICENSE_REVOKED"),
+        (c("superseded") > 0, "LICENSE_SUPERSEDED"),
+        (c("suspended") > 0, "LICENSE_SUSPENDED"),
     )
-    return out.withColumn("authorized", F.col("permitting") > 0).withColumn("reason_codes", joined(reasons))
+    return out.withColumn("authorized", c("permitting") > 0).withColumn("reason_codes", joined(reasons))
+
+
+def corroborating(claims: DataFrame, as_of: Column) -> Column:
+    """True for claims that are verified, effective at a time and corroborated: only these back a license."""
+    until = F.col("effective_until") if "effective_until" in claims.columns else F.lit(None)
+    verified = F.coalesce("verified", F.lit(False)) if "verified" in claims.columns else F.lit(True)
+    return verified & effective_at(F.col("effective_from"), until, as_of) & (F.col("state") == "CORROBORATED")
 
 
 def backed_licenses(licenses: DataFrame, claims: DataFrame, as_of: Column) -> DataFrame:
-    """Whether each license rests on a corroborated claim that is effective."""
-    c = claims.select("claim_id", F.col("state").alias("claim_state"), F.col("effective_from").alias("claim_from"))
+    """Whether each license rests on a claim of its own work that is corroborated, effective and, where judged, verified."""
+    c = claims.select(
+        F.col("claim_id").alias("claim_id"), F.col("work_id").alias("work_id"), F.col("state").alias("claim_state"),
+        corroborating(claims, as_of).alias("claim_stands"),
+    )
     backing = cascade(
         [
             (F.col("claim_state").isNull(), "LICENSE_NOT_BOUND_TO_RECORDED_CLAIM"),
-            ((F.col("claim_state") == "CORROBORATED") & effective_at(F.col("claim_from"), F.lit(None), as_of), "STRONG"),
+            (F.col("claim_stands"), "STRONG"),
             (F.col("claim_state") == "DISPUTED", "MATCHED_CLAIM_DISPUTED"),
             (F.col("claim_state") == "SUPERSEDED", "MATCHED_CLAIM_SUPERSEDED"),
             (F.col("claim_state") == "REVOKED", "MATCHED_CLAIM_REVOKED"),
         ],
         "MATCHED_CLAIM_NOT_CORROBORATED",
     )
-    return licenses.join(c, "claim_id", "left").withColumn("backing", backing)
+    return licenses.join(c, ["claim_id", "work_id"], "left").withColumn("backing", backing).drop("claim_stands")
 
 
 def rights_history(events: DataFrame, claims: DataFrame, licenses: DataFrame) -> DataFrame:
@@ -111,79 +177,98 @@ def rights_history(events: DataFrame, claims: DataFrame, licenses: DataFrame) ->
 def rights_facts(claims: DataFrame, licenses: DataFrame, uses: list[str], as_of: Column) -> DataFrame:
     """The recorded rights position per (work, intended use) at a time.
 
-    ``uses`` is the short list of uses asked about. Everything is conditional counts, so nothing but one
-    row per work and use is ever shuffled.
+    ``claims`` and ``licenses`` come through ``gated``: what isn't verified contributes no right, and says why. ``uses``
+    is the short list of uses asked about. Everything is conditional counts and sets of a few codes, combined before
+    the shuffle, so nothing but one row per work is ever gathered. The authorizing license is the first by version (and time of
+    creation, where there is one), then id.
     """
     c = F.col
-    eff = effective_at(c("effective_from"), F.lit(None), as_of)
-    claim_facts = claims.groupBy("work_id").agg(
+    verified = c("verified")
+    claimed = claims.withColumn("stands", corroborating(claims, as_of))
+    claim_facts = claimed.groupBy("work_id").agg(
         F.count(F.lit(1)).alias("claims"),
-        F.count_if((c("state") == "CORROBORATED") & eff).alias("corroborated"),
-        F.count_if(c("state") == "DISPUTED").alias("disputed"),
-        F.count_if(~eff).alias("claims_not_yet"),
+        F.count_if("stands").alias("corroborated"),
+        *[F.count_if(c("state") == s).alias(f"claims_{s.lower()}") for s in CLAIM_BLOCKED],
+        F.count_if(c("effective_from") > as_of).alias("claims_not_yet"),
+        F.count_if(c("effective_until") <= as_of).alias("claims_ended"),
+        F.collect_set(F.when(~verified, c("integrity_code"))).alias("claim_failures"),
+    )
+    backed = backed_licenses(_listed(licenses), claims, as_of)
+    state_ok = ~c("state").isin(*LICENSE_BLOCKED)
+    late, over = F.coalesce(c("effective_from") > as_of, F.lit(False)), F.coalesce(c("effective_until") <= as_of, F.lit(False))
+    in_time = verified & state_ok & ~late & ~over
+    order = F.struct(*[n for n in ("version", "created_at", "license_id") if n in licenses.columns])
+    weak_codes = (
+        "LICENSE_NOT_BOUND_TO_RECORDED_CLAIM", "MATCHED_CLAIM_DISPUTED", "MATCHED_CLAIM_NOT_CORROBORATED", "MATCHED_CLAIM_REVOKED",
+        "MATCHED_CLAIM_SUPERSEDED",
     )
-    backed = backed_licenses(licenses, claims, as_of).withColumn("strong", c("backing") == "STRONG")
-    ok_state = ~c("state").isin(*LICENSE_BLOCKED)
-    started, ended = c("effective_from") <= as_of, c("effective_until") <= as_of
-    in_time = ok_state & started & ~ended
     per_use = []
     for i, u in enumerate(uses):
-        fits = in_time & (c("permitted_use") == u)
+        veto = F.array_contains("prohibited_uses", u)
+        fits = in_time & ~veto & F.array_contains("permitted_uses", u)
+        strong = fits & (c("backing") == "STRONG")
         per_use += [
             F.count_if(fits).alias(f"scope_{i}"),
-            F.count_if(fits & c("strong")).alias(f"strong_{i}"),
-            F.min(F.when(fits & c("strong"), c("license_id"))).alias(f"first_{i}"),
-            F.count_if(in_time & (c("permitted_use") != u)).alias(f"other_{i}"),
-            F.count_if(fits & ~c("strong") & (c("backing") == "MATCHED_CLAIM_NOT_CORROBORATED")).alias(f"weak_{i}"),
-            F.count_if(fits & (c("backing") == "MATCHED_CLAIM_DISPUTED")).alias(f"contested_{i}"),
+            F.count_if(strong).alias(f"strong_{i}"),
+            F.min(F.when(strong, order)).alias(f"first_{i}"),
+            F.count_if(in_time & veto).alias(f"vetoed_{i}"),
+            F.count_if(in_time & ~veto & ~F.array_contains("permitted_uses", u)).alias(f"other_{i}"),
+            F.collect_set(F.when(fits & c("backing").isin(*weak_codes), c("backing"))).alias(f"weak_{i}"),
         ]
     license_facts = backed.groupBy("work_id").agg(
         F.count(F.lit(1)).alias("licenses"),
-        F.count_if(c("state") == "SUSPENDED").alias("suspended"),
-        F.count_if(c("state") == "REVOKED").alias("revoked"),
-        F.count_if(ok_state & ~started).alias("not_yet"),
-        F.count_if(ok_state & started & ended).alias("expired"),
+        *[F.count_if(verified & (c("state") == s)).alias(f"licenses_{s.lower()}") for s in LICENSE_BLOCKED],
+        F.count_if(verified & state_ok & late).alias("licenses_not_yet"),
+        F.count_if(verified & state_ok & ~late & over).alias("licenses_over"),
+        F.collect_set(F.when(~verified, c("integrity_code"))).alias("license_failures"),
         *per_use,
     )
-    names = ("scope", "strong", "first", "other", "weak", "contested")
+    names = ("scope", "strong", "first", "vetoed", "other", "weak")
     stacked = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(u).alias("intended_use"), *[c(f"{n}_{i}").alias(n) for n in names])
-                for i, u in enumerate(uses)
-            ]
-        )
+        F.array(*[F.struct(F.lit(u).alias("intended_use"), *[c(f"{n}_{i}").alias(n) for n in names]) for i, u in enumerate(uses)])
     )
+    counts = [
+        "claims", "corroborated", "claims_not_yet", "claims_ended", *[f"claims_{s.lower()}" for s in CLAIM_BLOCKED], "licenses",
+        "licenses_not_yet", "licenses_over", *[f"licenses_{s.lower()}" for s in LICENSE_BLOCKED],
+    ]
     n = lambda col: F.coalesce(c(col), F.lit(0).cast("bigint"))
+    some = lambda col: F.coalesce(c(col), F.array().cast("array<string>"))
     work = claim_facts.join(license_facts, "work_id", "full").withColumn("u", stacked).select(
-        "work_id", "u.intended_use",
-        *[n(x).alias(x) for x in ("claims", "corroborated", "disputed", "claims_not_yet", "licenses", "suspended", "revoked", "not_yet", "expired")],
-        *[n(f"u.{x}").alias(x) for x in names if x != "first"],
-        c("u.first").alias("authorizing_license_id"),
+        "work_id", "u.intended_use", *[n(x).alias(x) for x in counts],
+        *[n(f"u.{x}").alias(x) for x in ("scope", "strong", "vetoed", "other")], some("u.weak").alias("weak"),
+        some("claim_failures").alias("claim_failures"), some("license_failures").alias("license_failures"),
+        c("u.first.license_id").alias("authorizing_license_id"),
     )
-    blocking = codes((c("disputed") > 0, "CLAIM_DISPUTED"), (c("suspended") > 0, "LICENSE_SUSPENDED"))
+    seen = lambda col: c(col) > 0
+    blocking = codes((seen("claims_disputed"), "CLAIM_DISPUTED"), (seen("licenses_suspended"), "LICENSE_SUSPENDED"))
     missing = codes(
-        ((c("claims") > 0) & (c("corroborated") == 0), "NO_CORROBORATED_CLAIM"),
-        (c("claims") == 0, "NO_RECORDED_CLAIM"),
-        (c("licenses") == 0, "NO_RECORDED_LICENSE"),
+        (F.size("claim_failures") > 0, "CLAIM_PROJECTION_INTEGRITY_UNVERIFIED"),
+        (F.size("license_failures") > 0, "LICENSE_PROJECTION_INTEGRITY_UNVERIFIED"),
+        (seen("claims") & ~seen("corroborated"), "NO_CORROBORATED_CLAIM"),
+        (~seen("claims"), "NO_RECORDED_CLAIM"),
+        (~seen("licenses"), "NO_RECORDED_LICENSE"),
+    )
+    claim_reasons = codes(
+        (seen("claims_disputed"), "CLAIM_DISPUTED"), (seen("claims_not_yet"), "CLAIM_NOT_YET_EFFECTIVE"),
+        (seen("claims_ended"), "CLAIM_NO_LONGER_EFFECTIVE"), (seen("claims_revoked"), "CLAIM_REVOKED"),
+        (seen("claims_superseded"), "CLAIM_SUPERSEDED"),
     )
-    claim_reasons = codes((c("disputed") > 0, "CLAIM_DISPUTED"), (c("claims_not_yet") > 0, "CLAIM_NOT_YET_EFFECTIVE"))
     license_reasons = codes(
-        (c("scope") > c("strong"), "LICENSE_BACKING_CLAIM_NOT_CORROBORATED"),
-        (c("other") > 0, "LICENSE_DOES_NOT_LIST_INTENDED_USE"),
-        (c("expired") > 0, "LICENSE_EXPIRED"),
-        (c("not_yet") > 0, "LICENSE_NOT_YET_EFFECTIVE"),
-        (c("scope") > 0, "LICENSE_PERMITS_INTENDED_USE"),
-        (c("revoked") > 0, "LICENSE_REVOKED"),
-        (c("suspended") > 0, "LICENSE_SUSPENDED"),
-        (c("contested") > 0, "MATCHED_CLAIM_DISPUTED"),
-        (c("weak") > 0, "MATCHED_CLAIM_NOT_CORROBORATED"),
+        (F.size(F.array_remove("weak", "LICENSE_NOT_BOUND_TO_RECORDED_CLAIM")) > 0, "LICENSE_BACKING_CLAIM_NOT_CORROBORATED"),
+        (seen("other"), "LICENSE_DOES_NOT_LIST_INTENDED_USE"),
+        (seen("licenses_over") | seen("licenses_expired"), "LICENSE_EXPIRED"),
+        (seen("licenses_not_yet"), "LICENSE_NOT_YET_EFFECTIVE"),
+        (seen("scope"), "LICENSE_PERMITS_INTENDED_USE"),
+        (seen("vetoed"), "LICENSE_PROHIBITS_INTENDED_USE"),
+        (seen("licenses_revoked"), "LICENSE_REVOKED"),
+        (seen("licenses_superseded"), "LICENSE_SUPERSEDED"),
+        (seen("licenses_suspended"), "LICENSE_SUSPENDED"),
     )
     return (
         work.withColumn("blocking", blocking)
         .withColumn("missing", missing)
-        .withColumn("claim_reasons", claim_reasons)
-        .withColumn("license_reasons", license_reasons)
+        .withColumn("claim_reasons", F.array_sort(F.concat(claim_reasons, "claim_failures")))
+        .withColumn("license_reasons", F.array_sort(F.concat(license_reasons, "license_failures", "weak")))
         .withColumn("authorized", c("strong") > 0)
         .withColumn(
             "derived_path",

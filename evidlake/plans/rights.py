@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from evidlake.functions.expr import joined
 from evidlake.functions.skew import join_unique
 from evidlake.operators import decisions as D
+from evidlake.operators import ledger as L
 from evidlake.operators import rights as R
 from evidlake.operators.fusion import origin_state
 from evidlake.plans.fusion import _STATES
@@ -18,23 +19,46 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
+_AT = """case when failure is not null then 'UNVERIFIED' when state in ('SUSPENDED', 'SUPERSEDED', 'REVOKED', 'EXPIRED') then 'LICENSE_' || state when effective_from > {0} then 'LICENSE_NOT_YET_EFFECTIVE'
+      when effective_until <= {0} then 'LICENSE_EXPIRED' when list_contains(prohibited, {1}) then 'LICENSE_PROHIBITS_INTENDED_USE' when not list_contains(permitted, {1}) then 'LICENSE_DOES_NOT_LIST_INTENDED_USE' else 'LICENSE_PERMITS_INTENDED_USE' end"""
+
+
 @query(
     "jn11_license_authorizes",
-    """with e as (select s.scan_id as event_id, s.work_id, count(*) filter (where l.state = 'ACTIVE' and l.effective_from <= s.created_at and l.effective_until > s.created_at and l.permitted_use = s.intended_use) as permitting,
-          count(*) filter (where l.state = 'ACTIVE' and l.effective_from <= s.created_at and l.effective_until > s.created_at and l.permitted_use <> s.intended_use) as other_use,
-          count(*) filter (where l.state = 'ACTIVE' and l.effective_until <= s.created_at) as expired, count(*) filter (where l.state = 'ACTIVE' and l.effective_from > s.created_at) as not_yet_effective,
-          count(*) filter (where l.state = 'SUSPENDED') as suspended, count(*) filter (where l.state = 'REVOKED') as revoked from V_SCAN s left join V_LICENSE l on l.work_id = s.work_id group by all)
-       select *, permitting > 0 as authorized, concat_ws('|', case when other_use > 0 then 'LICENSE_DOES_NOT_LIST_INTENDED_USE' end, case when expired > 0 then 'LICENSE_EXPIRED' end, case when not_yet_effective > 0 then 'LICENSE_NOT_YET_EFFECTIVE' end,
-         case when permitting > 0 then 'LICENSE_PERMITS_INTENDED_USE' end, case when revoked > 0 then 'LICENSE_REVOKED' end, case when suspended > 0 then 'LICENSE_SUSPENDED' end) as reason_codes from e""",
+    f"""with v as (select s.scan_id, s.work_id, case when g.license_id is not null then {_AT.format("s.created_at", "s.intended_use")} end as verdict
+         from (select scan_id, work_id, intended_use, cast(created_at as timestamp) + to_seconds(scan_id % 86400) as created_at from V_SCAN) s left join (select license_id, work_id as g_work, state, permitted, prohibited, effective_from, effective_until, failure from V_GRANT) g on g.g_work = s.work_id)
+       select scan_id as event_id, work_id, count(*) filter (where verdict = 'LICENSE_PERMITS_INTENDED_USE') as permitting, count(*) filter (where verdict = 'LICENSE_PROHIBITS_INTENDED_USE') as prohibiting,
+         count(*) filter (where verdict = 'LICENSE_DOES_NOT_LIST_INTENDED_USE') as other_use, count(*) filter (where verdict = 'LICENSE_EXPIRED') as expired, count(*) filter (where verdict = 'LICENSE_NOT_YET_EFFECTIVE') as not_yet_effective,
+         count(*) filter (where verdict = 'LICENSE_SUSPENDED') as suspended, count(*) filter (where verdict = 'LICENSE_REVOKED') as revoked, count(*) filter (where verdict = 'LICENSE_SUPERSEDED') as superseded, count(*) filter (where verdict = 'UNVERIFIED') as unverified,
+         count(*) filter (where verdict = 'LICENSE_PERMITS_INTENDED_USE') > 0 as authorized,
+         coalesce(array_to_string(list_sort(list_distinct(list(case when verdict = 'UNVERIFIED' then 'LICENSE_PROJECTION_INTEGRITY_UNVERIFIED' else verdict end))), '|'), '') as reason_codes from v group by 1, 2""",
 )
 def jn11(t):
-    uses = t.scans().select(F.col("scan_id").alias("event_id"), "work_id", "intended_use", F.unix_micros("created_at").alias("at_us"))
-    lic = t.licenses().select(
-        "work_id", "state", "permitted_use", F.unix_micros("effective_from").alias("from_us"), F.unix_micros("effective_until").alias("until_us")
+    at = F.unix_micros("created_at") + F.col("scan_id") % 86400 * 1_000_000
+    uses = t.scans().select(F.col("scan_id").alias("event_id"), "work_id", "intended_use", at.alias("at_us"))
+    lic = gated_rights(t)[1].select(
+        "work_id", "state", "permitted_uses", "prohibited_uses", "verified", F.unix_micros("effective_from").alias("from_us"), F.unix_micros("effective_until").alias("until_us")
     )
     return R.license_authorizes(uses, lic)
 
 
+def gated_rights(t: Tables):
+    """Claims and licenses with the verdict on their recorded projection."""
+    claims = R.gated(t.titles(), L.projection_integrity(*t.rights_log("claim"), subject="claim"), "claim_id", "claim")
+    licenses = R.gated(t.grants(), L.projection_integrity(*t.rights_log("license"), subject="license"), "license_id", "license")
+    return claims, licenses
+
+
+@query(
+    "jn20_license_integrity",
+    "select license_id as id, failure as reason_code, failure is null as verified from V_GRANT union all select -claim_id, failure, failure is null from V_TITLE",
+)
+def jn20_license(t):
+    c, g = gated_rights(t)
+    out = lambda df, id_: df.select(id_, F.col("integrity_code").alias("reason_code"), "verified")
+    return out(g, F.col("license_id").alias("id")).unionByName(out(c, (-F.col("claim_id")).alias("id")))
+
+
 _BACK = f"""select l.*, case when c.claim_id is null then 'LICENSE_NOT_BOUND_TO_RECORDED_CLAIM' when c.state = 'CORROBORATED' and c.effective_from <= timestamp '{AS_OF}' then 'STRONG' when c.state = 'DISPUTED' then 'MATCHED_CLAIM_DISPUTED' else 'MATCHED_CLAIM_NOT_CORROBORATED' end as backing
   from V_LICENSE l left join V_CLAIM c on c.claim_id = l.claim_id"""
 
@@ -56,23 +80,28 @@ def jn13(t):
     return R.rights_history(ev, t.claims(), t.licenses()).select("work_id", "rights_event_id", "event_type")
 
 
-_FACTS = f"""ca as (select work_id, count(*) as claims, count(*) filter (where state = 'CORROBORATED' and effective_from <= timestamp '{AS_OF}') as corroborated, count(*) filter (where state = 'DISPUTED') as disputed, count(*) filter (where effective_from > timestamp '{AS_OF}') as cny from V_CLAIM group by 1),
-  bl as ({_BACK}),
-  lu as (select b.work_id, u.intended_use, count(*) as licenses, count(*) filter (where state = 'SUSPENDED') as suspended, count(*) filter (where state = 'REVOKED') as revoked, count(*) filter (where state = 'ACTIVE' and effective_from > timestamp '{AS_OF}') as ny,
-     count(*) filter (where state = 'ACTIVE' and effective_until <= timestamp '{AS_OF}') as ex, count(*) filter (where ok and permitted_use = u.intended_use) as scope, count(*) filter (where ok and permitted_use = u.intended_use and backing = 'STRONG') as strong,
-     min(license_id) filter (where ok and permitted_use = u.intended_use and backing = 'STRONG') as first_id, count(*) filter (where ok and permitted_use <> u.intended_use) as oth, count(*) filter (where ok and permitted_use = u.intended_use and backing = 'MATCHED_CLAIM_NOT_CORROBORATED') as weak, count(*) filter (where ok and permitted_use = u.intended_use and backing = 'MATCHED_CLAIM_DISPUTED') as cont
-     from (select *, state = 'ACTIVE' and effective_from <= timestamp '{AS_OF}' and effective_until > timestamp '{AS_OF}' as ok from bl) b cross join (values ('marketing'), ('editorial')) u(intended_use) group by all),
-  fa as (select ca.work_id, u.intended_use, ca.claims, corroborated, disputed, coalesce(licenses, 0) as licenses, coalesce(suspended, 0) as suspended, coalesce(scope, 0) as scope, coalesce(strong, 0) as strong, first_id,
-     concat_ws('|', case when disputed > 0 then 'CLAIM_DISPUTED' end, case when suspended > 0 then 'LICENSE_SUSPENDED' end) as blocking, concat_ws('|', case when corroborated = 0 then 'NO_CORROBORATED_CLAIM' end, case when licenses is null then 'NO_RECORDED_LICENSE' end) as missing,
-     concat_ws('|', case when disputed > 0 then 'CLAIM_DISPUTED' end, case when cny > 0 then 'CLAIM_NOT_YET_EFFECTIVE' end) as claim_reasons,
-     concat_ws('|', case when scope > strong then 'LICENSE_BACKING_CLAIM_NOT_CORROBORATED' end, case when oth > 0 then 'LICENSE_DOES_NOT_LIST_INTENDED_USE' end, case when ex > 0 then 'LICENSE_EXPIRED' end, case when ny > 0 then 'LICENSE_NOT_YET_EFFECTIVE' end, case when scope > 0 then 'LICENSE_PERMITS_INTENDED_USE' end,
-       case when revoked > 0 then 'LICENSE_REVOKED' end, case when suspended > 0 then 'LICENSE_SUSPENDED' end, case when cont > 0 then 'MATCHED_CLAIM_DISPUTED' end, case when weak > 0 then 'MATCHED_CLAIM_NOT_CORROBORATED' end) as license_reasons
-     from ca cross join (values ('marketing'), ('editorial')) u(intended_use) left join lu on lu.work_id = ca.work_id and lu.intended_use = u.intended_use),
+_LIST = "list_sort(list_distinct(list_filter(flatten(list({0})), lambda z: z is not null)))"
+_NOW = f"timestamp '{AS_OF}'"
+_FACTS = f"""tt as (select *, failure is null and state = 'CORROBORATED' and coalesce(effective_from <= {_NOW}, true) and coalesce(effective_until > {_NOW}, true) as stands,
+     [failure, case when effective_from > {_NOW} then 'CLAIM_NOT_YET_EFFECTIVE' end, case when effective_until <= {_NOW} then 'CLAIM_NO_LONGER_EFFECTIVE' end, case when state in ('DISPUTED', 'SUPERSEDED', 'REVOKED') then 'CLAIM_' || state end] as codes from V_TITLE),
+  ca as (select work_id, count(*) as claims, count(*) filter (where stands) as corroborated, bool_or(state = 'DISPUTED') as disputed, bool_or(failure is not null) as c_odd, {_LIST.format("codes")} as c_codes from tt group by 1),
+  gl as (select g.*, intended_use, {_AT.format(_NOW, "intended_use")} as verdict, c_state, coalesce(stands, false) as stands
+     from V_GRANT g cross join (values ('marketing'), ('editorial')) u(intended_use) left join (select claim_id as c_id, work_id as c_work, state as c_state, stands from tt) c on c_id = g.claim_id and c_work = g.work_id),
+  gw as (select *, case when verdict = 'LICENSE_PERMITS_INTENDED_USE' and not stands then case when c_state is null then ['LICENSE_NOT_BOUND_TO_RECORDED_CLAIM'] else ['LICENSE_BACKING_CLAIM_NOT_CORROBORATED', case when c_state in ('DISPUTED', 'SUPERSEDED', 'REVOKED') then 'MATCHED_CLAIM_' || c_state else 'MATCHED_CLAIM_NOT_CORROBORATED' end] end else [] end as more from gl),
+  lu as (select work_id, intended_use, count(*) as licenses, bool_or(verdict = 'LICENSE_SUSPENDED') as suspended, bool_or(failure is not null) as l_odd, count(*) filter (where verdict = 'LICENSE_PERMITS_INTENDED_USE') as scope, count(*) filter (where verdict = 'LICENSE_PERMITS_INTENDED_USE' and stands) as strong,
+     min((version, license_id)) filter (where verdict = 'LICENSE_PERMITS_INTENDED_USE' and stands) as best, {_LIST.format("list_append(more, coalesce(failure, verdict))")} as l_codes from gw group by all),
+  wk as (select distinct work_id, intended_use from (select work_id from V_TITLE union select work_id from V_GRANT) w cross join (values ('marketing'), ('editorial')) u(intended_use)),
+  fa as (select wk.work_id, wk.intended_use, coalesce(claims, 0) as claims, coalesce(licenses, 0) as licenses, coalesce(scope, 0) as scope, coalesce(strong, 0) as strong, best[2] as first_id,
+     concat_ws('|', case when disputed then 'CLAIM_DISPUTED' end, case when suspended then 'LICENSE_SUSPENDED' end) as blocking,
+     concat_ws('|', case when c_odd then 'CLAIM_PROJECTION_INTEGRITY_UNVERIFIED' end, case when l_odd then 'LICENSE_PROJECTION_INTEGRITY_UNVERIFIED' end, case when corroborated = 0 then 'NO_CORROBORATED_CLAIM' end, case when claims is null then 'NO_RECORDED_CLAIM' end, case when licenses is null then 'NO_RECORDED_LICENSE' end) as missing,
+     coalesce(array_to_string(c_codes, '|'), '') as claim_reasons, coalesce(array_to_string(l_codes, '|'), '') as license_reasons
+     from wk left join ca on ca.work_id = wk.work_id left join lu on lu.work_id = wk.work_id and lu.intended_use = wk.intended_use),
   fx as (select *, strong > 0 as authorized, case when strong > 0 then 'EXISTING_LICENSE' when blocking <> '' then 'DISPUTED' when licenses > 0 then 'EXISTING_LICENSE' else 'NO_LICENSE_INFO' end as derived_path from fa)"""
 
 
 def facts(t: Tables):
-    return R.rights_facts(t.claims(), t.licenses(), ["marketing", "editorial"], as_of())
+    claims, licenses = gated_rights(t)
+    return R.rights_facts(claims, licenses, ["marketing", "editorial"], as_of())
 
 
 @query(

@@ -35,6 +35,15 @@ _JOBSTATE = (
     "when 'signup' then 'RETRYABLE' else 'FAILED' end"
 )
 
+def _failure(kind: str) -> str:
+    """The first failed check of a recorded row: which rows are tampered with goes by their id."""
+    checks = {
+        31: "INTEGRITY_EVENT_MISSING", 37: "INTEGRITY_EVENT_TYPE_INVALID", 41: "INTEGRITY_TENANT_MISMATCH", 43: "INTEGRITY_SUBJECT_MISMATCH",
+        47: "INTEGRITY_DIGEST_MISMATCH", 53: "INTEGRITY_LOG_INCLUSION_MISSING", 59: "INTEGRITY_PROJECTION_MISSING", 61: "PROJECTION_INTEGRITY_MISMATCH",
+    }
+    return "case " + " ".join(f"when {kind}_id % {n} = 0 then '{kind.upper()}_{code}'" for n, code in checks.items()) + " end"
+
+
 VIEWS: dict[str, str] = {
     "V_WORK": "select doc_id as work_id, lang as tenant_id, source as catalog_id, text, n_chars as byte_size, sha256(text) as sha256, case when doc_id % 7 = 0 then null else concat('c', doc_id % 20) end as claimant from documents",
     "V_VERSION": "select doc_id as work_id, v::bigint as version, sha256(concat(text, '#', v)) as sha256 from documents cross join (values (1),(2),(3)) t(v) where v <= doc_id % 4",
@@ -56,6 +65,8 @@ VIEWS: dict[str, str] = {
     "V_ENDPOINT": "select c_custkey * 10 + slot as endpoint_id, c_custkey as tenant_id, case when c_mktsegment = 'BUILDING' then 'purchase' when c_mktsegment = 'MACHINERY' then 'error' when slot = 2 then 'view' end as only_type, c_acctbal > 0 as active from customer cross join (values (1::bigint),(2::bigint)) s(slot)",
     "V_CLAIM": "select o_orderkey as claim_id, o_custkey as tenant_id, o_orderkey % 500 as work_id, case o_orderstatus when 'F' then 'CORROBORATED' when 'O' then 'ASSERTED' else 'DISPUTED' end as state, o_orderdate as effective_from from orders",
     "V_LICENSE": "select l.l_orderkey * 10 + l.l_linenumber as license_id, l.l_orderkey as claim_id, l.l_orderkey % 500 as work_id, case when l.l_linenumber = 7 then -1 else o.o_custkey end as tenant_id, case l.l_returnflag when 'N' then 'ACTIVE' when 'A' then 'SUSPENDED' else 'REVOKED' end as state, case l.l_linestatus when 'O' then 'marketing' else 'editorial' end as permitted_use, l.l_shipdate as effective_from, l.l_shipdate + interval '30' day as effective_until from lineitem l join orders o on o.o_orderkey = l.l_orderkey",
+    "V_TITLE": f"select claim_id, work_id, tenant_id, case when claim_id % 17 = 3 then 'SUPERSEDED' when claim_id % 19 = 4 then 'REVOKED' else state end as state, effective_from, case when claim_id % 4 = 1 then effective_from + interval '700' day end as effective_until, {_failure('claim')} as failure from V_CLAIM",
+    "V_GRANT": f"select license_id, claim_id, case when license_id % 27 = 2 then work_id + 1 else work_id end as work_id, license_id % 10 as version, case when license_id % 23 = 5 then 'SUPERSEDED' when license_id % 29 = 6 then 'EXPIRED' else state end as state, case when license_id % 5 = 0 then ['marketing', 'editorial'] else [permitted_use] end as permitted, case when license_id % 6 = 1 then ['marketing'] when license_id % 10 = 3 then ['editorial', 'resale'] else [] end as prohibited, case when license_id % 13 <> 0 then cast(effective_from as timestamp) + to_seconds(license_id % 86400) end as effective_from, case when license_id % 8 <> 0 then cast(effective_until as timestamp) + interval '400' day end as effective_until, {_failure('license')} as failure from (select license_id, claim_id, work_id, m[1] as effective_from, m[2] as state, m[3] as permitted_use, m[1] + interval '30' day as effective_until from (select license_id, claim_id, work_id, min((effective_from, state, permitted_use, tenant_id)) as m from V_LICENSE group by all) g) g",
     "V_SCAN": "select o_orderkey as scan_id, o_custkey as tenant_id, case o_orderkey % 5 when 0 then 'MATCH_FOUND' when 1 then 'INCONCLUSIVE' when 2 then 'NO_MATCH_IN_CHECKED_SOURCES' when 3 then 'SCOPE_INCOMPLETE' else 'ERROR' end as match_status, case when o_orderkey % 5 = 2 then 'COMPLETE' when o_orderkey % 7 < 4 then 'COMPLETE' when o_orderkey % 7 = 4 then 'PARTIAL' when o_orderkey % 7 = 5 then 'DEGRADED' else 'TRUNCATED' end as coverage_status, case o_orderkey % 4 when 0 then 'LIKELY_AI_GENERATED' when 1 then 'NO_AI_ORIGIN_EVIDENCE_DETECTED' when 2 then 'AI_ORIGIN_REVIEW_CANDIDATE' end as origin_class, case o_orderkey % 3 when 0 then 'HIGH' when 1 then 'LOW' else 'REVIEW' end as style_tier, case when o_orderkey % 2 = 0 then 'marketing' else 'editorial' end as intended_use, o_orderkey % 500 as work_id, o_orderdate as created_at from orders",
     "V_RIGHTS": "select l_orderkey as subject_id, l_orderkey * 10 + l_linenumber as rights_event_id, case l_linenumber % 4 when 0 then 'CORROBORATED' when 1 then 'DISPUTED' when 2 then 'SUPERSEDED' else 'REVOKED' end as event_type, l_shipdate as created_at from lineitem",
     "V_COVER": "select l_orderkey as scan_id, l_orderkey * 10 + l_linenumber as ref_id, l_linenumber <= 3 as is_candidate, " + h32("concat(l_orderkey, '-', l_linenumber, '-', l_partkey)") + " % 10 as outcome from lineitem",

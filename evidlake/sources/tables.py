@@ -213,6 +213,60 @@ class Tables:
             )
         )
 
+    def titles(self) -> DataFrame:
+        """Claims with all five states and an end for some of them."""
+        return self.claims().withColumn(
+            "state",
+            F.expr("case when claim_id % 17 = 3 then 'SUPERSEDED' when claim_id % 19 = 4 then 'REVOKED' else state end"),
+        ).withColumn("effective_until", F.expr("case when claim_id % 4 = 1 then effective_from + interval 700 day end"))
+
+    def grants(self) -> DataFrame:
+        """Licenses with versions, all five states, lists of permitted and prohibited uses and open ends."""
+        # One row for each id, as in a table with that key.
+        first = F.min(F.struct("effective_from", "state", "permitted_use", "tenant_id", "effective_until")).alias("m")
+        rows = self.licenses().groupBy("license_id", "claim_id", "work_id").agg(first)
+        return rows.select("license_id", "claim_id", "work_id", "m.*").selectExpr(
+            "license_id", "claim_id", "if(license_id % 27 = 2, work_id + 1, work_id) as work_id", "tenant_id", "license_id % 10 as version",
+            "case when license_id % 23 = 5 then 'SUPERSEDED' when license_id % 29 = 6 then 'EXPIRED' else state end as state",
+            "if(license_id % 5 = 0, array('marketing', 'editorial'), array(permitted_use)) as permitted_uses",
+            "case when license_id % 6 = 1 then array('marketing') when license_id % 10 = 3 then array('editorial', 'resale') "
+            "else cast(array() as array<string>) end as prohibited_uses",
+            "if(license_id % 13 = 0, null, effective_from + make_interval(0, 0, 0, 0, 0, 0, license_id % 86400)) as effective_from",
+            "if(license_id % 8 = 0, null, effective_until + interval 400 day) as effective_until",
+        )
+
+    def rights_log(self, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Current rows of claims or licenses with the digest of their projection, their recorded events, and log leaves.
+
+        Some rows have no event, and some events are of a wrong type, tenant or subject, altered, not logged, without a
+        projection, or of another projection than the row's.
+        """
+        if kind == "claim":
+            rows = self.titles().withColumnRenamed("claim_id", "id")
+            fields = "concat_ws('|', id, work_id, state, effective_from, coalesce(cast(effective_until as string), '-'))"
+        else:
+            rows = self.grants().withColumnRenamed("license_id", "id")
+            fields = (
+                "concat_ws('|', id, claim_id, work_id, state, version, array_join(permitted_uses, ','), array_join(prohibited_uses, ','), "
+                "coalesce(cast(effective_from as string), '-'), coalesce(cast(effective_until as string), '-'))"
+            )
+        rows = rows.selectExpr("id", "tenant_id", f"sha2({fields}, 256) as projection_digest")
+        payload = "sha2(concat(id, '#', projection_digest), 256)"
+        newest = rows.where("id % 31 <> 0").selectExpr(
+            "id", "id * 2 + 1 as event_id", "timestamp '2000-01-01 00:00:00' as at",
+            f"if(id % 37 = 0, 'NOTE', '{kind.upper()}_STATE_CHANGED') as event_type", "if(id % 41 = 0, -2L, tenant_id) as event_tenant",
+            "if(id % 43 = 0, id + 1, id) as subject_id", f"'{kind}' as subject_type", f"{payload} as payload_digest",
+            f"if(id % 47 = 0, sha2('altered', 256), {payload}) as recomputed_digest",
+            "case when id % 59 = 0 then null when id % 61 = 0 then sha2(projection_digest, 256) else projection_digest end as projection_digest",
+        )
+        # Every row was created before; these events are of older projections and must not matter.
+        first = newest.selectExpr(
+            "id", "id * 2 as event_id", "timestamp '1999-01-01 00:00:00' as at", f"'{kind.upper()}_CREATED' as event_type", "event_tenant",
+            "subject_id", "subject_type", "payload_digest", "recomputed_digest", "sha2('old', 256) as projection_digest",
+        )
+        leaves = newest.where("id % 53 <> 0").selectExpr("event_id", "payload_digest as packet_hash")
+        return rows, newest.unionByName(first), leaves
+
     def scans(self) -> DataFrame:
         return self.raw("orders").selectExpr(
             "o_orderkey as scan_id", "o_custkey as tenant_id",
