@@ -1,9 +1,10 @@
 """Similarity search and candidate generation without comparing everything with everything.
 
-``nearest`` is exact. References are grouped around a bounded set of pivot vectors; from each group's
-radius a query knows the best and worst similarity any member can have (triangle inequality on angles),
-so it visits only groups that can still hold one of its k best. Groups are cut into blocks of bounded
-size on both sides, each pair of blocks is one small matrix product, and only k rows per query leave it.
+``nearest`` is exact. Without scopes it walks an index of cones (``operators.cones``). With scopes, references are grouped
+around a bounded set of pivot vectors; from each group's radius a query knows the best and worst similarity any member
+can have (triangle inequality on angles), so it visits only groups that can still hold one of its k best. Groups are cut
+into blocks of bounded size on both sides, each pair of blocks is one small matrix product, and only k rows per query
+leave it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 
 from evidlake.functions.expr import cascade, hamming
 from evidlake.functions.skew import join_unique
+from evidlake.operators import cones
 from evidlake.operators.text import shingles, with_minima
 
 PIVOTS = 16
@@ -36,23 +38,20 @@ def _pivots(refs: DataFrame, count: int) -> np.ndarray:
     return vecs[size[:, 0] > 1e-12] / size[size[:, 0] > 1e-12]
 
 
-def _unit_rows(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    m = np.array(column.tolist(), dtype=float)
-    size = np.linalg.norm(m, axis=1)
-    return m / np.maximum(size, 1e-300)[:, None], size
-
-
 def nearest(
     queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True,
     pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, scoped: bool = False,
 ) -> DataFrame:
     """The k most similar references of every query: ``query_id, ref_id, similarity, rank``.
 
-    ``queries(query_id, scope, vec)``, ``refs(ref_id, scope, vec)``; only equal scopes are compared. Without
-    scopes (``scoped=False``) the column is one constant, the group table has at most ``pivots`` rows and
-    is broadcast; with scopes it grows with them and is joined with hot scopes spread out. ``metric`` is
-    ``cosine`` or ``dot``. Ties rank by the smaller ``ref_id``.
+    ``queries(query_id, scope, vec)``, ``refs(ref_id, scope, vec)``; only equal scopes are compared. Without scopes
+    (``scoped=False``) the column is one constant and the search goes through ``cones``, whose leaves hold about
+    ``block_rows`` references. With scopes, each scope's references hang around ``pivots`` directions and the table of these
+    groups, which grows with the scopes, is joined with hot scopes spread out. ``metric`` is ``cosine`` or ``dot``. Ties rank
+    by the smaller ``ref_id``.
     """
+    if not scoped:
+        return cones.nearest(queries, cones.build(refs, metric, block_rows), k, exclude_self, block_rows)
     anchor = _pivots(refs, pivots)
     if not len(anchor):
         return queries.sparkSession.createDataFrame(
@@ -65,7 +64,7 @@ def nearest(
         for pdf in batches:
             if not len(pdf):
                 continue
-            unit, size = _unit_rows(pdf["vec"])
+            unit, size = cones.unit_rows(pdf["vec"])
             near = np.clip(unit @ anchor.T, -1, 1)
             cell = near.argmax(axis=1)
             vec = unit if cosine else unit * size[:, None]
@@ -81,7 +80,7 @@ def nearest(
         for pdf in batches:
             if not len(pdf):
                 continue
-            unit, size = _unit_rows(pdf["vec"])
+            unit, size = cones.unit_rows(pdf["vec"])
             angle = np.arccos(np.clip(unit @ anchor.T, -1, 1))
             yield pd.DataFrame(
                 {
@@ -106,8 +105,6 @@ def nearest(
         F.collect_list(F.struct("cell", "radius", "hi", "lo", "n")).alias("cells")
     )
     def attach(big: DataFrame, small: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-        if not scoped:
-            return big.join(F.broadcast(small), keys)
         key = F.concat_ws("|", *keys)
         side = small.withColumn("__at", key).drop(*keys)
         return join_unique(big.withColumn("__at", key), side, "__at", row_id, "inner").drop("__at")

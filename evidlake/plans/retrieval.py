@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evidlake.functions.digest import set_digest_sql
 from evidlake.functions.expr import hamming, r6
+from evidlake.operators import cones
 from evidlake.operators import coverage as C
 from evidlake.operators import similarity as S
 from evidlake.plans.registry import query
@@ -31,6 +32,41 @@ def jn1(t):
     return top(t, 10).select("query_id", "ref_id", r6(F.col("similarity")).alias("similarity"), "rank")
 
 
+# Vectors in ten clusters, one for each label.
+_CLUSTERED = "list_transform(embedding, lambda x, i: cast(x as double) * 0.2e0 + case when i - 1 = label % 64 then 1e0 else 0e0 end)"
+_CLUSTER_SIM = f"""with c as (select vec_id, {_CLUSTERED} as e from embeddings), n as (select vec_id, e, sqrt(list_dot_product(e, e)) as size from c),
+  s as (select q.vec_id as query_id, r.vec_id as ref_id, list_dot_product(q.e, r.e) / (q.size * r.size) as sim from n q join n r on q.vec_id <> r.vec_id)"""
+
+
+def clustered(t: Tables):
+    v = t.raw("embeddings").select(
+        F.col("vec_id"), F.transform("embedding", lambda x, i: x.cast("double") * 0.2 + F.when(i == F.col("label") % 64, 1.0).otherwise(0.0)).alias("vec")
+    )
+    return v.withColumnRenamed("vec_id", "query_id"), cones.build(v.withColumnRenamed("vec_id", "ref_id"), leaf_rows=32)
+
+
+@query(
+    "jn1_cone_search",
+    f"{_CLUSTER_SIM}, k as (select *, row_number() over (partition by query_id order by round(sim, 12) desc, ref_id) as rank from s) select query_id, ref_id, round(sim, 6) as similarity, rank from k where rank <= 5",
+)
+def jn1_cones(t):
+    q, index = clustered(t)
+    return cones.nearest(q, index, 5).select("query_id", "ref_id", r6(F.col("similarity")).alias("similarity"), "rank")
+
+
+@query("jn1_cone_threshold", f"{_CLUSTER_SIM} select query_id, ref_id, round(sim, 6) as similarity from s where round(sim, 12) >= 0.97")
+def jn1_threshold(t):
+    q, index = clustered(t)
+    return cones.within(q, index, 0.97).select("query_id", "ref_id", r6(F.col("similarity")).alias("similarity"))
+
+
+@query("jn1_cone_cost")
+def jn1_cost(t):
+    """Leaves visited, references scored and their share of all, for each query."""
+    q, index = clustered(t)
+    return cones.cost(q, index, 5)
+
+
 @query(
     "wn5_nearest_within_profile",
     f"select query_id as item_id, ref_id as neighbour_id, round(sim, 6) as similarity, rank from ({_TOP.format('where expected_profile = profile_key', 5)}) t",

@@ -9,7 +9,7 @@ from evidlake.functions.expr import backoff_seconds
 from evidlake.functions.running import running
 from evidlake.functions.expr import compound_key
 from evidlake.functions.skew import join_unique
-from evidlake.operators.similarity import nearest
+from evidlake.operators import cones
 from evidlake.operators.usage import evaluate_drift, fan_out, merge_telemetry, telemetry_summary
 from evidlake.streaming.sources import write_batch
 
@@ -36,10 +36,12 @@ def stream_fan_out(events: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 
 def screen_batch(refs: DataFrame, k: int):
-    """Score each micro-batch's new items against the reference table."""
+    """Score each micro-batch's new items against the references, whose index is written once and read by every batch."""
+    index = cones.build(refs, keep=True)
+
     def each(batch: DataFrame, batch_id: int, folder: str) -> None:
         q = batch.selectExpr("vec_id as query_id", "0L as scope", "embedding as vec")
-        write_batch(nearest(q, refs, k), folder, "hits", batch_id)
+        write_batch(cones.nearest(q, index, k), folder, "hits", batch_id)
 
     return each
 
