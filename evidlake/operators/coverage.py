@@ -9,28 +9,48 @@ from evidlake.functions.digest import set_digest
 from evidlake.functions.expr import cascade, codes, joined
 
 
-def coverage_snapshot(rows: DataFrame, learned_required: bool = True) -> DataFrame:
-    """Counts, six-state status, ordered reasons and digests per scan.
+def coverage_snapshot(rows: DataFrame, scans: DataFrame | None = None, learned_required: bool = True) -> DataFrame:
+    """Counts, six-state status, ordered reasons and digests per declared scan.
 
-    ``rows(scan_id, ref_id, is_candidate, is_verified, failure)`` with failure NULL, ``ASSET`` or
-    ``VERIFICATION``. Only counts and additive digests are aggregated, so a scan over any catalog is
-    combined before the shuffle.
+    ``rows(scan_id, ref_id, is_candidate, is_verified, failure[, learned_state])`` is the recorded manifest, with failure NULL,
+    ``ASSET``, ``REFERENCE`` (its learned vector could not be made) or ``VERIFICATION``. ``scans(scan_id, declared_total,
+    query_state, requirement)`` says what each scan was to cover: the size of its catalog, whether its learned query was
+    ``EXECUTED``, and ``LEARNED_REQUIRED`` or ``BASELINE_ALLOWED``. A scan of an empty catalog has no rows and is reported all the
+    same; a manifest of another size than declared fails closed. Without ``scans`` each manifest is taken as declared.
+
+    Only counts and additive digests are aggregated, so a scan over any catalog is combined before the shuffle. The
+    catalog digest tells which references were declared, the snapshot digest also what became of them.
     """
     c = F.col
-    entry = F.sha2(F.concat_ws("|", "ref_id", "is_candidate", "is_verified", F.coalesce("failure", F.lit(""))), 256)
+    learned_state = c("learned_state") if "learned_state" in rows.columns else F.lit("EXECUTED")
+    rows = rows.withColumn("__learned", learned_state)
+    fields = ["ref_id", "is_candidate", "is_verified", F.coalesce("failure", F.lit(""))]
+    fields += ["__learned"] if "learned_state" in rows.columns else []
     agg = rows.groupBy("scan_id").agg(
-        F.count(F.lit(1)).alias("eligible"),
+        F.count(F.lit(1)).alias("listed"),
         F.count_distinct("ref_id").alias("distinct_refs"),
         F.count_if("is_candidate").alias("candidates"),
         F.count_if("is_verified").alias("verified"),
         F.count_if(c("is_verified") & ~c("is_candidate")).alias("stray"),
         F.count_if(c("failure") == "ASSET").alias("asset_failed"),
+        F.count_if(c("failure") == "REFERENCE").alias("reference_failed"),
         F.count_if(c("failure") == "VERIFICATION").alias("verify_failed"),
-        set_digest(entry).alias("snapshot_digest"),
+        F.count_if(c("__learned") == "EXECUTED").alias("learned"),
+        set_digest(F.sha2(F.concat_ws("|", *fields), 256)).alias("snapshot_digest"),
+        set_digest(F.sha2(c("ref_id").cast("string"), 256)).alias("catalog_digest"),
+    )
+    counts = [n for n in agg.columns if n not in ("scan_id", "snapshot_digest", "catalog_digest")]
+    if scans is None:
+        agg = agg.withColumn("eligible", c("listed")).withColumn("query_state", F.lit("EXECUTED"))
+        agg = agg.withColumn("requirement", F.lit("LEARNED_REQUIRED" if learned_required else "BASELINE_ALLOWED"))
+    else:
+        declared = scans.select("scan_id", c("declared_total").cast("bigint").alias("eligible"), "query_state", "requirement")
+        agg = declared.join(agg, "scan_id", "left").withColumns({n: F.coalesce(n, F.lit(0).cast("bigint")) for n in counts})
+    consistent = (c("listed") == c("eligible")) & (c("distinct_refs") == c("listed")) & (c("stray") == 0)
+    learned = (
+        c("query_state").eqNullSafe("EXECUTED") & (c("learned") == c("eligible")) & (c("asset_failed") == 0) & (c("reference_failed") == 0)
     )
-    consistent = (c("distinct_refs") == c("eligible")) & (c("stray") == 0)
-    learned = c("asset_failed") == 0
-    short = F.lit(learned_required) & ~learned
+    short = c("requirement").eqNullSafe("LEARNED_REQUIRED") & ~learned
     failed = c("asset_failed") + c("verify_failed")
     status = cascade(
         [
@@ -57,7 +77,7 @@ def coverage_snapshot(rows: DataFrame, learned_required: bool = True) -> DataFra
         failed.alias("failed"),
         status.alias("coverage_status"),
         joined(reasons).alias("reason_codes"),
-        "snapshot_digest",
+        "snapshot_digest", "catalog_digest",
     )
 
 

@@ -65,15 +65,17 @@ def pool_scores(queries: DataFrame, pool_vectors: DataFrame, k: int) -> DataFram
     return out.select("query_id", F.col("ref_id").alias("profile_key"), F.col("similarity").alias("score"), "rank")
 
 
-def profile_rank(anchors: DataFrame, dim: int, top: int = 5) -> DataFrame:
-    """Top profiles of each anchor as a query: rank, share of profiles at or below, z-score, margin.
+def profile_rank(anchors: DataFrame, dim: int, top: int = 5, learned: bool = True) -> DataFrame:
+    """Top profiles of each anchor as a query by their read-out: rank, share of profiles at or below, margin; raw z-score.
 
-    Mean and variance over all profiles are linear and quadratic forms of the query, so they need the
-    mean profile and one dim x dim moment matrix, not every score.
+    The read-out is the hubness-corrected score where vectors are learned and there are two profiles and three anchors at
+    least, else the pooled similarity. Rank, percentile and margin (to the next profile) are the read-out's; ``z`` places
+    the raw pooled similarity among those of all profiles. Their mean and variance are linear and quadratic forms of the
+    query, so they need the mean profile and one dim x dim moment matrix, not every score.
     """
     u = unit_anchors(anchors)
     p = pools(u, dim)
-    count = p.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    profiles = p.count()
     # Model-sized state: dim + dim*dim numbers, whatever the number of profiles.
     mean, moment = _moments(p, dim)
 
@@ -87,16 +89,21 @@ def profile_rank(anchors: DataFrame, dim: int, top: int = 5) -> DataFrame:
 
     q = u.select(F.col("item_id").alias("query_id"), "vec")
     stats = q.mapInPandas(spread, "query_id bigint, mu double, sd double")
-    ranked = pool_scores(q, p.select("profile_key", F.col("mean").alias("vec")), top + 1)
+    corrected = learned and profiles >= 2 and anchors.limit(3).count() == 3
+    if corrected:
+        found = csls(anchors, dim, top=top + 1).withColumnRenamed("csls", "readout")
+    else:
+        found = pool_scores(q, p.select("profile_key", F.col("mean").alias("vec")), top + 1)
+        found = found.withColumn("raw", F.col("score")).withColumnRenamed("score", "readout")
     # At most top + 1 rows per query reach this window.
     w = Window.partitionBy("query_id").orderBy("rank")
     # Profiles with a higher score are those before the first of equal scores.
-    first = F.min("rank").over(Window.partitionBy("query_id", "score"))
-    out = ranked.withColumn("margin", F.col("score") - F.lead("score").over(w)).withColumn("first", first).where(F.col("rank") <= top)
-    z = F.when((F.col("sd") > 1e-6) & (count >= 3), (F.col("score") - F.col("mu")) / F.col("sd"))
+    first = F.min("rank").over(Window.partitionBy("query_id", "readout"))
+    out = found.withColumn("margin", F.col("readout") - F.lead("readout").over(w)).withColumn("first", first).where(F.col("rank") <= top)
+    z = F.when((F.col("sd") > 1e-6) & F.lit(profiles >= 3), (F.col("raw") - F.col("mu")) / F.col("sd"))
     return out.join(stats, "query_id").select(
-        "query_id", "profile_key", "rank", "score",
-        ((count - F.col("first") + 1) / count).alias("catalog_percentile"),
+        "query_id", "profile_key", "rank", F.lit("CSD_PLUS_CSLS" if corrected else "RAW_POOL_COSINE").alias("method"), "readout", "raw",
+        ((F.lit(profiles) - F.col("first") + 1) / F.lit(profiles)).alias("catalog_percentile"),
         z.alias("z"), "margin",
     )
 
@@ -149,7 +156,11 @@ def csls(anchors: DataFrame, dim: int, k: int = CSLS_K, top: int = 5) -> DataFra
         F.col("item_id").alias("query_id"), F.col("density").alias("query_density")
     )
     out = pool_scores(q, ext, top).join(own, "query_id")
-    return out.withColumn("csls", F.col("score") - F.col("query_density")).drop("score")
+    raw = (F.col("score") + F.col("pool_density")) / 2
+    return (
+        out.join(pool_density, "profile_key").withColumn("raw", raw)
+        .withColumn("csls", F.col("score") - F.col("query_density")).drop("score", "pool_density")
+    )
 
 
 def exemplars(anchors: DataFrame, n: int = 3) -> DataFrame:

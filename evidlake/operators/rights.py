@@ -350,3 +350,40 @@ def supersession(rows: DataFrame) -> DataFrame:
         "OK",
     )
     return rows.join(target, "superseded_by_id", "left").withColumn("verdict", verdict).drop("__t", "__w", "__found")
+
+
+def current_records(rows: DataFrame) -> DataFrame:
+    """Where each record's chain of replacements ends: ``id, current_id, resolution, steps``.
+
+    Takes the rows of ``supersession``. Only sound links are followed. ``CURRENT`` records are their own, ``RESOLVED`` ones
+    end at ``current_id`` after ``steps`` replacements; a chain that meets a link the audit refuses is ``BROKEN`` and one that comes
+    back to itself ``CYCLE``, both without a current record. Pointers are doubled: each round follows all open chains
+    twice as far by one join, so a chain of n links takes log2(n) rounds, and a record that replaced very many is spread over
+    salts. A round that ends no chain shows that only cycles are left. Every round is a written table.
+    """
+    c = F.col
+    sound = c("verdict") == "OK"
+    linked = sound & c("superseded_by_id").isNotNull()
+    state = F.when(linked, "OPEN").when(sound, "CURRENT").otherwise("BROKEN")
+    links = supersession(rows).select(
+        "id", F.when(linked, c("superseded_by_id")).otherwise(c("id")).alias("at"), state.alias("ends"),
+        F.when(linked, 1).otherwise(0).cast("bigint").alias("steps"),
+    )
+    table = stored(links, "links")
+    open_ = table.where("ends = 'OPEN'").count()
+    while open_:
+        ahead = table.select(c("id").alias("at"), c("at").alias("next"), c("ends").alias("next_ends"), c("steps").alias("more"))
+        moved = join_unique(table.where("ends = 'OPEN'"), ahead, "at", "id").select(
+            "id", c("next").alias("at"), c("next_ends").alias("ends"), (c("steps") + c("more")).alias("steps")
+        )
+        table = stored(table.where("ends <> 'OPEN'").unionByName(moved), "links")
+        left = table.where("ends = 'OPEN'").count()
+        if left == open_:
+            break
+        open_ = left
+    ended = c("ends")
+    resolution = cascade([((ended == "CURRENT") & (c("steps") == 0), "CURRENT"), (ended == "CURRENT", "RESOLVED"), (ended == "OPEN", "CYCLE")], "BROKEN")
+    return table.select(
+        "id", F.when(ended == "CURRENT", c("at")).alias("current_id"), resolution.alias("resolution"),
+        F.when(ended == "CURRENT", c("steps")).alias("steps"),
+    )

@@ -42,14 +42,29 @@ def ag22(t):
     return out.select("query_id", "profile_key", r6(F.col("score")).alias("score"), "rank")
 
 
-@query(
-    "wn4_profile_rank",
-    f"""with {_TAB}, r as (select *, row_number() over w as rank, cume_dist() over (partition by item_id order by s) as cp, avg(s) over (partition by item_id) as mu, stddev_pop(s) over (partition by item_id) as sd, s - lead(s) over w as margin from tb window w as (partition by item_id order by s desc, profile_key))
-       select item_id as query_id, profile_key, rank, round(s, 6) as score, round(cp, 6) as catalog_percentile, round((s - mu) / sd, 6) as z, round(margin, 6) as margin from r where rank <= 5""",
-)
+_READOUT = f"""{_SIM}, ad as (select q, avg(s) as d from (select *, row_number() over (partition by q order by s desc, r) as k from sm where q <> r) t where k <= 15 group by q),
+        qd as (select q, avg(s) as d from (select *, row_number() over (partition by q order by s desc, r) as k from sm) t where k <= 15 group by q),
+        c as (select sm.q, sm.rp, avg(sm.s) as raw, 2 * avg(sm.s) - max(qd.d) - avg(ad.d) as readout from sm join ad on ad.q = sm.r join qd on qd.q = sm.q group by all)"""
+
+
+def _ranks(score: str, method: str) -> str:
+    return f"""with {_READOUT}, r as (select *, row_number() over w as rank, count(*) over (partition by q) as profiles, avg(raw) over (partition by q) as mu, stddev_pop(raw) over (partition by q) as sd, {score} - lead({score}) over w as margin,
+         cume_dist() over (partition by q order by round({score}, 9)) as cp from c window w as (partition by q order by {score} desc, rp))
+       select q as query_id, rp as profile_key, rank, '{method}' as method, round({score}, 6) as readout, round(raw, 6) as raw, round(cp, 6) as catalog_percentile, round(case when profiles >= 3 and sd > 1e-6 then (raw - mu) / sd end, 6) as z, round(margin, 6) as margin from r where rank <= 5"""
+
+
+@query("wn4_profile_rank", _ranks("readout", "CSD_PLUS_CSLS"))
 def wn4(t):
-    out = P.profile_rank(t.anchors(), DIM)
-    return out.select("query_id", "profile_key", "rank", *[r6(F.col(c)).alias(c) for c in ("score", "catalog_percentile", "z", "margin")])
+    return rounded_ranks(P.profile_rank(t.anchors(), DIM))
+
+
+@query("wn4_profile_rank_raw", _ranks("raw", "RAW_POOL_COSINE"))
+def wn4_raw(t):
+    return rounded_ranks(P.profile_rank(t.anchors(), DIM, learned=False))
+
+
+def rounded_ranks(out):
+    return out.select("query_id", "profile_key", "rank", "method", *[r6(F.col(c)).alias(c) for c in ("readout", "raw", "catalog_percentile", "z", "margin")])
 
 
 @query(

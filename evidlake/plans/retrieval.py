@@ -284,9 +284,35 @@ _SNAP = f"""select scan_id, eligible, candidates, verified, greatest(0, eligible
      {set_digest_sql("sha256(concat_ws('|', ref_id, is_candidate, is_verified, coalesce(failure, '')))")} as snapshot_digest from ({_COV}) c group by scan_id) g"""
 
 
-@query("ag37_coverage_snapshot", _SNAP)
+_DECLARED = """select o_orderkey as scan_id, coalesce(n, 0) + case when o_orderkey % 37 = 0 then 1 else 0 end as declared_total, case when o_orderkey % 6 = 0 then 'UNAVAILABLE' else 'EXECUTED' end as query_state,
+    case when o_orderkey % 3 = 0 then 'LEARNED_REQUIRED' else 'BASELINE_ALLOWED' end as requirement from orders left join (select scan_id, count(*) as n from V_COVER group by 1) c on c.scan_id = o_orderkey"""
+_SNAP6 = f"""with r as (select *, case when ref_id % 29 = 0 then 'UNAVAILABLE' else 'EXECUTED' end as learned_state, case when failure is null and ref_id % 31 = 0 then 'REFERENCE' else failure end as fail from ({_COV}) c),
+  g as (select scan_id, count(*) as listed, count(distinct ref_id) as dr, count(*) filter (where is_candidate) as candidates, count(*) filter (where is_verified) as verified, count(*) filter (where fail = 'ASSET') as af,
+     count(*) filter (where fail = 'VERIFICATION') as vf, count(*) filter (where fail = 'REFERENCE') as rf, count(*) filter (where learned_state = 'EXECUTED') as ai,
+     {set_digest_sql("sha256(concat_ws('|', ref_id, is_candidate, is_verified, coalesce(fail, ''), learned_state))")} as snapshot_digest, {set_digest_sql("sha256(cast(ref_id as varchar))")} as catalog_digest from r group by 1),
+  s as (select d.scan_id, declared_total as total, coalesce(listed, 0) as listed, coalesce(dr, 0) as dr, coalesce(candidates, 0) as candidates, coalesce(verified, 0) as verified, coalesce(af, 0) as af, coalesce(vf, 0) as vf, snapshot_digest, catalog_digest,
+     requirement = 'LEARNED_REQUIRED' and not (query_state = 'EXECUTED' and coalesce(ai, 0) = declared_total and coalesce(af, 0) + coalesce(rf, 0) = 0) as short, coalesce(listed, 0) <> declared_total or coalesce(dr, 0) <> coalesce(listed, 0) as odd
+     from ({_DECLARED}) d left join g on g.scan_id = d.scan_id)
+  select scan_id, total as eligible, candidates, verified, greatest(0, total - candidates) as omitted, af + vf as failed,
+    case when odd or af > 0 then 'FAILED' when total = 0 then 'EMPTY_SCOPE' when candidates > 0 and verified = 0 and vf > 0 then 'FAILED' when short then 'DEGRADED' when af + vf > 0 or verified < candidates then 'PARTIAL' when candidates < total then 'TRUNCATED' else 'COMPLETE' end as coverage_status,
+    concat_ws('|', case when odd then 'COVERAGE_MANIFEST_INCONSISTENT' end, case when total = 0 then 'DECLARED_CATALOG_EMPTY' end, case when short then 'REQUIRED_LEARNED_RETRIEVAL_INCOMPLETE' end, case when candidates < total then 'CANDIDATE_VERIFICATION_TRUNCATED' end,
+      case when af + vf > 0 then 'CANDIDATE_VERIFICATION_FAILURE' end, case when verified < candidates and vf = 0 then 'CANDIDATE_VERIFICATION_PARTIAL' end) as reason_codes, snapshot_digest, catalog_digest from s"""
+
+
+def declared_scans(t: Tables):
+    sizes = t.coverage_rows().groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.raw("orders").select(F.col("o_orderkey").alias("scan_id")).join(sizes, "scan_id", "left").selectExpr(
+        "scan_id", "coalesce(n, 0) + if(scan_id % 37 = 0, 1, 0) as declared_total", "if(scan_id % 6 = 0, 'UNAVAILABLE', 'EXECUTED') as query_state",
+        "if(scan_id % 3 = 0, 'LEARNED_REQUIRED', 'BASELINE_ALLOWED') as requirement",
+    )
+
+
+@query("ag37_coverage_snapshot", _SNAP6)
 def ag37(t):
-    return C.coverage_snapshot(cover(t))
+    """Every order is a declared scan: some have no rows, some declare more than was listed, some lack the learned query."""
+    rows = cover(t).withColumn("learned_state", F.expr("if(ref_id % 29 = 0, 'UNAVAILABLE', 'EXECUTED')"))
+    rows = rows.withColumn("failure", F.expr("if(failure is null and ref_id % 31 = 0, 'REFERENCE', failure)"))
+    return C.coverage_snapshot(rows, declared_scans(t))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Rights, policy evaluation, triage and lanes over orders and line items."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidlake.functions.expr import joined
 from evidlake.functions.skew import join_unique
@@ -414,3 +415,30 @@ def lg9(t):
         "case when id % 40 = 2 then id when sup and id % 60 <> 6 then id + 1 when id % 50 = 1 then id + 3 end as superseded_by_id",
     )
     return R.supersession(rows).select("id", "state", "superseded_by_id", "verdict")
+
+
+# Chains of conversation turns: most records are replaced by the next; some links are to nowhere, to others' or in a circle.
+_CHAIN = """c as (select conv_id * 1000 + turn as id, conv_id as tenant_id, conv_id % 500 as work_id, lead(conv_id * 1000 + turn) over (partition by conv_id order by turn) as nxt, first_value(conv_id * 1000 + turn) over (partition by conv_id order by turn) as head from conversations where conv_id is not null and turn is not null),
+  x as (select id, tenant_id, work_id, case when nxt is not null and not (tenant_id % 11 = 3 and id % 5 = 1) then nxt when nxt is null and tenant_id % 7 = 2 and head <> id then head when nxt is null and tenant_id % 13 = 5 then id + 500 end as tgt from c),
+  a as (select x.id, x.tgt, y.id is not null as found from x left join x y on y.id = x.tgt)"""
+
+
+@query(
+    "lg9_current_record",
+    f"""with recursive {_CHAIN}, w as (select id as start, id, 0 as steps, [id] as path, 'GO' as kind from a union all
+        select w.start, a.tgt, w.steps + 1, list_append(w.path, a.tgt), case when list_contains(w.path, a.tgt) then 'CYCLE' when not a.found then 'BROKEN' else 'GO' end from w join a on a.id = w.id where w.kind = 'GO' and a.tgt is not null),
+      e as (select start, arg_max(id, steps) as final, arg_max(kind, steps) as kind, max(steps) as steps from w group by 1)
+      select start as id, case when kind = 'GO' then final end as current_id, case when kind <> 'GO' then kind when steps = 0 then 'CURRENT' else 'RESOLVED' end as resolution, case when kind = 'GO' then steps end as steps from e""",
+)
+def lg9_current(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    chain = t.raw("conversations").where("conv_id is not null and turn is not null").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("tenant_id"), (F.col("conv_id") % 500).alias("work_id"),
+        F.lead(F.col("conv_id") * 1000 + F.col("turn")).over(w).alias("nxt"), F.first(F.col("conv_id") * 1000 + F.col("turn")).over(w).alias("head"),
+    )
+    rows = chain.selectExpr(
+        "id", "tenant_id", "work_id",
+        "case when nxt is not null and not (tenant_id % 11 = 3 and id % 5 = 1) then nxt when nxt is null and tenant_id % 7 = 2 and head <> id then head "
+        "when nxt is null and tenant_id % 13 = 5 then id + 500 end as superseded_by_id",
+    ).selectExpr("*", "if(superseded_by_id is null, 'ASSERTED', 'SUPERSEDED') as state")
+    return R.current_records(rows)

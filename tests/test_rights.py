@@ -146,3 +146,21 @@ def test_sweep_with_vetoes_matches_pairs(spark):
                     n["permitting"] += 1
         assert {k: r[k] for k in n} == n, by[r.event_id]
         assert r.authorized == (n["permitting"] > 0)
+
+
+LINKS = "id bigint, tenant_id bigint, work_id bigint, state string, superseded_by_id bigint"
+
+
+def test_chains_end_at_their_current_record(spark):
+    link = lambda i, to, tenant=1: (i, tenant, 1, "ASSERTED" if to is None else "SUPERSEDED", to)
+    rows = [link(i, i + 1) for i in range(1000)] + [link(1000, None)]  # a long chain
+    rows += [link(2000 + i, 1000) for i in range(50)]  # many replaced by one
+    rows += [link(3000 + i, 3000 + (i + 1) % 7) for i in range(7)] + [link(3100, 3003)]  # a circle, and a way into it
+    rows += [link(4000, 4001), link(4001, 4999), link(4002, 4002), link(4003, 5000), link(5000, None, tenant=2), (4004, 1, 1, "SUPERSEDED", None), link(4005, 4004)]
+    got = {r.id: (r.current_id, r.resolution, r.steps) for r in rights.current_records(spark.createDataFrame(rows, LINKS)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (1000, "RESOLVED", 1000 - i) for i in range(1000)) and got[1000] == (1000, "CURRENT", 0)
+    assert all(got[2000 + i] == (1000, "RESOLVED", 1) for i in range(50))
+    assert {got[i] for i in [*range(3000, 3007), 3100]} == {(None, "CYCLE", None)}
+    assert {got[i] for i in range(4000, 4006)} == {(None, "BROKEN", None)} and got[5000] == (5000, "CURRENT", 0)
+    assert rights.current_records(spark.createDataFrame([], LINKS)).count() == 0
