@@ -22,6 +22,7 @@ from evidlake.functions.expr import cascade, hamming
 from evidlake.functions.skew import join_unique
 from evidlake.operators import cones
 from evidlake.operators.text import shingles, with_minima
+from evidlake.session import stored
 
 PIVOTS = 16
 BLOCK_ROWS = 2048
@@ -303,6 +304,50 @@ def lsh_candidates(items: DataFrame, item: str, text: str, bands: int = 4) -> Da
     )
 
 
+def shingle_sets(items: DataFrame, item: str, text: str) -> DataFrame:
+    """Each item's set of word shingles as sorted 64-bit hashes, written once: ``item_id, grams, size, class_id``.
+
+    Items with equal sets are one class, named by its smallest item, so copies are members of a class and not pairs.
+    """
+    hashed = items.select(
+        F.col(item).cast("bigint").alias("item_id"), F.array_sort(F.array_distinct(F.transform(shingles(F.col(text)), lambda s: F.xxhash64(s)))).alias("grams")
+    )
+    hashed = hashed.withColumn("size", F.size("grams").cast("bigint")).withColumn("digest", F.sha2(F.concat_ws(",", F.col("grams").cast("array<string>")), 256))
+    hashed = stored(hashed, "shingles")
+    classes = hashed.groupBy("digest").agg(F.min("item_id").alias("class_id"))
+    return join_unique(hashed, classes, "digest", "item_id", "inner").drop("digest")
+
+
+def similar_sets(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """All pairs of classes of ``shingle_sets`` whose Jaccard similarity reaches the threshold, exactly: ``a, b, shared, jaccard``.
+
+    Two such sets share so much that the rarest few grams of each, |A| - ceil(t |A|) + 1 of them, have one in common (prefix
+    filter), and neither is more than 1/t times as large (length filter). Grams are ordered by how many sets hold them, so a
+    passage that very many texts share is last in each of them and joins nothing. Candidates are verified on their whole
+    sets. Pairs run from the smaller class to the larger; no group has a leader that links must pass through.
+    """
+    c = F.col
+    heads = sets.where("item_id = class_id").select("class_id", "grams", "size")
+    tokens = heads.select("class_id", "size", F.explode("grams").alias("gram"))
+    held = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.partitionBy("class_id").orderBy("held", "gram")
+    # A tiny bit less than t |A|, so that rounding never shortens a prefix.
+    prefix = c("size") - F.ceil(c("size") * threshold - 1e-9) + 1
+    first = tokens.join(held, "gram").withColumn("place", F.row_number().over(order)).where((c("place") <= prefix) & (c("held") > 1))
+    first = stored(first.select("gram", "class_id", "size"), "prefixes")
+    other = first.select("gram", c("class_id").alias("b"), c("size").alias("b_size"))
+    fits = (c("size") >= threshold * c("b_size") - 1e-9) & (c("b_size") >= threshold * c("size") - 1e-9)
+    met = first.withColumnRenamed("class_id", "a").join(other, "gram").where((c("a") < c("b")) & fits).select("a", "b").distinct()
+    left = heads.select(c("class_id").alias("a"), c("grams").alias("a_grams"))
+    right = heads.select(c("class_id").alias("b"), c("grams").alias("b_grams"))
+    judged = met.join(left, "a").join(right, "b").select(
+        "a", "b", F.size(F.array_intersect("a_grams", "b_grams")).cast("bigint").alias("shared"),
+        (F.size("a_grams") + F.size("b_grams")).cast("bigint").alias("both"),
+    )
+    ratio_ = c("shared") / (c("both") - c("shared"))
+    return judged.withColumn("jaccard", ratio_).where(c("jaccard") >= threshold - 1e-12).select("a", "b", "shared", "jaccard")
+
+
 def with_latest_version(works: DataFrame, versions: DataFrame) -> DataFrame:
     """Newest immutable version of each work; a work without one is reported, not dropped."""
     newest = latest(versions, ["work_id"], "version", ["sha256"])

@@ -100,6 +100,27 @@ _BANDS = "union all ".join(
 )
 
 
+_SETS = f"""with s as (select doc_id, list_sort({SHINGLES.format("text")}) as g from documents), k as (select doc_id, g, min(doc_id) over (partition by g) as class_id from s),
+  t as (select class_id, len(g) as n, unnest(g) as gram from k where doc_id = class_id)"""
+
+
+@query(
+    "jn4_similar_sets",
+    f"""{_SETS}, m as (select x.class_id as a, y.class_id as b, count(*) as shared, any_value(x.n) + any_value(y.n) as total from t x join t y on x.gram = y.gram and x.class_id < y.class_id group by 1, 2)
+       select a, b, shared, round(shared / (total - shared), 6) as jaccard from m where shared / (total - shared) >= 0.8""",
+)
+def jn4_sets(t):
+    """Pairs of different documents with a Jaccard similarity of 0.8 or more of their word shingles."""
+    pairs = S.similar_sets(S.shingle_sets(t.raw("documents"), "doc_id", "text"))
+    return pairs.withColumn("jaccard", r6(F.col("jaccard")))
+
+
+@query("jn4_classes", f"{_SETS} select doc_id as item_id, class_id, len(g)::bigint as size from k")
+def jn4_classes(t):
+    """The class of equal shingle sets each document belongs to."""
+    return S.shingle_sets(t.raw("documents"), "doc_id", "text").drop("grams")
+
+
 @query(
     "jn4_near_duplicate_candidates",
     f"""with t as (select doc_id, {DIGESTS.format('text')} as d from documents), m as ({_BANDS}),
