@@ -9,7 +9,7 @@ from evidlake.plans.retrieval import _TOP
 from evidlake.sources.tables import Tables
 from evidlake.streaming import stateful as ST
 from evidlake.streaming import windows as W
-from evidlake.streaming.sources import drain, drain_batches, file_stream
+from evidlake.streaming.sources import drain, drain_batches, file_stream, in_parts
 
 
 class Streams(Tables):
@@ -28,7 +28,8 @@ def live(t: Tables) -> Streams:
     "select event_id, case when event_id = f then 'NEW' when digest = fd then 'REPLAY' else 'CONFLICT' end as outcome from (select event_id, digest, first_value(event_id) over w as f, first_value(digest) over w as fd from V_EVENT window w as (partition by tenant_id, idem_key order by ts, event_id)) t",
 )
 def ss1(t):
-    rows = live(t).requests().select("tenant_id", "idem_key", "event_id", "digest", "ts")
+    """Five parts, one in each micro-batch: what a key's first payload was outlives its batch."""
+    rows = Parts(t.spark, t.folder).requests().select("tenant_id", "idem_key", "event_id", "digest", "ts")
     return drain_batches(rows, "dedup", W.deduplicate_batch(["tenant_id", "idem_key"]), {"outcomes": "event_id bigint, outcome string"})["outcomes"]
 
 
@@ -96,15 +97,38 @@ def ss8(t):
     return drain(W.sessions(live(t).requests()), "sessions")
 
 
+PARTS = 5
+# Events in five parts by time; every 50th arrives one part late and the next two.
+_PART = "cast(floor(4 * (t - lo) / (hi - lo + 1)) as int)"
+_ARRIVES = f"least({_PART} + case event_id % 50 when 0 then 1 when 1 then 2 else 0 end, {PARTS - 1})"
+
+
+def events_in_parts(t: Tables, arrives: str, name: str):
+    """The events as a stream of several files in the order of event time, or nearly."""
+    events = t.raw("events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    ends = events.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    parts = events.withColumns({"lo": ends.select("lo").scalar(), "hi": ends.select("hi").scalar()}).withColumn("part", F.expr(arrives))
+    return in_parts(parts.drop("t", "lo", "hi"), "part", PARTS, name)
+
+
+class Parts(Tables):
+    """The same views over the events, delivered in parts."""
+
+    def raw(self, name):
+        return events_in_parts(Tables(self.spark, self.folder), _PART, name) if name == "events" else super().raw(name)
+
+
 @query("ss9_drift_alerts", _DS)
 def ss9(t):
+    """The check after the last of five parts: what each part left is merged."""
     base = t.spark.createDataFrame(
         BASELINES, "lane string, score_name string, bundle_id string, base_mean double, base_sd double, min_n bigint, warn double, revalidate double"
     )
-    ddl = "lane string, score_name string, identity_matches boolean, observations bigint, shift double, state string, reason_code string"
-    obs = live(t).telemetry().withColumn("value", F.expr(_BAD))
+    ddl = "lane string, score_name string, identity_matches boolean, observations bigint, shift double, state string, reason_code string, batch bigint"
+    obs = Parts(t.spark, t.folder).telemetry().withColumn("value", F.expr(_BAD))
     out = drain_batches(obs, "drift", W.drift_batch(base), {"checks": ddl})["checks"]
-    return out.withColumn("shift", r6(F.col("shift")))
+    last = out.agg(F.max("batch").alias("last"))
+    return out.where(F.col("batch") == last.select("last").scalar()).drop("batch").withColumn("shift", r6(F.col("shift")))
 
 
 @query("ss10_catalog_screening", f"select query_id, ref_id, round(sim, 6) as similarity, rank from ({_TOP.format('', 5)}) t")
@@ -124,9 +148,14 @@ def ss11(t):
     return drain(joined.select("event_id", "event_type", "endpoint_id"), "fanout")
 
 
-@query("ss12_late_rows", "select event_id, epoch_us(ts) as at_us, false as late from events")
+@query(
+    "ss12_late_rows",
+    f"""with b as (select event_id, epoch_us(ts) as t from events), e as (select *, min(t) over () as lo, max(t) over () as hi from b), p as (select event_id, t, {_ARRIVES} as part from e),
+        m as (select part, max(t) as top from p group by 1), w as (select p.part, max(m.top) - 3600000000 as floor_ from (select distinct part from p) p join m on m.part < p.part group by 1)
+        select event_id, t as at_us, coalesce(t < floor_, false) as late from p left join w on w.part = p.part""",
+)
 def ss12(t):
     ddl = "event_id bigint, at_us bigint"
-    rows = live(t).requests().select("event_id", "ts")
+    rows = events_in_parts(t, _ARRIVES, "arrivals").select("event_id", "ts")
     out = drain_batches(rows, "late", W.split_late(3600), {"on_time": ddl, "late": ddl})
     return out["on_time"].withColumn("late", F.lit(False)).unionByName(out["late"].withColumn("late", F.lit(True)))

@@ -22,6 +22,19 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     )
 
 
+def in_parts(rows: DataFrame, part: str, parts: int, name: str, rows_per_file: int = 1 << 20) -> DataFrame:
+    """The rows as a stream that delivers part 0 first, then part 1, and so on, one part in a micro-batch.
+
+    Each part is written after the one before it, as equally many files of about ``rows_per_file`` rows.
+    """
+    spark = rows.sparkSession
+    out = scratch(spark, name)
+    files = max(1, -(-rows.count() // (parts * rows_per_file)))
+    for p in range(parts):
+        rows.where(f"{part} = {p}").drop(part).repartition(files).write.mode("append").parquet(out)
+    return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", files).parquet(out)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 

@@ -47,12 +47,20 @@ def screen_batch(refs: DataFrame, k: int):
 
 
 def drift_batch(baselines: DataFrame):
-    """Summarize each micro-batch and check it against the recorded baselines."""
+    """Check everything observed so far against the recorded baselines, after every micro-batch.
+
+    Each batch leaves its mergeable partial sums, a few rows for each score and bundle, beside the output; a check merges
+    those of all batches up to its own. So the last batch's checks don't depend on how the rows were cut into batches,
+    and a batch that is run again changes nothing. ``batch`` says which check a row belongs to.
+    """
     def each(batch: DataFrame, batch_id: int, folder: str) -> None:
-        packets = telemetry_summary(batch, ["packet_id", "bundle_id", "score_name"])
-        checks = evaluate_drift(merge_telemetry(packets, ["score_name"]), baselines)
+        spark = batch.sparkSession
+        sums = telemetry_summary(batch, ["bundle_id", "score_name"]).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        write_batch(sums, folder, "sums", batch_id)
+        so_far = spark.read.schema(sums.schema).parquet(f"{folder}/sums/*").where(F.col("batch") <= batch_id)
+        checks = evaluate_drift(merge_telemetry(so_far, ["score_name"]), baselines)
         cols = ("lane", "score_name", "identity_matches", "observations", "shift", "state", "reason_code")
-        write_batch(checks.select(*cols), folder, "checks", batch_id)
+        write_batch(checks.select(*cols).withColumn("batch", F.lit(batch_id).cast("bigint")), folder, "checks", batch_id)
 
     return each
 
