@@ -47,7 +47,10 @@ def baseline_policy(scans: DataFrame) -> DataFrame:
 
 
 def legacy_policy(scans: DataFrame) -> DataFrame:
-    """Work-level policy: needs ``rights_path, claim_state, allowed_uses`` of the matched work (or NULL)."""
+    """Work-level policy: needs ``rights_path, claim_state, allowed_uses`` of the matched work (or NULL).
+
+    Where the scope was incomplete, the reasons of ``coverage_reason_codes`` (an array, if there is one) follow the policy's own.
+    """
     c = F.col
     none = "NO_LICENSE_INFO"
     known = c("rights_path").isin("EXISTING_LICENSE", "LICENSE_AVAILABLE", "NO_LICENSE_INFO", "DISPUTED")
@@ -73,13 +76,40 @@ def legacy_policy(scans: DataFrame) -> DataFrame:
         (c("rights_path") == "LICENSE_AVAILABLE", REVIEW, path, "LICENSE_PATH_AVAILABLE_REVIEW_REQUIRED"),
     ]
     pick = lambda i, default: cascade([(r[0], r[i]) for r in rules], default)
+    reasons = pick(3, "MATCH_REQUIRES_RIGHTS_REVIEW")
+    if "coverage_reason_codes" in scans.columns:
+        scoped = reasons.isin("SCOPE_INCOMPLETE_REQUIRES_REVIEW", "MATCH_FOUND_WITH_INCOMPLETE_SCOPE_REQUIRES_REVIEW")
+        why = F.when(scoped & (F.size("coverage_reason_codes") > 0), joined(c("coverage_reason_codes")))
+        reasons = F.concat_ws("|", reasons, why)
     return (
         scans.withColumn("policy_action", pick(1, REVIEW))
         .withColumn("policy_path", pick(2, path))
-        .withColumn("reason_codes", pick(3, "MATCH_REQUIRES_RIGHTS_REVIEW"))
+        .withColumn("reason_codes", reasons)
     )
 
 
+NOTICE = "Evidence within the sources that were checked, and a policy recommendation: no legal finding of infringement."
+
+
+def completed_payload(scans: DataFrame) -> DataFrame:
+    """``scan_id, payload``: the summary sent when a scan is completed, as JSON of nineteen fields.
+
+    Needs the scan's own columns (``scan_id, tenant_id, catalog_id, intended_use, match_status, policy_action, rights_path,
+    reason_codes, anchor_status, completed_at``), its coverage (``coverage_status``), the proof of its packet (``proof_provider,
+    packet_hash``), its statement (``statement_id, statement_digest``) and ``review_case_id``; all but the ids may be NULL and then
+    are ``null``, an unknown coverage is not complete, and unknown reasons are none.
+    """
+    c = F.col
+    fields = [
+        F.lit("evidlake.scan_completed.v1").alias("schema"), "scan_id", "tenant_id", "catalog_id", "intended_use", "match_status", "policy_action",
+        "rights_path", F.coalesce("reason_codes", F.array().cast("array<string>")).alias("reason_codes"), "coverage_status",
+        c("coverage_status").eqNullSafe("COMPLETE").alias("coverage_complete"), "anchor_status", "proof_provider",
+        c("packet_hash").alias("packet_hash_sha256"), "statement_id", c("statement_digest").alias("statement_digest_sha256"), "review_case_id",
+        F.date_format("completed_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("completed_at"), F.lit(NOTICE).alias("notice"),
+    ]
+    return scans.select("scan_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def rules_struct(name: str, rules: dict | None = None) -> Column:
     merged = {**DEFAULT_RULES, **(rules or {})}
     fields = [F.lit(name).alias("policy")]

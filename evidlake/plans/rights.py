@@ -135,11 +135,11 @@ _LEG = """select *, case work_id % 6 when 0 then 'EXISTING_LICENSE' when 1 then
 
 @query(
     "dc10_legacy_policy",
-    f"""with x as ({_LEG}), k as (select *, case when rights_path = 'BOGUS' or rights_path is null then 'NO_LICENSE_INFO' else rights_path end as p from x)
+    f"""with x as ({_LEG}), k as (select *, case when rights_path = 'BOGUS' or rights_path is null then 'NO_LICENSE_INFO' else rights_path end as p, case scan_id % 3 when 0 then 'CANDIDATE_VERIFICATION_TRUNCATED' when 1 then 'CANDIDATE_VERIFICATION_FAILURE|CANDIDATE_VERIFICATION_PARTIAL' end as why from x)
        select scan_id, case when match_status = 'NO_MATCH_IN_CHECKED_SOURCES' then 'PASS_BY_POLICY' when match_status <> 'MATCH_FOUND' then 'REVIEW' when coverage_status = 'COMPLETE' and rights_path = 'EXISTING_LICENSE' and claim_state = 'CORROBORATED' and intended_use = 'marketing' then 'PASS_BY_POLICY' else 'REVIEW' end as policy_action,
         case when match_status <> 'MATCH_FOUND' then 'NO_LICENSE_INFO' else p end as policy_path,
-        case match_status when 'SCOPE_INCOMPLETE' then 'SCOPE_INCOMPLETE_REQUIRES_REVIEW' when 'ERROR' then 'SCAN_ERROR_REQUIRES_REVIEW' when 'INCONCLUSIVE' then 'VISUAL_EVIDENCE_INCONCLUSIVE' when 'NO_MATCH_IN_CHECKED_SOURCES' then 'NO_MATCH_IN_DECLARED_CATALOG|PASS_IS_POLICY_NOT_COPYRIGHT_CLEARANCE' else
-         case when coverage_status <> 'COMPLETE' then 'MATCH_FOUND_WITH_INCOMPLETE_SCOPE_REQUIRES_REVIEW' when rights_path is null then 'MATCH_WITHOUT_RIGHTS_RECORD' when rights_path = 'BOGUS' then 'MATCHED_RIGHTS_PATH_INVALID' when rights_path = 'DISPUTED' then 'MATCHED_RIGHTS_RECORD_DISPUTED'
+        case match_status when 'SCOPE_INCOMPLETE' then concat_ws('|', 'SCOPE_INCOMPLETE_REQUIRES_REVIEW', why) when 'ERROR' then 'SCAN_ERROR_REQUIRES_REVIEW' when 'INCONCLUSIVE' then 'VISUAL_EVIDENCE_INCONCLUSIVE' when 'NO_MATCH_IN_CHECKED_SOURCES' then 'NO_MATCH_IN_DECLARED_CATALOG|PASS_IS_POLICY_NOT_COPYRIGHT_CLEARANCE' else
+         case when coverage_status <> 'COMPLETE' then concat_ws('|', 'MATCH_FOUND_WITH_INCOMPLETE_SCOPE_REQUIRES_REVIEW', why) when rights_path is null then 'MATCH_WITHOUT_RIGHTS_RECORD' when rights_path = 'BOGUS' then 'MATCHED_RIGHTS_PATH_INVALID' when rights_path = 'DISPUTED' then 'MATCHED_RIGHTS_RECORD_DISPUTED'
           when claim_state = 'ASSERTED' then 'MATCHED_CLAIM_NOT_CORROBORATED' when claim_state in ('DISPUTED', 'SUPERSEDED', 'REVOKED') then 'MATCHED_CLAIM_' || claim_state when claim_state <> 'CORROBORATED' then 'MATCHED_CLAIM_STATE_INVALID'
           when rights_path = 'EXISTING_LICENSE' and intended_use = 'marketing' then 'MATCHED_USE_ALLOWED_BY_RIGHTS_RECORD' when rights_path = 'LICENSE_AVAILABLE' then 'LICENSE_PATH_AVAILABLE_REVIEW_REQUIRED' else 'MATCH_REQUIRES_RIGHTS_REVIEW' end end as reason_codes from k""",
 )
@@ -148,6 +148,8 @@ def dc10(t):
         "*", "case work_id % 6 when 0 then 'EXISTING_LICENSE' when 1 then 'LICENSE_AVAILABLE' when 2 then 'DISPUTED' when 3 then 'NO_LICENSE_INFO' when 4 then 'BOGUS' end as rights_path",
         "case when work_id % 6 = 0 then 'CORROBORATED' else element_at(array('CORROBORATED', 'ASSERTED', 'DISPUTED', 'SUPERSEDED', 'REVOKED', 'ODD'), cast(work_id % 7 % 6 + 1 as int)) end as claim_state",
         "array('marketing') as allowed_uses",
+        "case scan_id % 3 when 0 then array('CANDIDATE_VERIFICATION_TRUNCATED') when 1 then array('CANDIDATE_VERIFICATION_FAILURE', 'CANDIDATE_VERIFICATION_PARTIAL') "
+        "else cast(array() as array<string>) end as coverage_reason_codes",
     )
     return D.legacy_policy(s).select("scan_id", "policy_action", "policy_path", "reason_codes")
 
@@ -319,20 +321,27 @@ def findings(scans):
     )
 
 
+_DONE = """select scan_id, tenant_id, concat('c', scan_id % 4) as catalog_id, intended_use, match_status, case when match_status = 'NO_MATCH_IN_CHECKED_SOURCES' then 'PASS_BY_POLICY' else 'REVIEW' end as policy_action,
+    case when match_status = 'MATCH_FOUND' then 'EXISTING_LICENSE' end as rights_path, case when scan_id % 9 = 0 then null when scan_id % 9 < 4 then {arr}('A', 'B'){end} else {arr}('A'){end} end as reason_codes, case when scan_id % 14 <> 0 then coverage_status end as coverage_status,
+    case when scan_id % 3 = 0 then 'CONFIRMED' else 'PENDING' end as anchor_status, case when scan_id % 6 <> 0 then 'local-log' end as proof_provider, case when scan_id % 6 <> 0 then {sha} end as packet_hash,
+    case when scan_id % 8 <> 0 then scan_id * 10 end as statement_id, case when scan_id % 8 <> 0 then {sha2} end as statement_digest, case when match_status = 'INCONCLUSIVE' then scan_id * 100 end as review_case_id,
+    case when scan_id % 10 <> 0 then created_at end as completed_at from {src}"""
+_DONE_SQL = (
+    _DONE.replace("{arr}('A', 'B'){end}", "['A', 'B']").replace("{arr}('A'){end}", "['A']").replace("{sha2}", "sha256(concat('s', scan_id))").replace("{sha}", "sha256(concat('p', scan_id))").replace("{src}", "V_SCAN")
+)
+
+
 @query(
     "dc18_completed_payload",
-    """select scan_id, concat('{"scan_id":', scan_id, ',"tenant_id":', tenant_id, ',"intended_use":"', intended_use, '","match_status":"', match_status, '","coverage_status":"', coverage_status, '","coverage_complete":', case when coverage_status = 'COMPLETE' then 'true' else 'false' end, ',"completed_at":"', strftime(created_at, '%Y-%m-%dT%H:%M:%S'), '"}') as payload from V_SCAN""",
+    f"""select scan_id, cast(to_json(struct_pack(schema := 'evidlake.scan_completed.v1', scan_id := scan_id, tenant_id := tenant_id, catalog_id := catalog_id, intended_use := intended_use, match_status := match_status, policy_action := policy_action, rights_path := rights_path,
+         reason_codes := coalesce(reason_codes, []), coverage_status := coverage_status, coverage_complete := coalesce(coverage_status = 'COMPLETE', false), anchor_status := anchor_status, proof_provider := proof_provider, packet_hash_sha256 := packet_hash,
+         statement_id := statement_id, statement_digest_sha256 := statement_digest, review_case_id := review_case_id, completed_at := strftime(completed_at, '%Y-%m-%dT%H:%M:%SZ'), notice := '{D.NOTICE}')) as varchar) as payload from ({_DONE_SQL}) d""",
 )
 def dc18(t):
-    doc = F.to_json(
-        F.struct(
-            "scan_id", "tenant_id", "intended_use", "match_status", "coverage_status",
-            (F.col("coverage_status") == "COMPLETE").alias("coverage_complete"),
-            F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("completed_at"),
-        ),
-        {"ignoreNullFields": "false"},
-    )
-    return t.scans().select("scan_id", doc.alias("payload"))
+    scans = t.scans()
+    named = _DONE.replace("{arr}", "array").replace("{end}", "").replace("{sha2}", "sha2(concat('s', scan_id), 256)").replace("{sha}", "sha2(concat('p', scan_id), 256)")
+    columns = named.removeprefix("select ").removesuffix(" from {src}")
+    return D.completed_payload(t.spark.sql(f"select {columns} from {{scans}}", scans=scans))
 
 
 def lanes(t: Tables):
