@@ -60,7 +60,10 @@ def license_authorizes(uses: DataFrame, licenses: DataFrame) -> DataFrame:
     """
     c = F.col
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    rows = _listed(licenses)
+    # Read for the changes and for the totals; the integrity join behind it runs once.
+    rows = stored(
+        _listed(licenses).select("work_id", "state", "permitted_uses", "prohibited_uses", "from_us", "until_us", "verified"), "licenses"
+    )
     blocked = c("state").isin(*LICENSE_BLOCKED)
     active = rows.where(c("verified") & ~blocked)
     starts = F.coalesce("from_us", F.lit(ALWAYS))
