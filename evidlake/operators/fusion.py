@@ -97,8 +97,9 @@ def fuse_copy(pairs: DataFrame, th: CopyThresholds = CopyThresholds()) -> DataFr
     """Tier, class, index and ordered reasons of each candidate pair.
 
     Input: ``exact, ai, phash, structure, validated, inliers, inlier_ratio, query_coverage,
-    reference_coverage, symmetric_error, alignment_grade, reflected``. Retrieval and fingerprint alone
-    never make a match.
+    reference_coverage, symmetric_error, alignment_grade, reflected`` and, if there, ``structure_available``: a structure that
+    wasn't available counts for nothing, whatever its number. Retrieval and fingerprint alone never make a match. Each
+    signal's state is a column of its own.
     """
     c = F.col
     pairs = pairs.withColumn(
@@ -109,6 +110,8 @@ def fuse_copy(pairs: DataFrame, th: CopyThresholds = CopyThresholds()) -> DataFr
         ),
     )
     ai, ph, st = unit(c("ai")), unit(c("phash")), unit(c("structure"))
+    if "structure_available" in pairs.columns:
+        st = F.when(_true(c("structure_available")), st)
     valid, relaxed = _true(c("validated")), _true(c("alignment_grade") == "CORROBORATION_REQUIRED")
     at_least = lambda x, v: _true(x >= v)
     flags = {
@@ -206,6 +209,19 @@ def fuse_copy(pairs: DataFrame, th: CopyThresholds = CopyThresholds()) -> DataFr
                 "REJECTED",
             ),
         )
+        .withColumn("sha256_state", F.when(exact, "EXACT").otherwise(F.lit("DIFFERENT_BYTES")))
+        .withColumn(
+            "retrieval_state",
+            cascade([(exact, "CORROBORATING"), (c("__ai"), "SUPPORT"), (c("ai").isNotNull(), "WEAK")], "UNAVAILABLE"),
+        )
+        .withColumn("phash_state", cascade([(exact, "CORROBORATING"), (c("__ph"), "SUPPORT")], "WEAK"))
+        .withColumn(
+            "structure_state",
+            cascade(
+                [(exact, "NOT_REQUIRED_FOR_EXACT_HASH"), (c("__st"), "STRONG"), (st.isNotNull(), "MEASURED_WEAK")],
+                "UNAVAILABLE_WITHOUT_GEOMETRY",
+            ),
+        )
     )
     return out.drop("__ai", "__ai_geo", "__ph", "__st", "__match", "__review", "__index")
 

@@ -211,7 +211,7 @@ _PAIRIN = f"""select doc_id, item_id, shared, passage_shingles, doc_id % 12 = 0
    20 + 60 * {dsql('IN', 'doc_id', 'item_id')} as inliers, 0.5e0 + 0.5e0 * {dsql('IR', 'doc_id', 'item_id')} as ir, 0.4e0 * {dsql('QC', 'doc_id', 'item_id')} as qc, 0.5e0 * {dsql('RC', 'doc_id', 'item_id')} as rc,
    case when doc_id % 6 = 2 then null else 0.02e0 * {dsql('ER', 'doc_id', 'item_id')} end as er, case when {dsql('AG', 'doc_id', 'item_id')} < 0.25 then 'CORROBORATION_REQUIRED' else 'STRICT' end as grade, doc_id % 14 = 3 as refl from ({PAIR_SQL}) p"""
 _GQ = "case when validated then round(0.25e0 * least(inliers / 60e0, 1) + 0.30e0 * least(ir, 1) + 0.25e0 * least(sqrt(qc * rc) / 0.2e0, 1) + 0.2e0 * case when er is null then 0.5e0 else greatest(1 - er / 0.0125e0, 0) end, 6) else 0e0 end"
-_FUSE = f"""with i as ({_PAIRIN}), g as (select *, {_GQ} as gq, coalesce(ai >= 0.55, false) as fa, coalesce(ai >= 0.70, false) as fg, phash >= 0.78 as fp, coalesce(structure >= 0.76, false) as fs, grade = 'CORROBORATION_REQUIRED' as rel from i),
+_FUSE = f"""with i as (select * exclude (structure), case when doc_id % 7 <> 5 then structure end as structure from ({_PAIRIN}) p), g as (select *, {_GQ} as gq, coalesce(ai >= 0.55, false) as fa, coalesce(ai >= 0.70, false) as fg, phash >= 0.78 as fp, coalesce(structure >= 0.76, false) as fs, grade = 'CORROBORATION_REQUIRED' as rel from i),
   m as (select *, rel and coalesce(structure >= 0.84, false) and (fa or fp) as relok, validated and coalesce(structure >= 0.97, false) and ir >= 0.9 as concl,
      (validated and fs and (fa or fp)) or (validated and coalesce(structure >= 0.84, false) and gq >= 0.72) or (validated and coalesce(ai >= 0.86, false) and gq >= 0.72 and coalesce(structure >= 0.62, false)) or (rel and coalesce(structure >= 0.84, false) and (fa or fp)) or (validated and coalesce(structure >= 0.97, false) and ir >= 0.9) as mt,
      0.25e0 * coalesce(ai, phash) + 0.15e0 * phash + 0.32e0 * gq + 0.28e0 * coalesce(structure, 0) as idx from g),
@@ -219,7 +219,8 @@ _FUSE = f"""with i as ({_PAIRIN}), g as (select *, {_GQ} as gq, coalesce(ai >= 0
   f as (select doc_id, item_id, case when exact then 1e0 else gq end as geometry_quality, exact, case when exact then 1e0 else round(idx, 6) end as evidence_index, exact or mt as match_supported, not exact and rv as review_supported,
     case when exact then 'VERY_HIGH' when mt and idx >= 0.84 then 'VERY_HIGH' when mt then 'HIGH' when rv then 'REVIEW' else 'LOW' end as evidence_tier,
     case when exact then 'EXACT_BINARY_COPY' when mt and least(qc, rc) < 0.18 then 'VERIFIED_PARTIAL_COPY_EVIDENCE' when mt then 'VERIFIED_NEAR_DUPLICATE' when rv then 'REVIEW_CANDIDATE' else 'NEAREST_CANDIDATE_ONLY' end as classification,
-    case when exact then 4 else fa::int + fp::int + fs::int end::bigint as support_count, case when exact then 'NOT_REQUIRED_FOR_EXACT_HASH' when validated then 'VERIFIED' when rel then 'RECOVERED_PENDING_PIXEL_AGREEMENT' else 'REJECTED' end as geometry_state,
+    case when exact then 4 else fa::int + fp::int + fs::int end::bigint as support_count, case when exact then 'NOT_REQUIRED_FOR_EXACT_HASH' when validated then 'VERIFIED' when rel then 'RECOVERED_PENDING_PIXEL_AGREEMENT' else 'REJECTED' end as geometry_state, case when exact then 'EXACT' else 'DIFFERENT_BYTES' end as sha256_state, case when exact then 'CORROBORATING' when fa then 'SUPPORT' when ai is not null then 'WEAK' else 'UNAVAILABLE' end as retrieval_state,
+    case when exact then 'CORROBORATING' when fp then 'SUPPORT' else 'WEAK' end as phash_state, case when exact then 'NOT_REQUIRED_FOR_EXACT_HASH' when fs then 'STRONG' when structure is not null then 'MEASURED_WEAK' else 'UNAVAILABLE_WITHOUT_GEOMETRY' end as structure_state,
     case when exact then 'EXACT_SHA256_MATCH' else concat_ws('|', case when validated then 'ROBUST_GEOMETRY_VERIFIED' end, case when fs then 'ALIGNED_STRUCTURE_CORROBORATES' end, case when fg and not mt then 'SSCD_GEOMETRY_SUPPORT_REQUIRES_ALIGNED_STRUCTURE' when fg then 'SSCD_GEOMETRY_AND_STRUCTURE_CORROBORATE' when fa then 'SSCD_SUPPORTS_CANDIDATE' end,
       case when fp then 'PHASH_SUPPORTS_CANDIDATE' end, case when concl then 'ALIGNED_PIXELS_EFFECTIVELY_IDENTICAL' end, case when refl then 'ALIGNMENT_IS_A_MIRROR_IMAGE' end, case when rel and relok then 'RELAXED_ALIGNMENT_CONFIRMED_BY_ALIGNED_PIXELS' when rel then 'RELAXED_ALIGNMENT_NOT_CONFIRMED_BY_ALIGNED_PIXELS' when not validated then 'NO_VERIFIED_LOCAL_GEOMETRY' end) end as reason_codes from r)"""
 
@@ -232,6 +233,7 @@ def copy_inputs(t: Tables):
         F.when(F.col("doc_id") % 10 != 1, 0.35 + 0.65 * F.col("shared") / F.col("passage_shingles")).alias("ai"),
         (0.5 + 0.5 * d("PH")).alias("phash"),
         F.when(F.col("doc_id") % 9 != 4, 0.55 + 0.45 * d("ST")).alias("structure"),
+        (F.col("doc_id") % 7 != 5).alias("structure_available"),
         (d("V") < 0.6).alias("validated"), (20 + 60 * d("IN")).alias("inliers"), (0.5 + 0.5 * d("IR")).alias("inlier_ratio"),
         (0.4 * d("QC")).alias("query_coverage"), (0.5 * d("RC")).alias("reference_coverage"),
         F.when(F.col("doc_id") % 6 != 2, 0.02 * d("ER")).alias("symmetric_error"),
@@ -241,7 +243,7 @@ def copy_inputs(t: Tables):
     )
 
 
-_FCOLS = ["doc_id", "item_id", "geometry_quality", "evidence_index", "match_supported", "review_supported", "evidence_tier", "classification", "support_count", "geometry_state", "reason_codes"]
+_FCOLS = ["doc_id", "item_id", "geometry_quality", "evidence_index", "match_supported", "review_supported", "evidence_tier", "classification", "support_count", "geometry_state", "sha256_state", "retrieval_state", "phash_state", "structure_state", "reason_codes"]
 
 
 @query("dc1_copy_fusion", f"{_FUSE} select {', '.join(_FCOLS)} from f")
