@@ -8,15 +8,21 @@ pre-token; a worker keeps the answers in a hash table of bounded size.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+
+from evidlake.llm.common import Run, trimmed
 
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
 # What the pattern's \s matches.
 BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-# Bytes of text that are encoded at once, and pre-tokens that a worker remembers at most: some 100 MB together.
+# Bytes of text that are encoded at once, and pre-tokens that a task remembers at most: some 100 MB together.
 RUN, KNOWN = 1 << 19, 1 << 20
+# Bytes of what a worker still remembers after a task.
+KEPT = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,6 +87,13 @@ class Encoder:
         self.ids = np.zeros(1 << bits, np.int32)
         self.used = 0
 
+    def shrink(self) -> None:
+        """Keep a small memory for the worker's next task, and none of one that grew."""
+        held = (self.keys, self.at, self.count, self.ids, self.power, self.inverse)
+        if sum(x.nbytes for x in held) > KEPT:
+            self.power = self.inverse = np.ones(1, np.uint64)
+            self.forget(16)
+
     def powers(self, n: int) -> None:
         if len(self.power) < n:
             step, back = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
@@ -205,6 +218,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoding(path: str, run: Callable[[Encoder, Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Run:
+    """``run`` with the worker's encoder, which is small again when the task ends."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        try:
+            yield from run(own, batches)
+        finally:
+            own.shrink()
+
+    return trimmed(task)
+
+
 def standard_path() -> str:
     import public_tokenizers
 

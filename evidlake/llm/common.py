@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from evidlake.session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 # Texts are worked through in pieces of about so many bytes, which stay in a core's cache.
 PIECE = 1 << 21
+#: What a task does with the Arrow batches of its rows.
+Run = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def new_folder(spark, name: str) -> str:
@@ -65,6 +68,26 @@ def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE) -> It
         first = last
 
 
+def release() -> None:
+    """Give freed memory back to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run: Run) -> Run:
+    """``run`` for a task that leaves its worker as small as it found it: workers live on for the stages that follow."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def batch_of(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema

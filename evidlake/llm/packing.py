@@ -88,10 +88,10 @@ def patterns(lengths: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]
 def cut(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
     """Pieces of every document's ids: runs of ``capacity`` from its start on, and what remains."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(encoder: bpe.Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, offsets, rows in runs_of_text(batch, size=bpe.RUN):
-                ids, count = bpe.encoder(path).encode(data, offsets)
+                ids, count = encoder.encode(data, offsets)
                 bounds = np.append(0, np.cumsum(count))
                 raw = memoryview(np.insert(ids, bounds[1:], end).astype("<u4")).cast("B")
                 edges = bounds + np.arange(len(bounds))
@@ -110,7 +110,7 @@ def cut(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
                     schema=PIECE,
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long")
+    return texts(docs).mapInArrow(bpe.encoding(path, run), "doc_id long, start long, length int, ids_crc32 long, doc_tokens long")
 
 
 def numbered(cut_pieces: DataFrame) -> DataFrame:

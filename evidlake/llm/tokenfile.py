@@ -37,11 +37,11 @@ def encode(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """
     schema = pa.schema([("nr", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(encoder: bpe.Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nr = 0
         for batch in batches:
             for data, offsets, rows in pieces(batch, size=bpe.RUN):
-                ids, count = bpe.encoder(path).encode(data, offsets)
+                ids, count = encoder.encode(data, offsets)
                 bounds = np.append(0, np.cumsum(count))
                 out = np.insert(ids, bounds[1:], end)
                 edges = bounds + np.arange(len(bounds))
@@ -55,7 +55,7 @@ def encode(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
                 )
                 nr += n
 
-    return docs.mapInArrow(run, "nr long, doc_id long, n_tokens int, ids array<int>")
+    return docs.mapInArrow(bpe.encoding(path, run), "nr long, doc_id long, n_tokens int, ids array<int>")
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 0) -> None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import pieces, texts
+from evidlake.llm.common import pieces, texts, trimmed
 
 LENGTH, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, STATES = 8, 8, 8
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_OF_A_CLASS) -> byte
         net = train([t for _, t, _ in held], np.array([y for *_, y in held], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([save(net)], pa.binary())], ["net"])
 
-    learned = found.repartition(1).mapInArrow(run, "net binary").first()
+    learned = found.repartition(1).mapInArrow(trimmed(run), "net binary").first()
     return bytes(learned["net"]) if learned else save(train([], np.zeros(0, np.int64)))
 
 
@@ -349,7 +349,7 @@ def score(docs: DataFrame, net: bytes) -> DataFrame:
                 values = model.scores(Words(data, offsets), len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], pa.array(values)], ["doc_id", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, score double")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -374,4 +374,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 values = model.scores(Words(data, offsets), len(offsets) - 1)
                 yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(values < 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
