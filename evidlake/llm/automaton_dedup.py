@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import WORD, boxed
+from evidlake.llm.common import WORD, boxed, trimmed
 from evidlake.llm.repeats import Units, copies, covered, gram_hashes, repeated_windows, words_of
 
 WINDOW, GRAM = 50, 16
@@ -215,7 +215,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             )
 
     units = Units(words_of, WINDOW, GRAM)
-    return repeated_windows(docs, units, surround, match).mapInArrow(cut, "d long, t long, gone long, kept string")
+    return repeated_windows(docs, units, surround, match).mapInArrow(trimmed(cut), "d long, t long, gone long, kept string")
 
 
 def joined_words() -> Column:

@@ -9,7 +9,9 @@ gram (``gram`` units) has the smallest hash. So two documents that share a windo
 4. there a matcher finds which of these windows a document with a smaller doc_id has too.
 
 Hashes only choose what meets; what the matcher compares are the units. A document whose whole text is that of a smaller
-doc_id needs no matcher, and counts once in a bucket. Buckets are many enough to hold a bounded share of the text.
+doc_id needs no matcher, and counts once in a bucket. What meets documents (places, windows) goes to the documents' group,
+and so do their texts. Buckets and groups are many enough to hold a bounded share of the text each; a task takes one after
+another. All that is sent is compressed by bucket, as near copies hold much the same bytes.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import partitions, pieces, runs, written
+from evidlake.llm.common import Run, partitions, pieces, runs, trimmed, written
 
 # Text that is worked through at once; text, anchors and surroundings behind one bucket; what a task gathers before it sends.
 RUN, BUCKET_BYTES, ANCHORS_AT_ONCE, BYTES_AT_ONCE = 1 << 18, 16 << 20, 1 << 20, 16 << 20
+# Tasks that share the buckets, at most; what is sent: a bucket, 0 for numbers and 1 for texts, and several arrays' bytes.
+TASKS, LETTER = 60_000, "bucket long, kind int, body binary"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * _A) ^ ((np.arange(1, 257, dtype=np.uint64) * _B) >> np.uint64(17))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -124,6 +129,25 @@ def unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def shut(*parts: bytes) -> bytes:
+    """Several arrays' bytes as one compressed body."""
+    sizes = np.array([len(parts), *map(len, parts)], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join((sizes.tobytes(), *parts)))
+
+
+def opened(body: bytes) -> list[memoryview]:
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(body))
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(raw[8 : 8 * (n + 1)], np.int64))
+    return [raw[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def letter(bucket: int, kind: int, *parts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int64()), pa.array([kind], pa.int32()), pa.array([shut(*parts)], pa.binary())], ["bucket", "kind", "body"]
+    )
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text: tells rows with the same doc_id apart) and text of documents with a doc_id."""
     text = F.coalesce(docs["text"], F.lit(""))
@@ -132,10 +156,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def send_anchors(units: Units, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """By the low bits: the high ones of an anchor are small, and tell grams of one bucket apart."""
+    return ((gram & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def group_of(doc: np.ndarray, th: np.ndarray, groups: int) -> np.ndarray:
+    return ((((doc.view(np.uint64) ^ th.view(np.uint64)) * _B) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+
+
+def send_anchors(units: Units, buckets: int) -> Run:
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, th, row, place, gram = (np.concatenate([h[i] for h in held]) for i in range(5))
-        bucket = ((gram >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
+        bucket = bucket_of(gram, buckets)
         order = np.argsort(bucket, kind="stable")
         row, place, gram, bucket = row[order], place[order], gram[order], bucket[order]
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -143,14 +176,11 @@ def send_anchors(units: Units, buckets: int) -> Callable[[Iterable[pa.RecordBatc
             own = np.flatnonzero(np.append(True, row[lo + 1 : hi] != row[lo : hi - 1]))
             delta = np.diff(place[lo:hi], prepend=0)
             delta[own] = place[lo:hi][own]
-            low = np.ascontiguousarray((gram[lo:hi] & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6])
+            high = np.ascontiguousarray(gram[lo:hi].view(np.uint8).reshape(-1, 8)[:, 2:])
             which = row[lo:hi][own]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array([int(bucket[lo])], pa.int32()), "docs": [doc[which].tobytes()], "ths": [th[which].tobytes()],
-                    "counts": [planes(np.diff(np.append(own, hi - lo)).astype(np.uint32))], "grams": [low.tobytes()],
-                    "places": [planes(delta.astype(np.uint32))],
-                }
+            yield letter(
+                int(bucket[lo]), 0, planes(doc[which]), th[which].tobytes(), planes(np.diff(np.append(own, hi - lo)).astype(np.uint32)),
+                high.tobytes(), planes(delta.astype(np.uint32)),
             )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,27 +202,30 @@ def send_anchors(units: Units, buckets: int) -> Callable[[Iterable[pa.RecordBatc
     return run
 
 
-def find_live(groups: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def find_live(groups: int) -> Run:
     """Places of live anchors, by document. Of copies of a text only that with the smallest doc_id comes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in runs(batches, "bucket"):
-            yield from to_documents(*live_places(held), groups)
+            yield from to_documents(*live_places(bodies(held)), groups)
 
     return run
 
 
-def live_places(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bodies(held: list[pa.RecordBatch]) -> list[list[memoryview]]:
+    return [opened(body.as_buffer()) for b in held for body in b.column("body")]
+
+
+def live_places(rows: list[list[memoryview]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_id, th and place of each live anchor of one bucket."""
-    rows = pa.Table.from_batches(held).to_pylist()
-    doc, th = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("docs", "ths"))
-    counts = [unplanes(r["counts"], np.uint32) for r in rows]
+    doc, th = np.concatenate([unplanes(r[0], np.int64) for r in rows]), np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
+    counts = [unplanes(r[2], np.uint32) for r in rows]
     places = []
     for r, c in zip(rows, counts, strict=True):
-        delta = unplanes(r["places"], np.uint32).astype(np.int64)
+        delta = unplanes(r[4], np.uint32).astype(np.int64)
         total, at = np.cumsum(delta), np.cumsum(c) - c
         places.append(total - np.repeat(total[at] - delta[at], c))
-    raw = np.concatenate([np.frombuffer(r["grams"], np.uint8) for r in rows]).reshape(-1, 6)
+    raw = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).reshape(-1, 6)
     gram = np.zeros((len(raw), 8), np.uint8)
     gram[:, :6] = raw
     gram = gram.view(np.uint64).ravel()
@@ -215,44 +248,87 @@ def live_places(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def to_documents(doc: np.ndarray, th: np.ndarray, values: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    """Send numbers (one row or several for each document) to their documents: one batch for each group of documents."""
+    """Send numbers (one row or several for each document) to the groups of their documents."""
     if not len(doc):
         return
-    group = (((doc.view(np.uint64) ^ th.view(np.uint64)) * _B) >> np.uint64(33)) % np.uint64(groups)
+    group = group_of(doc, th, groups)
     order = np.lexsort((th, doc, group))
     doc, th, values, group = doc[order], th[order], values[order], group[order]
     cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     for lo, hi in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
         own = np.flatnonzero(np.append(True, (doc[lo + 1 : hi] != doc[lo : hi - 1]) | (th[lo + 1 : hi] != th[lo : hi - 1])))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "bucket": pa.array([int(group[lo])], pa.int32()), "docs": [planes(doc[lo:hi][own])], "ths": [th[lo:hi][own].tobytes()],
-                "counts": [planes(np.diff(np.append(own, hi - lo)).astype(np.uint32))],
-                "values": [planes(np.ascontiguousarray(values[lo:hi], np.uint32).ravel())],
-            }
+        yield letter(
+            int(group[lo]), 0, planes(doc[lo:hi][own]), th[lo:hi][own].tobytes(), planes(np.diff(np.append(own, hi - lo)).astype(np.uint32)),
+            planes(np.ascontiguousarray(values[lo:hi], np.uint32).ravel()),
         )
 
 
+def send_texts(groups: int) -> Run:
+    """Texts to the groups of their documents."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, th = (np.concatenate([h[i] for h in held]) for i in range(2))
+        text = pa.concat_arrays([h[2] for h in held])
+        group = group_of(doc, th, groups)
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.append(len(order) > 0, np.diff(group[order]) > 0))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            some = order[lo:hi]
+            own = text.take(pa.array(some))
+            ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+            raw = own.buffers()[2]
+            yield letter(
+                int(group[some[0]]), 1, planes(doc[some]), th[some].tobytes(), planes(np.diff(ends)), memoryview(raw)[ends[0] : ends[-1]] if raw else b""
+            )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            text = batch.column("text").cast(pa.large_string())
+            held.append((batch.column("doc_id").to_numpy(), batch.column("th").to_numpy(), text))
+            n += text.nbytes
+            if n >= BYTES_AT_ONCE:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
 def at_documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, th and all numbers that were sent to it, for each document of a group."""
+    """doc_id, th, text and all numbers that were sent to it, for each document of a group that got any."""
     for _, held in runs(batches, "bucket"):
-        rows = pa.Table.from_batches(held).to_pylist()
-        doc = np.concatenate([unplanes(r["docs"], np.int64) for r in rows])
-        th = np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows])
-        counts = np.concatenate([unplanes(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-        values = np.concatenate([unplanes(r["values"], np.uint32) for r in rows])
-        values = values.reshape(int(counts.sum()), -1)
+        rows = [(k.as_py(), body) for b in held for k, body in zip(b.column("kind"), b.column("body"), strict=True)]
+        held.clear()
+        sent = [opened(body.as_buffer()) for k, body in rows if k == 0]
+        if not sent:
+            continue
+        doc, th = np.concatenate([unplanes(r[0], np.int64) for r in sent]), np.concatenate([np.frombuffer(r[1], np.int64) for r in sent])
+        counts = np.concatenate([unplanes(r[2], np.uint32) for r in sent]).astype(np.int64)
+        values = np.concatenate([unplanes(r[3], np.uint32) for r in sent])
+        values = values.reshape(int(counts.sum()), -1).astype(np.int32)
         owner = np.repeat(np.arange(len(doc)), counts)
         order = np.lexsort((th[owner], doc[owner]))
         owner, values = owner[order], values[order]
         at = np.flatnonzero(np.append(True, (doc[owner[1:]] != doc[owner[:-1]]) | (th[owner[1:]] != th[owner[:-1]])))
-        ends = np.append(at, len(owner)) * values.shape[1]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": doc[owner[at]], "th": th[owner[at]],
-                "values": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.ravel().astype(np.int32))),
-            }
-        )
+        known = dict(zip(zip(doc[owner[at]].tolist(), th[owner[at]].tolist(), strict=True), zip(at.tolist(), [*at[1:].tolist(), len(owner)], strict=True), strict=True))
+        for _, body in (r for r in rows if r[0] == 1):
+            docs, ths, sizes, text = opened(body.as_buffer())
+            docs, ths, sizes = unplanes(docs, np.int64), np.frombuffer(ths, np.int64), unplanes(sizes, np.int64)
+            spans = [known.get(pair) for pair in zip(docs.tolist(), ths.tolist(), strict=True)]
+            some = [i for i, span in enumerate(spans) if span]
+            if not some:
+                continue
+            ends = np.cumsum(sizes)
+            got = [values[slice(*spans[i])].ravel() for i in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(docs[some]), pa.array(ths[some]), pa.array([str(text[ends[i] - sizes[i] : ends[i]], "utf-8") for i in some], pa.string()),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate(got))),
+                ],
+                ["doc_id", "th", "text", "values"],
+            )
 
 
 #: Of one document: its text's bytes and its live places; gives for each place the gram's hash, the units there are on its
@@ -263,29 +339,27 @@ Surround = Callable[[np.ndarray, np.ndarray, Units], tuple[np.ndarray, np.ndarra
 Match = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def send_surroundings(units: Units, surround: Surround, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def send_surroundings(units: Units, surround: Surround, buckets: int) -> Run:
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, th, place, gram, left, right = (np.concatenate([h[i] for h in held]) for i in range(6))
         raw = pa.concat_arrays([h[6] for h in held])
-        bucket = ((gram >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32)
+        bucket = bucket_of(gram, buckets)
         order = np.lexsort((gram, bucket))
         cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
             some = order[lo:hi]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array([int(bucket[some[0]])], pa.int32()),
-                    "docs": [planes(doc[some])], "ths": [th[some].tobytes()], "places": [planes(place[some].astype(np.uint32))],
-                    "grams": [gram[some].tobytes()], "left": [left[some].astype(np.uint8).tobytes()],
-                    "right": [right[some].astype(np.uint8).tobytes()],
-                    "around": pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), raw.take(pa.array(some))),
-                }
+            around = raw.take(pa.array(some))
+            ends = np.frombuffer(around.buffers()[1], np.int32)[: len(some) + 1]
+            yield letter(
+                int(bucket[some[0]]), 0, planes(doc[some]), th[some].tobytes(), planes(place[some].astype(np.uint32)), gram[some].tobytes(),
+                left[some].astype(np.uint8).tobytes(), right[some].astype(np.uint8).tobytes(), planes(np.diff(ends)),
+                memoryview(around.buffers()[2])[: ends[-1]],
             )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids, ths, found = (batch.column(c) for c in ("doc_id", "th", "places"))
+            ids, ths, found = (batch.column(c) for c in ("doc_id", "th", "values"))
             ids, ths = ids.to_numpy(), ths.to_numpy()
             for i in range(batch.num_rows):
                 place = np.unique(found[i].values.to_numpy())
@@ -302,16 +376,17 @@ def send_surroundings(units: Units, surround: Surround, buckets: int) -> Callabl
     return run
 
 
-def match_buckets(units: Units, match: Match, groups: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def match_buckets(units: Units, match: Match, groups: int) -> Run:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in runs(batches, "bucket"):
-            raw = pa.concat_arrays([b.column("around").flatten() for b in held])
-            rows = pa.Table.from_batches(held).drop_columns(["around"]).to_pylist()
+            rows = bodies(held)
             held.clear()
-            doc = np.concatenate([unplanes(r["docs"], np.int64) for r in rows])
-            place = np.concatenate([unplanes(r["places"], np.uint32) for r in rows]).astype(np.int64)
-            th, gram = np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in rows])
-            left, right = (np.concatenate([np.frombuffer(r[c], np.uint8) for r in rows]).astype(np.int64) for c in ("left", "right"))
+            doc, place = np.concatenate([unplanes(r[0], np.int64) for r in rows]), np.concatenate([unplanes(r[2], np.uint32) for r in rows]).astype(np.int64)
+            th, gram = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows]), np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
+            left, right = (np.concatenate([np.frombuffer(r[i], np.uint8) for r in rows]).astype(np.int64) for i in (4, 5))
+            ends = np.cumsum(np.append(0, np.concatenate([unplanes(r[6], np.int32) for r in rows]))).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(r[7] for r in rows))])
+            rows.clear()
             row, lo, hi = match(doc, gram, left, right, raw)
             # Windows by the number of their first unit in the document.
             windows = np.stack([place[row] - units.reach + lo, place[row] - units.reach + hi], axis=1)
@@ -338,22 +413,24 @@ def repeated_windows(docs: DataFrame, units: Units, surround: Surround, match: M
     spark = docs.sparkSession
     rows = keyed(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(60_000, max(partitions(spark), -(-total // BUCKET_BYTES)))
-    sent = rows.mapInArrow(send_anchors(units, buckets), "bucket int, docs binary, ths binary, counts binary, grams binary, places binary")
-    groups = partitions(spark)
-    to, at = "bucket int, docs binary, ths binary, counts binary, values binary", "doc_id long, th long, values array<int>"
-
-    def bucketed(rows: DataFrame, n: int) -> DataFrame:
-        return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
-
-    live = bucketed(bucketed(sent, buckets).mapInArrow(find_live(groups), to), groups).mapInArrow(at_documents, at)
-    live = live.withColumnRenamed("values", "places")
-    known = written(rows.join(live, ["doc_id", "th"]).select("doc_id", "th", "text", "places"), "live", compression="zstd")
-    kind = "bucket int, docs binary, ths binary, places binary, grams binary, left binary, right binary, around array<binary>"
-    met = bucketed(known.mapInArrow(send_surroundings(units, surround, buckets), kind), buckets)
-    found = bucketed(met.mapInArrow(match_buckets(units, match, groups), to), groups).mapInArrow(at_documents, at)
-    found = written(found.withColumnRenamed("values", "windows"), "windows")
-    return known.select("doc_id", "th", "text").join(found, ["doc_id", "th"])
+    buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
+    tasks = min(TASKS, buckets)
+
+    def sorted_by(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+
+    def send(rows: DataFrame, run: Run) -> DataFrame:
+        return rows.mapInArrow(trimmed(run), LETTER)
+
+    def meet(numbers: DataFrame, texts: DataFrame) -> DataFrame:
+        both = sorted_by(numbers.unionByName(send(texts, send_texts(buckets))))
+        return both.mapInArrow(trimmed(at_documents), "doc_id long, th long, text string, values array<int>")
+
+    live = send(sorted_by(send(rows, send_anchors(units, buckets))), find_live(buckets))
+    known = written(meet(live, rows), "live", compression="zstd")
+    met = sorted_by(send(known, send_surroundings(units, surround, buckets)))
+    found = send(met, match_buckets(units, match, buckets))
+    return meet(found, known.select("doc_id", "th", "text")).withColumnRenamed("values", "windows")
 
 
 def copies(docs: DataFrame, *measures: Column) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidlake.llm.common import trimmed
 from evidlake.llm.repeats import Units, bytes_of, copies, covered, gram_hashes, repeated_windows
 
 WINDOW, GRAM, START = 50, 16, 8
@@ -150,7 +151,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 ["d", "t", "gone", "spans", "kept"],
             )
 
-    gone = found.mapInArrow(cut, "d long, t long, gone long, spans array<array<long>>, kept string").dropDuplicates(["d", "t"])
+    gone = found.mapInArrow(trimmed(cut), "d long, t long, gone long, spans array<array<long>>, kept string").dropDuplicates(["d", "t"])
     all_docs = copies(docs, F.octet_length("text").cast("long").alias("n_bytes"))
     joined = all_docs.join(gone, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t")), "left")
     whole = F.col("is_copy") & (F.col("n_bytes") >= WINDOW)
