@@ -43,6 +43,12 @@ def _best(angle: np.ndarray, radius: np.ndarray, high: np.ndarray, low: np.ndarr
     return size[:, None] * np.where(cos >= 0, cos * high, cos * low)
 
 
+def _least(angle: np.ndarray, radius: np.ndarray, high: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The smallest such product."""
+    cos = np.cos(np.minimum(np.pi, angle + radius))
+    return size[:, None] * np.where(cos >= 0, cos * low, cos * high)
+
+
 @dataclass
 class Tree:
     """Inner pivots, leaf pivots sorted by inner cone (``bounds`` cuts them), and what the references of each cone span."""
@@ -88,21 +94,34 @@ class Tree:
             out.append(np.array(picked, int))
         return out
 
-    def reach(self, unit: np.ndarray, size: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, leaf) of all leaves that can hold a reference as similar as the query's floor: from cone to cone."""
+    def reach(
+        self, unit: np.ndarray, size: np.ndarray, floor: np.ndarray, spread: np.ndarray | None = None, over: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf) of all leaves that can hold a reference as similar as the query's floor: from cone to cone.
+
+        With ``spread`` a query stands for all directions up to that angle from it. Leaves whose references are all more
+        similar than ``over`` are left out; the third array counts their references for each query.
+        """
         tops = np.maximum.reduceat(self.high, self.bounds[:-1])
         bottoms = np.minimum.reduceat(self.low, self.bounds[:-1])
-        open_ = _best(_angles(unit, self.inner), self.inner_radius, tops, bottoms, size) >= floor[:, None]
-        rows, leaves = [], []
+        wide = (np.zeros(len(unit)) if spread is None else spread)[:, None]
+        open_ = _best(_angles(unit, self.inner), self.inner_radius + wide, tops, bottoms, size) >= floor[:, None]
+        rows, leaves, above = [], [], np.zeros(len(unit), int)
         for c in np.flatnonzero(open_.any(axis=0)):
             lo, hi = self.bounds[c : c + 2]
             some = np.flatnonzero(open_[:, c])
-            bound = _best(_angles(unit[some], self.leaves[lo:hi]), self.radius[lo:hi], self.high[lo:hi], self.low[lo:hi], size[some])
-            r, leaf = np.nonzero((bound >= floor[some, None]) & (self.count[lo:hi] > 0))
+            angle, span = _angles(unit[some], self.leaves[lo:hi]), self.radius[lo:hi] + wide[some]
+            bound = _best(angle, span, self.high[lo:hi], self.low[lo:hi], size[some])
+            met = (bound >= floor[some, None]) & (self.count[lo:hi] > 0)
+            if over is not None:
+                whole = met & (_least(angle, span, self.high[lo:hi], self.low[lo:hi], size[some]) > over[some, None])
+                above[some] += whole @ self.count[lo:hi]
+                met &= ~whole
+            r, leaf = np.nonzero(met)
             rows.append(some[r])
             leaves.append(lo + leaf)
         none = np.zeros(0, int)
-        return np.concatenate([none, *rows]), np.concatenate([none, *leaves])
+        return np.concatenate([none, *rows]), np.concatenate([none, *leaves]), above
 
 
 def plant(sample: np.ndarray, leaves: int) -> Tree:
@@ -199,9 +218,8 @@ def _aimed(queries: DataFrame, cones: Cones, pick: Callable, floors: bool) -> Da
     return queries.select(*columns).mapInPandas(aim, "query_id bigint, vec array<double>, cell int")
 
 
-def _scored(visits: DataFrame, cones: Cones, block_rows: int, keep: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], exclude_self: bool) -> DataFrame:
-    """Similarities of visits with the references of their leaf, block by block; ``keep`` chooses (row, column) of a block."""
-    cosine = cones.cosine
+def _met(visits: DataFrame, cones: Cones, block_rows: int, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``score`` of the visits of a leaf and the leaf's references, both in blocks of bounded size."""
     sizes = cones.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     asked = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
     blocks = sizes.join(asked, "cell").select(
@@ -211,17 +229,28 @@ def _scored(visits: DataFrame, cones: Cones, block_rows: int, keep: Callable[[np
     blocks = F.broadcast(blocks)
     part = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = visits.join(blocks, "cell").select("query_id", "cell", "vec", part("query_id", "query_blocks").alias("qb"), every("ref_blocks").alias("rb"))
+    left = visits.join(blocks, "cell").select(*visits.columns, part("query_id", "query_blocks").alias("qb"), every("ref_blocks").alias("rb"))
     right = cones.placed.select("ref_id", "cell", "vec").join(blocks, "cell").select(
         "ref_id", "cell", "vec", part("ref_id", "ref_blocks").alias("rb"), every("query_blocks").alias("qb")
     )
+    key = ["cell", "rb", "qb"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, schema)
+
+
+def _similarities(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+    return np.round(np.array(q["vec"].tolist()) @ np.array(r["vec"].tolist()).T, 12)
+
+
+def _scored(visits: DataFrame, cones: Cones, block_rows: int, keep: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], exclude_self: bool) -> DataFrame:
+    """Similarities of visits with the references of their leaf, block by block; ``keep`` chooses (row, column) of a block."""
+    cosine = cones.cosine
 
     def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"query_id": [], "ref_id": [], "similarity": []})
         r = r.sort_values("ref_id")
         qid, rid = q["query_id"].to_numpy(), r["ref_id"].to_numpy()
-        sims = np.round(np.array(q["vec"].tolist()) @ np.array(r["vec"].tolist()).T, 12)
+        sims = _similarities(q, r)
         if cosine:
             np.clip(sims, -1.0, 1.0, out=sims)
         if exclude_self:
@@ -230,8 +259,7 @@ def _scored(visits: DataFrame, cones: Cones, block_rows: int, keep: Callable[[np
         out = pd.DataFrame({"query_id": qid[rows], "ref_id": rid[columns], "similarity": sims[rows, columns]})
         return out[np.isfinite(out["similarity"])]
 
-    key = ["cell", "rb", "qb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, _HITS)
+    return _met(visits, cones, block_rows, score, _HITS)
 
 
 def _top(k: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -257,7 +285,7 @@ def visits_of(queries: DataFrame, cones: Cones, k: int, exclude_self: bool = Tru
         return np.repeat(np.arange(len(unit)), [len(f) for f in found]), np.concatenate([np.zeros(0, int), *found])
 
     def rest(unit: np.ndarray, size: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, cells = tree.reach(unit, size, floor - SLACK)
+        rows, cells, _ = tree.reach(unit, size, floor - SLACK)
         done = tree.first(unit, need)
         fresh = np.array([c not in done[r] for r, c in zip(rows, cells, strict=True)], bool)
         return rows[fresh], cells[fresh]
@@ -296,7 +324,80 @@ def within(queries: DataFrame, cones: Cones, floor: float, exclude_self: bool =
     def pick(unit: np.ndarray, size: np.ndarray, _: None) -> tuple[np.ndarray, np.ndarray]:
         if tree is None:
             return np.arange(len(unit)), np.zeros(len(unit), int)
-        return tree.reach(unit, size, np.full(len(unit), floor - SLACK))
+        return tree.reach(unit, size, np.full(len(unit), floor - SLACK))[:2]
 
     visits = stored(_aimed(queries, cones, pick, False), "visits")
     return _scored(visits, cones, block_rows, lambda sims: np.nonzero(sims >= floor), exclude_self)
+
+
+def rivals(queries: DataFrame, cones: Cones, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs (``query_id, ref_id``) of a cone of directions and a reference that may be as similar to some of them as the
+    cone's floor. ``queries(query_id, vec, spread, floor)``: ``vec`` the middle, ``spread`` the angle around it."""
+    tree = cones.tree
+
+    def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[lo : lo + AT_ONCE]
+                unit, _ = unit_rows(part["vec"])
+                rows, cells = np.arange(len(part)), np.zeros(len(part), int)
+                if tree:
+                    rows, cells, _ = tree.reach(unit, np.ones(len(part)), part["floor"].to_numpy() - SLACK, part["spread"].to_numpy())
+                if len(rows):
+                    yield part.iloc[rows].assign(vec=list(unit[rows]), cell=cells)
+
+    def choose(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": [], "ref_id": []})
+        to, size = unit_rows(r["vec"])
+        angle = np.maximum(0.0, _angles(np.array(q["vec"].tolist()), to) - q["spread"].to_numpy()[:, None])
+        may = np.cos(angle) * size >= q["floor"].to_numpy()[:, None] - SLACK
+        rows, columns = np.nonzero(may & (q["query_id"].to_numpy()[:, None] != r["ref_id"].to_numpy()))
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "ref_id": r["ref_id"].to_numpy()[columns]})
+
+    asked = queries.select("query_id", "vec", "spread", "floor")
+    visits = asked.mapInPandas(aim, "query_id bigint, vec array<double>, spread double, floor double, cell int")
+    return _met(stored(visits, "visits") if tree else visits, cones, block_rows, choose, "query_id bigint, ref_id bigint")
+
+
+def banded(queries: DataFrame, cones: Cones, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All references whose similarity to a query lies in its band, and how many lie above it.
+
+    ``queries(query_id, vec, lo, hi)`` gives ``query_id, ref_id, similarity, above, scored``: a row for each reference in the
+    band; rows without ``ref_id`` count those ``above`` and those ``scored`` one by one (sum them over the query). A leaf
+    wholly below the band is not met, a leaf wholly above is only counted.
+    """
+    tree, cosine = cones.tree, cones.cosine
+
+    def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[start : start + AT_ONCE]
+                unit, size = unit_rows(part["vec"])
+                size = np.ones(len(part)) if cosine else size
+                rows, cells, above = np.arange(len(part)), np.zeros(len(part), int), np.zeros(len(part), int)
+                if tree:
+                    rows, cells, above = tree.reach(unit, size, part["lo"].to_numpy() - SLACK, over=part["hi"].to_numpy() + SLACK)
+                if len(rows):
+                    yield part.iloc[rows].assign(vec=list(unit[rows] * size[rows, None]), cell=cells, above=0)
+                if above.any():
+                    yield part[above > 0].assign(vec=None, cell=-1, above=above[above > 0])
+
+    def choose(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": [], "ref_id": [], "similarity": [], "above": [], "scored": []})
+        sims, qid = _similarities(q, r), q["query_id"].to_numpy()
+        over = sims > q["hi"].to_numpy()[:, None]
+        rows, columns = np.nonzero((sims >= q["lo"].to_numpy()[:, None]) & ~over)
+        counts = pd.DataFrame({"query_id": qid, "ref_id": pd.array([None] * len(q), "Int64"), "similarity": np.nan, "above": over.sum(axis=1), "scored": len(r)})
+        found = pd.DataFrame({"query_id": qid[rows], "ref_id": pd.array(r["ref_id"].to_numpy()[columns], "Int64"), "similarity": sims[rows, columns], "above": 0, "scored": 0})
+        return pd.concat([counts, found])
+
+    asked = queries.select("query_id", "vec", "lo", "hi")
+    visits = asked.mapInPandas(aim, "query_id bigint, vec array<double>, lo double, hi double, cell int, above bigint")
+    visits = stored(visits, "visits") if tree else visits
+    met = _met(visits.where("cell >= 0").drop("above"), cones, block_rows, choose, "query_id bigint, ref_id bigint, similarity double, above bigint, scored bigint")
+    if tree is None:
+        return met
+    whole = visits.where("cell < 0").selectExpr("query_id", "cast(null as bigint) as ref_id", "cast(null as double) as similarity", "above", "0L as scored")
+    return met.unionByName(whole)

@@ -16,10 +16,14 @@ from pyspark.sql.window import Window
 
 from evidlake.functions.expr import cascade, codes, joined, l2_normalize, ratio
 from evidlake.functions.running import medians, running
+from evidlake.operators import cones
 from evidlake.operators.evaluation import roc_auc
 from evidlake.operators.similarity import BLOCK_ROWS, nearest
+from evidlake.session import stored
 
 CSLS_K = 15
+ANGLES = 4096
+BAND_SLACK = 1e-9
 
 
 def unit_anchors(anchors: DataFrame) -> DataFrame:
@@ -185,81 +189,122 @@ def robust_member(anchors: DataFrame, dim: int, n: int = 3) -> DataFrame:
     )
 
 
-def profile_table(anchors: DataFrame, dim: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pooled similarity of every anchor to every profile, in blocks: ``item_id, own, profile_key, score``.
+def _scored_pools(anchors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Unit anchors, pools (written once) and every anchor's score in its own pool, with itself and without."""
+    u = unit_anchors(anchors).where("vec is not null").select("item_id", "profile_key", "vec")
+    p = stored(pools(u, dim), "pools")
+    dot = F.round(F.aggregate(F.zip_with("vec", "mean", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 12)
+    own = u.join(p.select("profile_key", "n", "mean"), "profile_key").select("item_id", "profile_key", "n", "vec", "mean", dot.alias("score"))
+    without = F.when(F.col("n") >= 2, (F.col("score") * F.col("n") - 1.0) / (F.col("n") - 1))
+    return u, p, own.withColumn("without", without)
 
-    Its size, anchors x profiles, is what the statistics below are defined on; both sides are cut into
-    blocks of bounded size and each pair of blocks is one matrix product.
+
+def _spreads(own: DataFrame) -> DataFrame:
+    """An angle around the prototype of each profile that holds more than half of its members, from a histogram of angles.
+
+    A median over the members can't exceed the best similarity within that angle. Without a direction it is the half circle.
+    """
+    size = F.sqrt(F.aggregate(F.transform("mean", lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+    angle = F.when(size > 1e-12, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / size)))).otherwise(F.lit(np.pi))
+    bins = own.groupBy("profile_key", F.ceil(angle * (ANGLES / np.pi)).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    # At most ANGLES + 1 rows of a profile reach this window.
+    upto = F.sum("c").over(Window.partitionBy("profile_key").orderBy("bin"))
+    enough = bins.withColumn("upto", upto).where(F.col("upto") > F.col("n") / 2)
+    return enough.groupBy("profile_key").agg(((F.min("bin") + 1) * (np.pi / ANGLES)).alias("spread"))
+
+
+def cross_medians(u: DataFrame, p: DataFrame, pairs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Median score of a profile's members against another profile's pool: ``own, profile_key, m``, for ``pairs(own, profile_key)``.
+
+    The members of a profile and the pools they meet are both cut into blocks; each pair of blocks is one matrix product.
     """
-    u = unit_anchors(anchors).select("item_id", F.col("profile_key").alias("own"), "vec")
-    p = pools(unit_anchors(anchors), dim).select("profile_key", F.col("mean").alias("vec"))
-    def blocks(count: Column) -> Column:
-        rows = anchors.agg(count.alias("n")).select("n").scalar()
-        return F.greatest(F.lit(1), F.ceil(rows / block_rows)).cast("int")
-
-    item_blocks, profile_blocks = blocks(F.count(F.lit(1))), blocks(F.count_distinct("profile_key"))
-    left = u.withColumn("qb", F.pmod(F.xxhash64("item_id"), item_blocks).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), profile_blocks - 1))
+    blocks = pairs.groupBy("own").agg(F.count(F.lit(1)).alias("met")).join(p.select(F.col("profile_key").alias("own"), "n"), "own").select(
+        "own", F.ceil(F.col("n") / block_rows).cast("int").alias("item_blocks"), F.ceil(F.col("met") / block_rows).cast("int").alias("pool_blocks")
     )
-    right = p.withColumn("rb", F.pmod(F.xxhash64("profile_key"), profile_blocks).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), item_blocks - 1))
+    part = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = u.withColumnRenamed("profile_key", "own").join(blocks, "own").select(
+        "own", "vec", part("item_id", "item_blocks").alias("ib"), every("pool_blocks").alias("pb")
+    )
+    right = pairs.join(blocks, "own").join(p.select("profile_key", "mean"), "profile_key").select(
+        "own", "profile_key", "mean", part("profile_key", "pool_blocks").alias("pb"), every("item_blocks").alias("ib")
     )
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"item_id": [], "own": [], "profile_key": [], "score": []})
-        s = np.round(np.array(a["vec"].tolist()) @ np.array(b["vec"].tolist()).T, 12)
-        return pd.DataFrame(
-            {
-                "item_id": np.repeat(a["item_id"].to_numpy(), len(b)), "own": np.repeat(a["own"].to_numpy(), len(b)),
-                "profile_key": np.tile(b["profile_key"].to_numpy(), len(a)), "score": s.ravel(),
-            }
-        )
-
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(
-        score, "item_id bigint, own bigint, profile_key bigint, score double"
-    )
+            return pd.DataFrame({"own": [], "profile_key": [], "score": []})
+        s = np.round(np.array(a["vec"].tolist()) @ np.array(b["mean"].tolist()).T, 12)
+        return pd.DataFrame({"own": a["own"].iloc[0], "profile_key": np.tile(b["profile_key"].to_numpy(), len(a)), "score": s.ravel()})
 
+    key = ["own", "ib", "pb"]
+    scores = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, "own bigint, profile_key bigint, score double")
+    # Order statistics read their input several times: it is written once.
+    return medians(stored(scores, "scores"), ["own", "profile_key"], "score", "m")
 
-def leave_one_out(table: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Own-pool scores with the anchor itself taken out."""
-    own = table.where("own = profile_key").join(sizes, "profile_key").where("n >= 2")
-    return own.select(
-        "item_id", "profile_key", ((F.col("score") * F.col("n") - 1.0) / (F.col("n") - 1)).alias("score")
-    )
 
+def discrimination_gap(anchors: DataFrame, dim: int, leaf_rows: int = cones.LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Median leave-one-out score within a profile minus its worst median against another profile.
 
-def discrimination_gap(anchors: DataFrame, dim: int) -> DataFrame:
-    """Median leave-one-out score within a profile minus its worst median against another profile."""
-    table = profile_table(anchors, dim)
-    sizes = anchors.groupBy("profile_key").agg(F.count(F.lit(1)).alias("n"))
-    within = medians(leave_one_out(table, sizes), ["profile_key"], "score", "within_median")
-    cross = medians(table.where("own <> profile_key"), ["own", "profile_key"], "score", "m")
-    worst = cross.groupBy("own").agg(F.max(F.struct("m", "profile_key")).alias("w")).select(
-        F.col("own").alias("profile_key"), F.col("w.m").alias("worst_cross_median"), F.col("w.profile_key").alias("worst_cross_profile")
+    The worst other profile is found by branch and bound over an index of the pools: the pool nearest to the prototype gives
+    a least median to beat, from the angle that holds more than half of the members, and only pools whose greatest median
+    reaches it are scored. ``pools_scored`` says how many. Anchors without a direction take no part; of equally bad profiles the largest key is named.
+    """
+    u, p, own = _scored_pools(anchors, dim)
+    own = stored(own.drop("vec"), "own")
+    within = medians(own.where("n >= 2").select("profile_key", F.col("without").alias("score")), ["profile_key"], "score", "within_median")
+    index = cones.build(p.select(F.col("profile_key").alias("ref_id"), F.col("mean").alias("vec")), "dot", leaf_rows)
+    size = F.sqrt(F.aggregate(F.transform("mean", lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+    middles = p.select(F.col("profile_key").alias("query_id"), F.coalesce(l2_normalize(F.col("mean")), F.col("mean")).alias("vec"))
+    sizes = p.select(F.col("profile_key").alias("ref_id"), size.alias("size"))
+    near = cones.nearest(middles, index, 1, block_rows=block_rows).join(sizes, "ref_id").join(_spreads(own), F.col("query_id") == F.col("profile_key"))
+    # More than half of the members are at least as similar to the nearest pool as this.
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity") / F.col("size")))) + F.col("spread")
+    floor = F.when(F.col("size") > 1e-12, F.col("size") * F.cos(F.least(F.lit(np.pi), angle))).otherwise(F.lit(0.0))
+    asked = middles.join(near.select("query_id", "spread", floor.alias("floor")), "query_id")
+    found = cones.rivals(asked, index, block_rows)
+    pairs = stored(found.select(F.col("query_id").alias("own"), F.col("ref_id").alias("profile_key")), "rivals")
+    worst = cross_medians(u, p, pairs, block_rows).groupBy("own").agg(
+        F.max(F.struct("m", "profile_key")).alias("w"), F.count(F.lit(1)).alias("pools_scored")
+    ).select(
+        F.col("own").alias("profile_key"), F.col("w.m").alias("worst_cross_median"), F.col("w.profile_key").alias("worst_cross_profile"), "pools_scored"
     )
-    return sizes.join(within, "profile_key", "left").join(worst, "profile_key", "left").withColumn(
+    return p.select("profile_key", "n").join(within, "profile_key", "left").join(worst, "profile_key", "left").withColumn(
         "gap", F.col("within_median") - F.col("worst_cross_median")
     )
 
 
 def empirical_support(
-    anchors: DataFrame, dim: int, min_works: int = 3, min_profiles: int = 3, min_negatives: int = 19
+    anchors: DataFrame, dim: int, min_works: int = 3, min_profiles: int = 3, min_negatives: int = 19,
+    leaf_rows: int = cones.LEAF_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Smoothed tail p-value (raw and adjusted for choosing among profiles), positive percentile and
-    separation AUC of every anchor as a query against its own profile."""
-    table = profile_table(anchors, dim)
-    sizes = anchors.groupBy("profile_key").agg(F.count(F.lit(1)).alias("n"))
+    separation AUC of every anchor as a query against its own profile.
+
+    Only scores between the smallest and the largest own score of a profile (its band) have to be known one by one; an
+    index of the anchors counts those above and below by whole leaves. ``scored`` is how many anchors the profile met.
+    Anchors without a direction take no part.
+    """
+    u, p, own = _scored_pools(anchors, dim)
+    sizes = p.select("profile_key", "n")
     profiles = sizes.agg(F.count(F.lit(1)).alias("p")).select("p").scalar()
     total = sizes.agg(F.sum("n").alias("t")).select("t").scalar()
-    # One pass over the table: an own score gives the query itself and, with the anchor taken out, a
+    ends = own.groupBy(F.col("profile_key").alias("query_id")).agg(
+        (F.min(F.least("score", "without")) - BAND_SLACK).alias("lo"), (F.max(F.greatest("score", "without")) + BAND_SLACK).alias("hi")
+    )
+    q = p.select(F.col("profile_key").alias("query_id"), F.col("mean").alias("vec")).join(ends, "query_id")
+    index = cones.build(u.select(F.col("item_id").alias("ref_id"), "vec"), "dot", leaf_rows)
+    met = stored(cones.banded(q, index, block_rows), "band").withColumnRenamed("query_id", "profile_key")
+    table = met.where("ref_id is not null").select(F.col("ref_id").alias("item_id"), "profile_key", F.col("similarity").alias("score")).join(
+        u.select("item_id", F.col("profile_key").alias("own")), "item_id"
+    )
+    # In the band: an own score gives the query itself and, with the anchor taken out, a
     # positive; any other score is a negative. At equal scores positives come before the query (they
     # count as <=) and negatives after it (>=).
-    own = F.col("own") == F.col("profile_key")
+    mine = F.col("own") == F.col("profile_key")
     point = lambda score, kind: F.struct(score.alias("score"), F.lit(kind).alias("kind"))
     out_of_pool = (F.col("score") * F.col("n") - 1.0) / (F.col("n") - 1)
     parts = (
-        F.when(~own, F.array(point(F.col("score"), 2)))
+        F.when(~mine, F.array(point(F.col("score"), 2)))
         .when(F.col("n") >= 2, F.array(point(out_of_pool, 0), point(F.col("score"), 1)))
         .otherwise(F.array(point(F.col("score"), 1)))
     )
@@ -270,25 +315,29 @@ def empirical_support(
     at = running(
         line, ["profile_key"], [("__b", True)], [("score", True), ("kind", True), ("item_id", True)],
         {"pos_upto": (is_(0), "sum"), "neg_below": (is_(2), "sum")},
-    ).where("kind = 1")
-    classes = line.where("kind <> 1").withColumn("label", is_(0))
-    sep = roc_auc(classes, ["profile_key"]).withColumnRenamed("auc", "separation_auc")
+    ).where("kind = 1").drop("score")
+    in_band = roc_auc(line.where("kind <> 1").withColumn("label", is_(0)), ["profile_key"])
+    counts = met.groupBy("profile_key").agg(F.sum("above").alias("above"), F.sum("scored").alias("scored"), F.count("ref_id").alias("listed"))
     n_neg = total - F.col("n")
     n_pos = F.when(F.col("n") >= 2, F.col("n")).otherwise(F.lit(0))
-    raw = F.when(n_neg > 0, (1.0 + n_neg - F.col("neg_below")) / (n_neg + 1.0))
+    # All own scores are listed.
+    negatives = F.col("listed") - F.col("n")
+    below = n_neg - F.col("above") - negatives
+    wins = below + negatives * F.coalesce("auc", F.lit(0.0))
+    raw = F.when(n_neg > 0, (1.0 + n_neg - below - F.col("neg_below")) / (n_neg + 1.0))
     reasons = codes(
         (F.col("n") < min_works, "INSUFFICIENT_WITHIN_CREATOR_REFERENCES"),
         (profiles < min_profiles, "INSUFFICIENT_CREATOR_COHORT"),
         (n_neg < min_negatives, "INSUFFICIENT_CROSS_CREATOR_NEGATIVES"),
     )
     return (
-        at.join(sizes, "profile_key").join(sep, "profile_key", "left")
+        at.join(sizes, "profile_key").join(counts, "profile_key").join(in_band, "profile_key", "left")
         .select(
             "item_id", "profile_key",
             raw.alias("tail_p_raw"),
             F.least(F.lit(1.0), raw * profiles).alias("tail_p"),
             F.when(n_pos > 0, (1.0 + F.col("pos_upto")) / (n_pos + 1.0)).alias("positive_percentile"),
-            "separation_auc", joined(reasons).alias("reason_codes"),
+            F.when((n_pos > 0) & (n_neg > 0), wins / n_neg).alias("separation_auc"), joined(reasons).alias("reason_codes"), "scored",
         )
         .withColumn("ready", F.col("reason_codes") == "")
     )
