@@ -7,16 +7,14 @@ worker; a failing item becomes an error row instead of failing the job.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from evidlake.session import cut_lineage
+from evidlake.session import cut_lineage, stored
 
 # Keys that put everything below them into a bucket.
 BUCKETS = {
@@ -25,31 +23,28 @@ BUCKETS = {
 }
 
 
-PAIR = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "value", "bucket")])
+def json_pairs(docs: DataFrame, item: str, doc: str) -> DataFrame:
+    """Every key and value of a JSON text at any depth, with the bucket its enclosing keys put it in: ``item, key, value, bucket``.
 
-
-@F.pandas_udf(T.ArrayType(PAIR))
-def json_pairs(docs: pd.Series) -> pd.Series:
-    """Every (key, value) of a document at any depth, with the bucket its enclosing keys put it in."""
-    def walk(value: object, bucket: str, out: list) -> None:
-        if isinstance(value, dict):
-            for key, item in value.items():
-                text = item if isinstance(item, str) else json.dumps(item, separators=(",", ":"))
-                out.append({"key": key, "value": text, "bucket": bucket})
-                walk(item, BUCKETS.get(key.casefold(), bucket), out)
-        elif isinstance(value, list):
-            for item in value:
-                walk(item, bucket, out)
-
-    def pairs(doc: str | None) -> list:
-        out: list = []
-        try:
-            walk(json.loads(doc), "status", out)
-        except (TypeError, ValueError):
-            return []
-        return out
-
-    return docs.map(pairs)
+    Texts become variants, which are opened level by level; each level is written once, and there are as many as the
+    deepest text has. Values that are not strings are JSON text, with numbers in plain form. NULL, texts that are not JSON
+    and objects that repeat a key give no rows.
+    """
+    buckets = F.create_map(*[F.lit(x) for pair in BUCKETS.items() for x in pair])
+    level = docs.select(F.col(item).alias("__item"), F.try_parse_json(doc).alias("__v"), F.lit("status").alias("bucket"))
+    text = F.when(F.is_variant_null("value"), F.lit("null")).otherwise(F.col("value").cast("string"))
+    out: DataFrame | None = None
+    while True:
+        opened = level.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("__v").outer())).select(
+            "__item", "bucket", "key", "value", F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)").alias("inner")
+        )
+        opened = stored(opened, "json")
+        pairs = opened.where("key is not null").select(F.col("__item").alias(item), "key", text.alias("value"), "bucket")
+        out = pairs if out is None else out.unionByName(pairs)
+        inner = opened.where("inner")
+        if inner.isEmpty():
+            return out
+        level = inner.select("__item", F.col("value").alias("__v"), F.coalesce(buckets[F.lower("key")], "bucket").alias("bucket"))
 
 
 def hashed_shingles(texts: list[str], dim: int = 64) -> np.ndarray:

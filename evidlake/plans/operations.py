@@ -262,7 +262,7 @@ def prj9(t):
         F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"meta":'), F.col("props"), F.lit(',"items":[{"code":"'),
         F.col("event_type"), F.lit('"},{"errors":{"code":"E'), (F.col("event_id") % 3).cast("string"), F.lit('"}}]}'),
     )
-    pairs = t.requests().select("event_id", F.explode(json_pairs(doc)).alias("p")).select("event_id", "p.*")
+    pairs = json_pairs(t.requests().select("event_id", doc.alias("doc")), "event_id", "doc")
     return pairs.groupBy("event_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("key") == "code").alias("code_keys"),
         F.max(F.when(F.col("key") == "k", F.col("value"))).alias("k_value"),
