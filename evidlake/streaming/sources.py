@@ -11,15 +11,11 @@ from evidlake.session import shared_dir
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A table's files as a stream. The trigger size bounds what one micro-batch can hold."""
-    file = f"{name}.parquet"
-    schema = spark.read.parquet(f"{folder}/{file}").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", file + "*")
-        .parquet(folder)
-    )
+    """A table's files as a stream, of a table that is one file or a folder of files. The trigger size bounds what one
+    micro-batch can hold."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # What a pattern finds may be files and folders of them; a filter on file names would pass over the files of a folder.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parquet*")
 
 
 def in_parts(rows: DataFrame, part: str, parts: int, name: str, rows_per_file: int = 1 << 20) -> DataFrame:
@@ -61,12 +57,16 @@ def drain_batches(
     """
     spark = stream.sparkSession
     out = scratch(spark, name)
-    query = (
-        stream.writeStream.foreachBatch(lambda df, batch_id: each(df, batch_id, out))
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    )
+    ran: list[int] = []
+
+    def one(df: DataFrame, batch_id: int) -> None:
+        each(df, batch_id, out)
+        ran.append(batch_id)
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return {n: spark.read.schema(ddl).parquet(f"{out}/{n}/*") for n, ddl in outputs.items()}
+    # A stream without rows has no batch, and its outputs are empty.
+    return {n: spark.read.schema(ddl).parquet(f"{out}/{n}/*") if ran else spark.createDataFrame([], ddl) for n, ddl in outputs.items()}
 
 
 def write_batch(df: DataFrame, folder: str, output: str, batch_id: int) -> None:

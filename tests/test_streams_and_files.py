@@ -42,6 +42,20 @@ def stream(spark, folder):
     return file_stream(spark, folder, "events", 1).withColumnRenamed("user_id", "tenant_id")
 
 
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    (tmp_path / "events.parquet").mkdir()
+    for n in range(3):
+        pq.write_table(pa.table({"event_id": [n, n + 10]}), tmp_path / "events.parquet" / f"part-{n}.snappy.parquet")
+    pq.write_table(pa.table({"event_id": pa.array([], pa.int64())}), tmp_path / "none.parquet")
+    pq.write_table(pa.table({"event_id": [77]}), tmp_path / "other.parquet")
+    copy = lambda df, batch_id, out: windows.write_batch(df, out, "ids", batch_id)
+    got = lambda name: drain_batches(file_stream(spark, str(tmp_path), name, 2), "t", copy, {"ids": "event_id bigint"})["ids"]
+    assert sorted(r.event_id for r in got("events").collect()) == [0, 1, 2, 10, 11, 12]
+    assert [r.event_id for r in got("other").collect()] == [77]
+    assert got("none").count() == 0
+    assert drain(file_stream(spark, str(tmp_path), "events"), "t").count() == 6
+
+
 def test_deduplication_over_batches(spark, folder):
     s = stream(spark, folder).withColumn("idem_key", F.concat(F.lit("k"), F.col("event_id") % 10)).withColumn("digest", F.concat(F.lit("d"), F.col("event_id") % 20))
     out = drain_batches(s, "t", windows.deduplicate_batch(["tenant_id", "idem_key"]), {"outcomes": "event_id bigint, outcome string"})["outcomes"]
