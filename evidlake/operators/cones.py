@@ -3,8 +3,10 @@
 References hang in a tree of cones around pivot directions: about one leaf for each ``leaf_rows`` references, in about as many
 inner cones as each of these has leaves. The tree is small (at most 65,536 pivots, whatever the table), so every task
 walks it; the references are written once, by leaf. A query first scores the leaf it points at, which gives it a k-th best
-similarity, and then only those leaves that can hold a better one by the triangle inequality on angles. Leaves and the
-queries that visit them are cut into blocks of bounded size, and only k rows of a query leave a block.
+similarity, and then only those leaves that can hold a better one by the triangle inequality on angles. Leaves side by side
+are a group, of which there are about sixteen: a query is sent once to each group that holds one of its leaves and passes over
+the others there, so what is sent grows with the tables and not with pairs of them, until groups reach a bounded size.
+Groups and the queries that visit them are blocks of bounded size, and only k rows of a query leave a block.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +27,9 @@ LEAVES = 1 << 16
 LEAF_ROWS = BLOCK_ROWS = 2048
 SLACK = 1e-6
 AT_ONCE = 512
+# Groups of leaves, rows of one at most; products at once, pairs scored at once.
+GROUPS, MOST_ROWS = 16, 1 << 16
+TILE, AT_A_TIME = 1 << 21, 1 << 16
 _HITS = "query_id bigint, ref_id bigint, similarity double"
 
 
@@ -198,9 +204,17 @@ def build(refs: DataFrame, metric: str = "cosine", leaf_rows: int = LEAF_ROWS, k
     return Cones(tree, placed, total, cosine)
 
 
-def _aimed(queries: DataFrame, cones: Cones, pick: Callable, floors: bool) -> DataFrame:
-    """Visits (query_id, vec, cell) of the leaves ``pick`` chooses for each batch of queries."""
-    cosine = cones.cosine
+def _groups(cones: Cones, block_rows: int) -> tuple[np.ndarray, int]:
+    """The group of each leaf, and about how many references a group has: leaves side by side, about ``GROUPS`` groups of
+    them until these would hold more than ``MOST_ROWS``."""
+    rows = min(MOST_ROWS, max(block_rows, -(-cones.total // GROUPS)))
+    count = np.array([cones.total]) if cones.tree is None else cones.tree.count
+    return np.unique((np.cumsum(count) - count) // rows, return_inverse=True)[1].astype(np.int32), rows
+
+
+def _aimed(queries: DataFrame, cones: Cones, group: np.ndarray, pick: Callable, listed: bool) -> DataFrame:
+    """A row for each query: ``query_id, vec, floor``, the ``groups`` that hold the leaves ``pick`` chooses and, if ``listed``, these ``cells``."""
+    cosine, many, floors = cones.cosine, int(group.max(initial=0)) + 1, "floor" in queries.columns
 
     def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -208,14 +222,184 @@ def _aimed(queries: DataFrame, cones: Cones, pick: Callable, floors: bool) -> Da
                 part = pdf.iloc[lo : lo + AT_ONCE]
                 unit, size = unit_rows(part["vec"])
                 size = np.ones(len(part)) if cosine else size
-                rows, cells = pick(unit, size, part["floor"].to_numpy() if floors else None)
-                if not len(rows):
-                    continue
-                vec = unit * size[:, None]
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], "vec": list(vec[rows]), "cell": cells})
+                floor = part["floor"].to_numpy() if floors else np.full(len(part), -np.inf)
+                rows, cells = pick(unit, size, floor)
+                owner, to = np.divmod(np.unique(rows * many + group[cells]), many)
+                ends = np.arange(1, len(part))
+                order = np.argsort(rows, kind="stable")
+                own = np.split(cells[order], np.searchsorted(rows[order], ends)) if listed else [None] * len(part)
+                yield pd.DataFrame(
+                    {
+                        "query_id": part["query_id"].to_numpy(), "vec": list(unit * size[:, None]), "floor": floor,
+                        "cells": own, "groups": np.split(to, np.searchsorted(owner, ends)),
+                    }
+                )
 
     columns = ["query_id", "vec", *(["floor"] if floors else [])]
-    return queries.select(*columns).mapInPandas(aim, "query_id bigint, vec array<double>, cell int")
+    return queries.select(*columns).mapInPandas(aim, "query_id bigint, vec array<double>, floor double, cells array<int>, groups array<int>")
+
+
+class _Block:
+    """Queries of one task that meet the references of a group as these come, leaf by leaf.
+
+    A product in single precision drops all pairs that can't reach a query's floor; the others are scored in double
+    precision. With ``k`` the floor rises with the k best so far; without, all pairs from the floor on are given.
+    """
+
+    def __init__(self, cones: Cones, k: int | None, exclude_self: bool):
+        self.tree, self.cosine, self.k, self.exclude_self = cones.tree, cones.cosine, k, exclude_self
+        self.parts: list[pa.RecordBatch] = []
+        self.vec: np.ndarray | None = None
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        self.parts.append(batch)
+
+    def begin(self) -> None:
+        table = pa.Table.from_batches(self.parts).combine_chunks()
+        self.parts = []
+        self.ids, self.floor = table["id"].to_numpy(), table["floor"].to_numpy().copy()
+        self.vec = _matrix(table["vec"].combine_chunks())
+        self.size = np.linalg.norm(self.vec, axis=1)
+        self.unit = self.vec / np.maximum(self.size, 1e-300)[:, None] if self.tree else None
+        self.single = self.vec.astype(np.float32)
+        if self.k:
+            self.floor -= 1e-11
+            self.best, self.best_id = np.full((len(self.ids), self.k), -np.inf), np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
+        cells = table["cells"].combine_chunks()
+        self.listed = None
+        if cells.null_count == 0:
+            rows, cells = np.repeat(np.arange(len(self.ids)), cells.value_lengths().to_numpy()), cells.flatten().to_numpy()
+            order = np.argsort(cells, kind="stable")
+            self.listed, self.listed_rows = cells[order], rows[order]
+
+    def visitors(self, cell: int) -> np.ndarray:
+        """Queries that must meet a leaf."""
+        if self.tree is None:
+            return np.arange(len(self.ids))
+        if self.listed is not None:
+            lo, hi = np.searchsorted(self.listed, [cell, cell + 1])
+            return self.listed_rows[lo:hi]
+        t, one = self.tree, slice(cell, cell + 1)
+        size = np.ones(len(self.ids)) if self.cosine else self.size
+        return np.flatnonzero(_best(_angles(self.unit, t.leaves[one]), t.radius[one], t.high[one], t.low[one], size)[:, 0] >= self.floor - SLACK)
+
+    def meet(self, batch: pa.RecordBatch, cell: int) -> Iterator[pa.RecordBatch]:
+        if self.vec is None:
+            self.begin()
+        rows = self.visitors(cell)
+        if not len(rows):
+            return
+        ids, vec = batch.column("id").to_numpy(), _matrix(batch.column("vec"))
+        most = np.linalg.norm(vec, axis=1).max()
+        # Products of single numbers would overflow beyond; below, their error is bounded by this share of both sizes.
+        wide = max(most, self.size[rows].max()) > 1e15
+        left, right = (self.vec, vec) if wide else (self.single, vec.astype(np.float32))
+        error = (vec.shape[1] + 4) * 2.0**-23 * most * self.size
+        tall = max(1, TILE // len(ids))
+        for at in range(0, len(rows), tall):
+            own, start = rows[at : at + tall], 0
+            while start < len(ids):
+                # A query without a floor gets one from a few references first.
+                open_ = self.k and np.isneginf(self.floor[own]).any()
+                end = min(len(ids), start + max(64, self.k)) if open_ else len(ids)
+                low = (self.floor[own] - error[own] - 1e-11).astype(left.dtype)
+                found = np.flatnonzero(left[own] @ right[start:end].T >= low[:, None])
+                for some in range(0, len(found), AT_A_TIME):
+                    i, j = np.divmod(found[some : some + AT_A_TIME], end - start)
+                    hits = self.judge(own[i], ids[start + j], np.einsum("ij,ij->i", self.vec[own[i]], vec[start + j]))
+                    if hits is not None:
+                        yield hits
+                start = end
+
+    def judge(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch | None:
+        score = np.round(score, 12)
+        if self.cosine:
+            np.clip(score, -1.0, 1.0, out=score)
+        keep = np.isfinite(score) & (score >= self.floor[rows])
+        if self.exclude_self:
+            keep &= self.ids[rows] != ids
+        if self.k:
+            last = self.best[rows, -1]
+            keep &= (score > last) | ((score == last) & (ids < self.best_id[rows, -1]))
+        rows, ids, score = rows[keep], ids[keep], score[keep]
+        if not self.k:
+            return _hits(self.ids[rows], ids, score)
+        touched, at = np.unique(rows, return_inverse=True)
+        at = np.concatenate([at, np.repeat(np.arange(len(touched)), self.k)])
+        score, ids = np.concatenate([score, self.best[touched].ravel()]), np.concatenate([ids, self.best_id[touched].ravel()])
+        order = np.lexsort((ids, -score, at))
+        first = order[np.searchsorted(at[order], np.arange(len(touched)))[:, None] + np.arange(self.k)]
+        self.best[touched], self.best_id[touched] = score[first], ids[first]
+        self.floor[touched] = np.maximum(self.floor[touched], self.best[touched, -1])
+        return None
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.k and self.vec is not None:
+            rows, at = np.nonzero(self.best > -np.inf)
+            for lo in range(0, len(rows), AT_A_TIME):
+                i, j = rows[lo : lo + AT_A_TIME], at[lo : lo + AT_A_TIME]
+                yield _hits(self.ids[i], self.best_id[i, j], self.best[i, j])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _hits(query: np.ndarray, ref: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ref), pa.array(score)], ["query_id", "ref_id", "similarity"])
+
+
+def _dealt(visits: DataFrame, cones: Cones, group: np.ndarray, rows: int) -> DataFrame:
+    """Queries and references of each group, both in blocks, with the queries of a block before its references.
+
+    A query is sent to a group once, however many of its leaves it meets.
+    """
+    spark = visits.sparkSession
+    count = np.array([cones.total]) if cones.tree is None else cones.tree.count
+    held = np.bincount(group, count)
+    leaves = [(i, int(g), max(1, int(-(-held[g] // (2 * rows))))) for i, g in enumerate(group)]
+    # At most LEAVES rows, as the tree that every task holds.
+    leaves = F.broadcast(spark.createDataFrame(leaves, "cell int, group int, ref_blocks int"))
+    asked = visits.select(F.explode("groups").alias("group")).groupBy("group").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("query_blocks"))
+    asked = F.broadcast(leaves.select("group", "ref_blocks").distinct().join(asked, "group"))
+    part = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = visits.select("query_id", "vec", "floor", "cells", F.explode("groups").alias("group")).join(asked, "group").select(
+        "group", part("query_id", "query_blocks").alias("qb"), every("ref_blocks").alias("rb"), F.lit(False).alias("ref"),
+        F.col("query_id").alias("id"), F.lit(-1).alias("cell"), "vec", "floor", "cells",
+    )
+    right = cones.placed.select("ref_id", "cell", "vec").join(leaves.drop("ref_blocks"), "cell").join(asked, "group").select(
+        "group", every("query_blocks").alias("qb"), part("ref_id", "ref_blocks").alias("rb"), F.lit(True).alias("ref"),
+        F.col("ref_id").alias("id"), "cell", "vec", F.lit(None).cast("double").alias("floor"), F.lit(None).cast("array<int>").alias("cells"),
+    )
+    key = ["group", "rb", "qb"]
+    return left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "ref", "cell", "id")
+
+
+def _walked(visits: DataFrame, cones: Cones, group: np.ndarray, rows: int, k: int | None, exclude_self: bool) -> DataFrame:
+    """``query_id, ref_id, similarity`` of the k best of each query in each block, or of all pairs from the floor on."""
+    tree = Cones(cones.tree, None, cones.total, cones.cosine)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, None
+        for batch in batches:
+            of = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("group", "rb", "qb", "ref", "cell")])
+            cuts = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                if block is None or key != tuple(of[:3, lo]):
+                    if block is not None:
+                        yield from block.rest()
+                    key, block = tuple(of[:3, lo]), _Block(tree, k, exclude_self)
+                if not of[3, lo]:
+                    block.take(batch.slice(lo, hi - lo))
+                elif block.parts or block.vec is not None:
+                    yield from block.meet(batch.slice(lo, hi - lo), int(of[4, lo]))
+        if block is not None:
+            yield from block.rest()
+
+    return _dealt(visits, cones, group, rows).mapInArrow(walk, _HITS)
 
 
 def _met(visits: DataFrame, cones: Cones, block_rows: int, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -241,93 +425,83 @@ def _similarities(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
     return np.round(np.array(q["vec"].tolist()) @ np.array(r["vec"].tolist()).T, 12)
 
 
-def _scored(visits: DataFrame, cones: Cones, block_rows: int, keep: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], exclude_self: bool) -> DataFrame:
-    """Similarities of visits with the references of their leaf, block by block; ``keep`` chooses (row, column) of a block."""
-    cosine = cones.cosine
-
-    def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "ref_id": [], "similarity": []})
-        r = r.sort_values("ref_id")
-        qid, rid = q["query_id"].to_numpy(), r["ref_id"].to_numpy()
-        sims = _similarities(q, r)
-        if cosine:
-            np.clip(sims, -1.0, 1.0, out=sims)
-        if exclude_self:
-            sims[qid[:, None] == rid[None, :]] = -np.inf
-        rows, columns = keep(sims)
-        out = pd.DataFrame({"query_id": qid[rows], "ref_id": rid[columns], "similarity": sims[rows, columns]})
-        return out[np.isfinite(out["similarity"])]
-
-    return _met(visits, cones, block_rows, score, _HITS)
-
-
-def _top(k: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    def keep(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # Stable sort on ids already in order: ties keep the smaller id.
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return np.repeat(np.arange(len(sims)), top.shape[1]), top.ravel()
-
-    return keep
-
-
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("ref_id"))
     return hits.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
-def visits_of(queries: DataFrame, cones: Cones, k: int, exclude_self: bool = True, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """First visits, their hits, and the visits that remain once these have set each query's floor."""
+def _first(cones: Cones, k: int, exclude_self: bool) -> Callable:
     tree, need = cones.tree, k + 1 if exclude_self else k
 
-    def first(unit: np.ndarray, size: np.ndarray, floor: None) -> tuple[np.ndarray, np.ndarray]:
+    def first(unit: np.ndarray, size: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = tree.first(unit, need)
         return np.repeat(np.arange(len(unit)), [len(f) for f in found]), np.concatenate([np.zeros(0, int), *found])
 
-    def rest(unit: np.ndarray, size: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, cells, _ = tree.reach(unit, size, floor - SLACK)
-        done = tree.first(unit, need)
-        fresh = np.array([c not in done[r] for r, c in zip(rows, cells, strict=True)], bool)
-        return rows[fresh], cells[fresh]
+    return first
 
-    begun = stored(_aimed(queries, cones, first, False), "visits")
-    hits = stored(_ranked(_scored(begun, cones, block_rows, _top(k), exclude_self), k), "hits")
-    floors = hits.where(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("similarity").alias("floor"))
-    asked = queries.join(floors, queries["query_id"] == F.col("__q"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    return begun, hits, stored(_aimed(asked, cones, rest, True), "visits")
+
+def _floored(queries: DataFrame, cones: Cones, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Queries with a floor: their k-th best similarity in the leaves they point at."""
+    group, rows = _groups(cones, block_rows)
+    begun = stored(_aimed(queries, cones, group, _first(cones, k, exclude_self), True), "visits")
+    hits = _ranked(_walked(begun, cones, group, rows, k, exclude_self), k).where(F.col("rank") == k)
+    floors = hits.select(F.col("query_id").alias("__q"), F.col("similarity").alias("floor"))
+    asked = queries.select("query_id", "vec").join(floors, F.col("query_id") == F.col("__q"), "left")
+    return asked.withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
 
 
 def nearest(queries: DataFrame, cones: Cones, k: int, exclude_self: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k most similar references of every query, exactly: ``query_id, ref_id, similarity, rank``; ties go to the smaller
     ``ref_id``. ``queries(query_id, vec)``, each id once. Queries whose k-th best is beaten by a whole leaf never meet its members."""
-    if cones.tree is None:
-        everything = _aimed(queries, cones, lambda unit, size, floor: (np.arange(len(unit)), np.zeros(len(unit), int)), False)
-        return _ranked(_scored(everything, cones, block_rows, _top(k), exclude_self), k)
-    _, hits, more = visits_of(queries, cones, k, exclude_self, block_rows)
-    return _ranked(hits.select("query_id", "ref_id", "similarity").union(_scored(more, cones, block_rows, _top(k), exclude_self)), k)
+    tree = cones.tree
+    group, rows = _groups(cones, block_rows)
+
+    def pick(unit: np.ndarray, size: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if tree is None:
+            return np.arange(len(unit)), np.zeros(len(unit), int)
+        return tree.reach(unit, size, floor - SLACK)[:2]
+
+    asked = queries.select("query_id", "vec") if tree is None else _floored(queries, cones, k, exclude_self, block_rows)
+    visits = stored(_aimed(asked, cones, group, pick, False), "visits")
+    return _ranked(_walked(visits, cones, group, rows, k, exclude_self), k)
 
 
 def cost(queries: DataFrame, cones: Cones, k: int, exclude_self: bool = True) -> DataFrame:
     """How many references each query is scored against, and which share of all that is: ``query_id, leaves, scored, share``."""
-    if cones.tree is None:
-        return queries.select("query_id", F.lit(1).cast("bigint").alias("leaves"), F.lit(cones.total).cast("bigint").alias("scored"), F.lit(1.0).alias("share"))
-    begun, _, more = visits_of(queries, cones, k, exclude_self)
-    sizes = cones.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    met = begun.select("query_id", "cell").union(more.select("query_id", "cell")).join(F.broadcast(sizes), "cell")
-    return met.groupBy("query_id").agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("scored")).withColumn("share", F.col("scored") / cones.total)
+    tree, total = cones.tree, cones.total
+    if tree is None:
+        return queries.select("query_id", F.lit(1).cast("bigint").alias("leaves"), F.lit(total).cast("bigint").alias("scored"), F.lit(1.0).alias("share"))
+    first, cosine = _first(cones, k, exclude_self), cones.cosine
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[lo : lo + AT_ONCE]
+                unit, size = unit_rows(part["vec"])
+                size = np.ones(len(part)) if cosine else size
+                chosen = [first(unit, size, None), tree.reach(unit, size, part["floor"].to_numpy() - SLACK)[:2]]
+                met = np.unique(np.concatenate([r * len(tree.count) + c for r, c in chosen]))
+                rows, cells = np.divmod(met, len(tree.count))
+                n = len(part)
+                scored = np.bincount(rows, tree.count[cells], n)
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "leaves": np.bincount(rows, minlength=n), "scored": scored.astype(int), "share": scored / total})
+
+    return _floored(queries, cones, k, exclude_self, BLOCK_ROWS).mapInPandas(count, "query_id bigint, leaves bigint, scored bigint, share double")
 
 
 def within(queries: DataFrame, cones: Cones, floor: float, exclude_self: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs of a query and a reference that are at least as similar as ``floor``: ``query_id, ref_id, similarity``."""
     tree = cones.tree
+    group, rows = _groups(cones, block_rows)
 
-    def pick(unit: np.ndarray, size: np.ndarray, _: None) -> tuple[np.ndarray, np.ndarray]:
+    def pick(unit: np.ndarray, size: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if tree is None:
             return np.arange(len(unit)), np.zeros(len(unit), int)
-        return tree.reach(unit, size, np.full(len(unit), floor - SLACK))[:2]
+        return tree.reach(unit, size, low - SLACK)[:2]
 
-    visits = stored(_aimed(queries, cones, pick, False), "visits")
-    return _scored(visits, cones, block_rows, lambda sims: np.nonzero(sims >= floor), exclude_self)
+    asked = queries.select("query_id", "vec", F.lit(float(floor)).alias("floor"))
+    visits = stored(_aimed(asked, cones, group, pick, False), "visits")
+    return _walked(visits, cones, group, rows, None, exclude_self)
 
 
 def rivals(queries: DataFrame, cones: Cones, block_rows: int = BLOCK_ROWS) -> DataFrame:

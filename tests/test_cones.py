@@ -65,3 +65,38 @@ def test_few_or_no_references(spark):
     assert cones.nearest(q, cones.build(r, leaf_rows=1), 5).count() == 6  # all but itself
     zeros = r.selectExpr("ref_id", "transform(vec, x -> 0D) as vec")
     assert cones.nearest(q, cones.build(zeros, leaf_rows=1), 5).count() == 6
+
+
+def shuffled(spark, df):
+    """Bytes that are shuffled until all rows are there."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    df().write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+@pytest.mark.parametrize("kind", ["clusters", "sphere"])
+def test_what_is_sent_grows_as_the_table(spark, kind):
+    def found(n):
+        q, r = frames(spark, *[data(kind, n, 64)] * 2)
+        return shuffled(spark, lambda: cones.nearest(q, cones.build(r, leaf_rows=16), 5, block_rows=16))
+
+    found(100)
+    assert found(4000) < 5 * found(1000)
+
+
+def test_many_equal_vectors_and_sizes(spark):
+    """More copies than hits, all in one leaf; sizes beyond single precision; more hits than a leaf has rows."""
+    x = np.concatenate([np.tile([[1.0, 2.0, 3.0]], (90, 1)), np.random.default_rng(5).normal(size=(60, 3))])
+    for scale, k in ((1.0, 4), (1e30, 4), (1.0, 70)):
+        q, r = frames(spark, x * scale, x * scale)
+        hits = cones.nearest(q, cones.build(r, "cosine", leaf_rows=20), k, block_rows=16).collect()
+        s = similarities(x, x, "cosine")
+        for i in range(150):
+            want = sorted((j for j in range(150) if j != i), key=lambda j: (-s[i, j], j))[:k]
+            assert [h.ref_id for h in sorted(hits, key=lambda h: h.rank) if h.query_id == i] == want
