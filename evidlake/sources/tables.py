@@ -16,6 +16,7 @@ from evidlake.session import spread
 
 # Rows of one chunk when ids are numbered in order (see functions.running).
 ID_CHUNK = 100_000
+WORD_PARTS = 32
 H32 = "cast(conv(substr(md5({0}), 1, 8), 16, 10) as bigint)"
 
 
@@ -68,8 +69,13 @@ class Tables:
         )
 
     def words(self) -> DataFrame:
+        """Words by page and line. Whole texts are dealt by page, so that lines form without sending each word.
+
+        A split of compressed texts is many times larger as words: it goes to ``WORD_PARTS`` tasks, whose words fit in memory.
+        """
+        docs = self.raw("documents").select("doc_id", "text")
         return (
-            self.texts()
+            docs.repartition(min(1 << 14, WORD_PARTS * docs._jdf.rdd().getNumPartitions()), "doc_id")
             .selectExpr("doc_id", "posexplode(split(text, ' ')) as (pos, word)")
             .where("word <> ''")
             .selectExpr(

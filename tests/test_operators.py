@@ -280,3 +280,13 @@ def test_import_leaves_no_file_out(spark):
     got = bulk_import(files, manifest, "batch", 30).collect()
     assert sorted((r["batch"], r["part"], r["files"]) for r in got) == [("big", 0, 30), ("big", 1, 30), ("big", 2, 30), ("big", 3, 10), ("small", 0, 5)]
     assert sum(r["imported"] for r in got) == 105 and sum(r["described"] for r in got) == 50
+
+
+def test_lines_are_assembled_where_their_page_is(spark):
+    from evidlake.operators.text import assemble_lines
+    from evidlake.sources.tables import Tables
+
+    plan = assemble_lines(Tables(spark, "/root/testdata/sf0.001").words(), ["page", "line_no"])
+    # The one exchange deals whole texts: nothing is sent word by word.
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange ") == 1 and text.index("Generate") < text.index("Exchange ")
