@@ -1,7 +1,9 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their groups.
 
-Min-hash bands choose which documents meet, a sketch of 200 bytes drops most that are too far apart, and the shingles of
-both decide. A pair at 0.8 misses all bands with probability 1e-7, and the sketch drops it with about as much.
+The binary tries of ``simhash`` come first: what they link within three bits is checked on the shingles of both. Most pairs at
+0.8 differ in more bits, so min-hash bands then choose which of the groups left apart meet, a sketch of 200 bytes drops most that
+are too far apart, and the shingles decide. A pair at 0.8 misses all bands with probability 1e-7, and the sketch drops it
+with about as much.
 """
 
 from __future__ import annotations
@@ -14,24 +16,27 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from evidlake.llm import simhash
 from evidlake.llm.common import pieces, runs, texts, trimmed, written
 from evidlake.llm.components import components
 from evidlake.llm.repeats import mix, words_of
-from evidlake.llm.simhash import keep_first
 
 WORDS, BANDS, ROWS = 5, 40, 5
 HASHES = BANDS * ROWS
 # Equal bytes of two sketches from which a pair is looked at: 5 standard deviations below what 0.8 gives.
 LOW = 130
-# Pairs of one bucket that go on in a round, for each of its rows; rows that meet one copy of a set.
-AT_ONCE, SIDE_ROWS = 4, 256
+# Pairs of one bucket that go on in a round, for each of its rows; pairs of one row; rows that meet one copy of a set.
+AT_ONCE, ROW_PAIRS, SIDE_ROWS = 16, 64, 256
+# Buckets of so many rows are looked at pair by pair, if few of their pairs may be near.
+SMALL = 512
 _random = np.random.default_rng(5)
 _TIMES = _random.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _random.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
-NODES = pa.schema([("sid", pa.int64()), ("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-SETS = pa.schema([("sid", pa.int64()), ("shingles", pa.binary())])
-PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+NODES = pa.schema([("sid", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SETS = pa.schema([("sid", pa.int64()), ("shingles", pa.binary()), ("sketch", pa.binary())])
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("bucket", pa.int64())])
 
 
 def shingles(unit: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -71,25 +76,37 @@ def send_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 bucket = mix(bucket, low[:, r::ROWS].astype(np.uint64))
             bands = pa.array(list((bucket ^ (bucket >> np.uint64(32))).view(np.int64)), pa.list_(pa.int64()))
-            sketch = pa.array([x.astype(np.uint8).tobytes() for x in low], pa.binary())
-            yield pa.RecordBatch.from_arrays([sid, batch.column("doc_id")[rows.start : rows.stop], bands, sketch], schema=NODES)
+            part = batch.slice(rows.start, rows.stop - rows.start)
+            fps = np.array([simhash.simhash(t.as_py().encode(), WORDS) for t in part.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([sid, part.column("doc_id"), pa.array(fps.view(np.int64)), bands], schema=NODES)
 
 
 def send_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, own, sid in cut(batch):
-            yield pa.RecordBatch.from_arrays([sid, pa.array([h.tobytes() for h in own], pa.binary())], schema=SETS)
+            sketch = [minima(h).astype(np.uint8).tobytes() for h in own]
+            yield pa.RecordBatch.from_arrays([sid, pa.array([h.tobytes() for h in own], pa.binary()), pa.array(sketch, pa.binary())], schema=SETS)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """sid (digest of the set), doc_id, bands (buckets) and sketch of every whole text with a doc_id."""
-    return texts(docs).where("doc_id is not null").mapInArrow(trimmed(send_nodes), "sid long, doc_id long, bands array<long>, sketch binary")
+    """sid (digest of the set), doc_id, fp (SimHash) and bands (buckets) of every whole text with a doc_id."""
+    return texts(docs).where("doc_id is not null").mapInArrow(trimmed(send_nodes), "sid long, doc_id long, fp long, bands array<long>")
 
 
 def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """sid and shingles, each sid once, of all texts that have one of the doc_ids."""
-    own = texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(trimmed(send_sets), "sid long, shingles binary")
-    return own.groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    """sid, shingles and sketch, each sid once, of the texts that have one of the doc_ids and a sid named with it."""
+    own = texts(docs).hint("merge").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = own.mapInArrow(trimmed(send_sets), "sid long, shingles binary, sketch binary")
+    return own.groupBy("sid").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+
+
+def by_tries(own: DataFrame) -> DataFrame:
+    """Pairs (u > v) of sids which the tries of ``simhash.links`` link, and of sids with equal fingerprints."""
+    fps = own.groupBy("sid").agg(F.min("fp").alias("fp"))
+    least = fps.groupBy("fp").agg(F.min("sid").alias("node"))
+    equal = fps.join(least, "fp").where("sid <> node").select(F.col("sid").alias("u"), F.col("node").alias("v"))
+    both = simhash.links(least).unionByName(equal)
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
 
 
 def agree(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -130,14 +147,31 @@ def candidates(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart
     return sorted(some)
 
 
+def few_pairs(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart: set[tuple[int, int]]) -> list[tuple[int, int]] | None:
+    """All pairs across components of a small bucket that may be near; None if they are too many to go on at once."""
+    if len(sid) > SMALL:
+        return None
+    found: list[tuple[int, int]] = []
+    for i in range(1, len(sid)):
+        for j in np.flatnonzero((agree(sketch[:i], sketch[i]) >= LOW) & (component[:i] != component[i])):
+            pair = (max(int(sid[i]), int(sid[j])), min(int(sid[i]), int(sid[j])))
+            if pair not in apart:
+                found.append(pair)
+        if len(found) > AT_ONCE * len(sid):
+            return None
+    return found
+
+
 def in_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, held in runs(batches, "bucket"):
+    for bucket, held in runs(batches, "bucket"):
         table = pa.Table.from_batches(held)
         sid, component = (table.column(c).to_numpy() for c in ("sid", "component"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
         apart = {(u, v) for u, own in zip(sid.tolist(), table.column("apart").to_pylist(), strict=True) for v in own or ()}
-        if found := candidates(sid, component, sketch, apart):
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=PAIRS)
+        found = few_pairs(sid, component, sketch, apart)
+        if found := candidates(sid, component, sketch, apart) if found is None else found:
+            at = [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*at, pa.array([bucket] * len(found), pa.int64())], schema=PAIRS)
 
 
 def beside(pairs: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -150,12 +184,6 @@ def beside(pairs: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return dealt.join(right, ["v", "part"]).select("u", "v", "b").join(left, "u").select("u", "v", "a", "b")
 
 
-def may_be_near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in "ab")
-        yield batch.select(["u", "v"]).filter(pa.array(np.count_nonzero(a == b, axis=1) >= LOW))
-
-
 def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """near: whether the sets a and b of hashes have a Jaccard similarity of 0.8 or more."""
     for batch in batches:
@@ -170,34 +198,40 @@ def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, own: DataFrame) -> DataFrame:
     """Edges (u, v) between sids that connect all near pairs; every edge is a near pair.
 
-    Takes the documents and their ``nodes``. Each document first meets the smallest one of its buckets that it may be near to. Then
-    only buckets with several components go on, round by round, until no pair across components is left in any.
+    Takes the documents and their ``nodes``. What the tries link is judged first. Then only buckets with several components go on,
+    round by round; a bucket in which no pair across components may be near is done for good.
     """
-    one = own.groupBy("sid").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    one = written(one, "near-nodes")
+    one = own.groupBy("sid").agg(F.first("bands").alias("bands"))
     rows = one.select("sid", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("sid").alias("v"), F.max("sid").alias("most")).where("v < most").select("bucket", "v")
-    rows = written(rows.join(heads, "bucket"), "near-rows")
-    # The shingles are made again, of one document for each sid that meets another: of all they would be more than the texts.
-    ids = own.join(rows.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    met = written(sets(docs, ids.select("doc_id").distinct()), "near-sets")
-    pairs = beside(rows.where("sid > v").select(F.col("sid").alias("u"), "v").distinct(), one, "sketch")
-    pairs = pairs.mapInArrow(trimmed(may_be_near), "u long, v long").groupBy("u").agg(F.min("v").alias("v"))
-    rows = rows.select("sid", "bucket")
+    inside = Window.partitionBy("bucket")
+    rows = rows.withColumn("least", F.min("sid").over(inside)).withColumn("most", F.max("sid").over(inside))
+    rows = written(rows.where("least < most").select("sid", "bucket"), "near-rows")
+    pairs = written(by_tries(own), "near-pairs")
+    # The shingles are made again, of one document for each sid that may meet another: of all they would be more than the texts.
+    some = rows.select("sid").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    ids = own.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(some, "sid", "left_semi")
+    met = written(sets(docs, ids), "near-sets")
     judged = None
     while True:
-        new = written(beside(written(pairs, "near-pairs"), met, "shingles").mapInArrow(trimmed(compare), "u long, v long, near boolean"), "near")
-        if judged is not None and new.isEmpty():
-            return judged.where("near").select("u", "v")
+        new = beside(pairs, met, "shingles").mapInArrow(trimmed(compare), "u long, v long, near boolean")
+        new = written(new, "near")
+        # What is linked changes with new near pairs alone.
+        if judged is None or not new.where("near").isEmpty():
+            label = components((new if judged is None else judged.unionByName(new)).where("near").select("u", "v"))
         judged = new if judged is None else judged.unionByName(new)
-        label = components(judged.where("near").select("u", "v"))
-        rows = rows.join(label, F.col("sid") == F.col("node"), "left").select("sid", "bucket", F.coalesce("component", "sid").alias("component"))
-        several = rows.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-        rows = written(rows.join(several, "bucket", "left_semi"), "near-rows")
+        known = rows.join(label, F.col("sid") == F.col("node"), "left").select("sid", "bucket", F.coalesce("component", "sid").alias("component"))
+        several = known.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+        known = known.join(several, "bucket", "left_semi")
         apart = judged.where("not near").groupBy(F.col("u").alias("sid")).agg(F.collect_set("v").alias("apart"))
-        side = one.select("sid", "sketch").join(apart, "sid", "left")
-        pairs = rows.join(side, "sid").repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(trimmed(in_buckets), "u long, v long").distinct()
-        rows = rows.select("sid", "bucket")
+        side = met.select("sid", "sketch").join(apart, "sid", "left")
+        found = known.join(side, "sid").repartition("bucket").sortWithinPartitions("bucket", "sid")
+        found = written(found.mapInArrow(trimmed(in_buckets), "u long, v long, bucket long"), "near-found")
+        if found.isEmpty():
+            return judged.where("near").select("u", "v")
+        rows = written(rows.join(found.select("bucket").distinct(), "bucket", "left_semi").select("sid", "bucket"), "near-rows")
+        # A row meets a few at a time; what is left out is found again.
+        few = found.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("v"))
+        pairs = written(few.select("u", F.explode(F.slice("v", 1, ROW_PAIRS)).alias("v")), "near-pairs")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -217,4 +251,4 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each group stays: see ``simhash.keep_first``."""
-    return keep_first(docs, groups(docs))
+    return simhash.keep_first(docs, groups(docs))
