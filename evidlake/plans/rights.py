@@ -11,6 +11,7 @@ from evidlake.operators import rights as R
 from evidlake.operators.fusion import origin_state
 from evidlake.plans.fusion import _STATES
 from evidlake.plans.registry import query
+from evidlake.session import stored
 from evidlake.sources.tables import Tables
 
 AS_OF = "1999-06-15 00:00:00"
@@ -37,7 +38,7 @@ _AT = """case when failure is not null then 'UNVERIFIED' when state in ('SUSPEND
 def jn11(t):
     at = F.unix_micros("created_at") + F.col("scan_id") % 86400 * 1_000_000
     uses = t.scans().select(F.col("scan_id").alias("event_id"), "work_id", "intended_use", at.alias("at_us"))
-    lic = gated_rights(t)[1].select(
+    lic = gated_licenses(t).select(
         "work_id", "state", "permitted_uses", "prohibited_uses", "verified", F.unix_micros("effective_from").alias("from_us"), F.unix_micros("effective_until").alias("until_us")
     )
     return R.license_authorizes(uses, lic)
@@ -45,9 +46,18 @@ def jn11(t):
 
 def gated_rights(t: Tables):
     """Claims and licenses with the verdict on their recorded projection."""
-    claims = R.gated(t.titles(), L.projection_integrity(*t.rights_log("claim"), subject="claim"), "claim_id", "claim")
-    licenses = R.gated(t.grants(), L.projection_integrity(*t.rights_log("license"), subject="license"), "license_id", "license")
-    return claims, licenses
+    return gated_claims(t), gated_licenses(t)
+
+
+def gated_claims(t: Tables):
+    titles = t.titles()
+    return R.gated(titles, L.projection_integrity(*t.rights_log("claim", titles), subject="claim"), "claim_id", "claim")
+
+
+def gated_licenses(t: Tables):
+    """The licenses are a join and an aggregate: stored, since rows, events and leaves are each derived from them."""
+    grants = stored(t.grants(), "grants")
+    return R.gated(grants, L.projection_integrity(*t.rights_log("license", grants), subject="license"), "license_id", "license")
 
 
 @query(

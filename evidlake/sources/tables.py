@@ -241,17 +241,19 @@ class Tables:
             "if(license_id % 8 = 0, null, effective_until + interval 400 day) as effective_until",
         )
 
-    def rights_log(self, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def rights_log(self, kind: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Current rows of claims or licenses with the digest of their projection, their recorded events, and log leaves.
 
+        ``rows``: those of ``titles`` or ``grants``, where they are stored already.
+
         Some rows have no event, and some events are of a wrong type, tenant or subject, altered, not logged, without a
         projection, or of another projection than the row's.
         """
         if kind == "claim":
-            rows = self.titles().withColumnRenamed("claim_id", "id")
+            rows = (rows or self.titles()).withColumnRenamed("claim_id", "id")
             fields = "concat_ws('|', id, work_id, state, effective_from, coalesce(cast(effective_until as string), '-'))"
         else:
-            rows = self.grants().withColumnRenamed("license_id", "id")
+            rows = (rows or self.grants()).withColumnRenamed("license_id", "id")
             fields = (
                 "concat_ws('|', id, claim_id, work_id, state, version, array_join(permitted_uses, ','), array_join(prohibited_uses, ','), "
                 "coalesce(cast(effective_from as string), '-'), coalesce(cast(effective_until as string), '-'))"

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidlake.operators import decisions, ledger, rights
+from evidlake.plans.rights import gated_rights
+from evidlake.sources.tables import Tables
 
 NOW = datetime.datetime(2024, 6, 1)
 DAY = datetime.timedelta(days=1)
@@ -164,3 +166,14 @@ def test_chains_end_at_their_current_record(spark):
     assert {got[i] for i in [*range(3000, 3007), 3100]} == {(None, "CYCLE", None)}
     assert {got[i] for i in range(4000, 4006)} == {(None, "BROKEN", None)} and got[5000] == (5000, "CURRENT", 0)
     assert rights.current_records(spark.createDataFrame([], LINKS)).count() == 0
+
+
+def test_the_gate_derives_licenses_once(spark):
+    """Digests are compared by 16 bytes of their own: equal strings alone are equal; licenses are derived once."""
+    df = spark.createDataFrame([("ab", "ab"), ("ab", "AB"), ("", "x"), (None, "ab")], "a string, b string")
+    same = [(r.a == r.b, r.s) for r in df.withColumn("s", ledger.packed_digest(F.col("a")).eqNullSafe(ledger.packed_digest(F.col("b")))).collect()]
+    assert all(x == y for x, y in same)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    claims, licenses = gated_rights(t)
+    # The join behind the licenses runs once: rows, events and leaves are derived from what it stored.
+    assert not any("lineitem" in f for f in licenses.inputFiles()) and licenses.columns[-2:] == ["verified", "integrity_code"]
