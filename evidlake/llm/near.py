@@ -1,13 +1,14 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their groups.
 
 The binary tries of ``simhash`` come first: what they link within three bits is checked on the shingles of both. Most pairs at
-0.8 differ in more bits, so min-hash bands then choose which of the groups left apart meet, a sketch of 200 bytes drops most that
-are too far apart, and the shingles decide. A pair at 0.8 misses all bands with probability 1e-7, and the sketch drops it
-with about as much.
+0.8 differ in more bits, so min-hash bands then choose which of the groups left apart meet, a few bands at a time. A sketch of 200
+bytes drops most that are too far apart, 16 bits of each shingle nearly all others (never a near pair), and the shingles
+decide. A pair at 0.8 misses all bands with probability 1e-7, and the sketch drops it with about as much.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,15 +28,19 @@ WORDS, BANDS, ROWS = 5, 40, 5
 HASHES = BANDS * ROWS
 # Equal bytes of two sketches from which a pair is looked at: 5 standard deviations below what 0.8 gives.
 LOW = 130
-# Pairs of one bucket that go on in a round, for each of its rows; pairs of one row; rows that meet one copy of a set.
-AT_ONCE, ROW_PAIRS, SIDE_ROWS = 16, 64, 256
+# Pairs of one bucket that are listed at once, for each of its rows; rows that meet one copy of a set.
+AT_ONCE, SIDE_ROWS = 16, 256
+# Bands whose buckets are looked at together: what they link leaves the others.
+STEP = 10
+# Sets of more shingles go without their 16 bits.
+LONG = 4096
 # Buckets of so many rows are looked at pair by pair, if few of their pairs may be near.
 SMALL = 512
 _random = np.random.default_rng(5)
 _TIMES = _random.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _random.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
 NODES = pa.schema([("sid", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("sid", pa.int64()), ("shingles", pa.binary()), ("sketch", pa.binary())])
+SETS = pa.schema([("sid", pa.int64()), ("shingles", pa.binary()), ("sketch", pa.binary()), ("short", pa.binary())])
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("bucket", pa.int64())])
 
 
@@ -85,7 +90,9 @@ def send_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, own, sid in cut(batch):
             sketch = [minima(h).astype(np.uint8).tobytes() for h in own]
-            yield pa.RecordBatch.from_arrays([sid, pa.array([h.tobytes() for h in own], pa.binary()), pa.array(sketch, pa.binary())], schema=SETS)
+            short = [h.astype(np.uint16).tobytes() if len(h) <= LONG else b"" for h in own]
+            sent = [pa.array(c, pa.binary()) for c in ([h.tobytes() for h in own], sketch, short)]
+            yield pa.RecordBatch.from_arrays([sid, *sent], schema=SETS)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -94,10 +101,10 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """sid, shingles and sketch, each sid once, of the texts that have one of the doc_ids and a sid named with it."""
+    """sid, shingles, sketch and short, each sid once, of the texts that have one of the doc_ids and a sid named with it."""
     own = texts(docs).hint("merge").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    own = own.mapInArrow(trimmed(send_sets), "sid long, shingles binary, sketch binary")
-    return own.groupBy("sid").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    own = own.mapInArrow(trimmed(send_sets), "sid long, shingles binary, sketch binary, short binary")
+    return own.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("shingles", "sketch", "short")])
 
 
 def by_tries(own: DataFrame) -> DataFrame:
@@ -113,7 +120,43 @@ def agree(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.count_nonzero(sketches == one, axis=1)
 
 
-def candidates(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart: set[tuple[int, int]]) -> list[tuple[int, int]]:
+class Shorts:
+    """The lowest 16 bits of all shingles of a bucket's rows."""
+
+    def __init__(self, short: list[bytes]) -> None:
+        self.size = np.array([len(x) // 2 for x in short])
+        self.start = np.append(0, np.cumsum(self.size))
+        self.values = np.frombuffer(b"".join(short), np.uint16)
+        self.seen = np.zeros(1 << 16, bool)
+
+    def central(self) -> np.ndarray:
+        """The rows, those first whose values most rows hold: edits of one text are nearer to it than to each other."""
+        held = np.bincount(self.values, minlength=1 << 16)[self.values]
+        total = np.append(0, np.cumsum(held))
+        return np.argsort(-(total[self.start[1:]] - total[self.start[:-1]]) / np.maximum(self.size, 1), kind="stable")
+
+    def may(self, one: int, rows: np.ndarray) -> np.ndarray:
+        """Whether rows may be near to one. Values in common are at least the shingles in common, so no near one is dropped."""
+        own, n = self.values[self.start[one] : self.start[one + 1]], self.size[rows]
+        if not len(own) or not len(rows):
+            return np.ones(len(rows), bool)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[rows], n)
+        self.seen[own] = True
+        both = np.append(0, np.cumsum(self.seen[self.values[at]]))
+        self.seen[own] = False
+        both = both[np.cumsum(n)] - both[np.cumsum(n) - n]
+        return (n == 0) | (9 * both >= 4 * (n + len(own)))
+
+
+def near_to(one: int, rows: np.ndarray, sketch: np.ndarray, shorts: Shorts | None) -> np.ndarray:
+    """Which of the rows may be near to one."""
+    rows = rows[agree(sketch[rows], sketch[one]) >= LOW]
+    return rows[shorts.may(one, rows)] if shorts else rows
+
+
+def candidates(
+    sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart: set[tuple[int, int]], shorts: Shorts | None = None
+) -> list[tuple[int, int]]:
     """Pairs (u > v) of a bucket's rows to look at next; none if no more of them can link two components.
 
     First each row meets one head that it may be near to, so that a large group gives a row each. When that
@@ -124,14 +167,9 @@ def candidates(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart
     left = np.arange(len(sid))
     while len(left):
         head = left[0]
-        near = agree(sketch[left], sketch[head]) >= LOW
-        near[0] = True
-        for k in np.flatnonzero(near & (component[left] != component[head])):
-            if pair(left[k], head) in apart:
-                near[k] = False
-            else:
-                found.append(pair(left[k], head))
-        left = left[~near]
+        met = [k for k in near_to(head, left[1:], sketch, shorts) if component[k] == component[head] or pair(k, head) not in apart]
+        found += [pair(k, head) for k in met if component[k] != component[head]]
+        left = np.setdiff1d(left[1:], met, assume_unique=True)
     if found:
         return found
     names, size = np.unique(component, return_counts=True)
@@ -139,7 +177,7 @@ def candidates(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart
     some: set[tuple[int, int]] = set()
     for i in rest:
         others = np.flatnonzero(component != component[i])
-        for j in others[agree(sketch[others], sketch[i]) >= LOW]:
+        for j in near_to(i, others, sketch, shorts):
             if pair(i, j) not in apart:
                 some.add(pair(i, j))
         if len(some) >= AT_ONCE * len(sid):
@@ -147,13 +185,15 @@ def candidates(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart
     return sorted(some)
 
 
-def few_pairs(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart: set[tuple[int, int]]) -> list[tuple[int, int]] | None:
-    """All pairs across components of a small bucket that may be near; None if they are too many to go on at once."""
+def few_pairs(
+    sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart: set[tuple[int, int]], shorts: Shorts | None = None
+) -> list[tuple[int, int]] | None:
+    """All pairs across components of a small bucket that may be near; None if they are too many to list at once."""
     if len(sid) > SMALL:
         return None
     found: list[tuple[int, int]] = []
     for i in range(1, len(sid)):
-        for j in np.flatnonzero((agree(sketch[:i], sketch[i]) >= LOW) & (component[:i] != component[i])):
+        for j in near_to(i, np.flatnonzero(component[:i] != component[i]), sketch, shorts):
             pair = (max(int(sid[i]), int(sid[j])), min(int(sid[i]), int(sid[j])))
             if pair not in apart:
                 found.append(pair)
@@ -162,14 +202,32 @@ def few_pairs(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart:
     return found
 
 
+def forest(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart: set[tuple[int, int]], shorts: Shorts) -> list[tuple[int, int]]:
+    """Pairs that link all that may be near across a bucket's components: if all of them are near, the bucket is done."""
+    row, found = {int(x): k for k, x in enumerate(sid)}, []
+    while True:
+        more = few_pairs(sid, component, sketch, apart, shorts)
+        if not (more := candidates(sid, component, sketch, apart, shorts) if more is None else more):
+            return found
+        for u, v in more:
+            a, b = component[row[u]], component[row[v]]
+            if a != b:
+                found.append((u, v))
+                component = np.where(component == b, a, component)
+
+
 def in_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, held in runs(batches, "bucket"):
         table = pa.Table.from_batches(held)
+        order = Shorts(table.column("short").to_pylist()).central()
+        table = table.take(pa.array(order))
         sid, component = (table.column(c).to_numpy() for c in ("sid", "component"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
         apart = {(u, v) for u, own in zip(sid.tolist(), table.column("apart").to_pylist(), strict=True) for v in own or ()}
-        found = few_pairs(sid, component, sketch, apart)
-        if found := candidates(sid, component, sketch, apart) if found is None else found:
+        if found := forest(sid, component, sketch, apart, Shorts(table.column("short").to_pylist())):
+            # The one of more pairs is second: ``beside`` spreads its rows.
+            many = Counter(x for p in found for x in p)
+            found = [(u, v) if many[u] <= many[v] else (v, u) for u, v in found]
             at = [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*at, pa.array([bucket] * len(found), pa.int64())], schema=PAIRS)
 
@@ -198,40 +256,49 @@ def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, own: DataFrame) -> DataFrame:
     """Edges (u, v) between sids that connect all near pairs; every edge is a near pair.
 
-    Takes the documents and their ``nodes``. What the tries link is judged first. Then only buckets with several components go on,
-    round by round; a bucket in which no pair across components may be near is done for good.
+    Takes the documents and their ``nodes``. What the tries link is judged first, then the buckets of some bands at a time.
+    Only buckets with several components are looked at. A bucket is done when all pairs that it gives are near, and looked at again
+    when the shingles refute one.
     """
     one = own.groupBy("sid").agg(F.first("bands").alias("bands"))
-    rows = one.select("sid", F.explode("bands").alias("bucket"))
+    rows = one.select("sid", F.posexplode("bands").alias("band", "bucket"))
     inside = Window.partitionBy("bucket")
     rows = rows.withColumn("least", F.min("sid").over(inside)).withColumn("most", F.max("sid").over(inside))
-    rows = written(rows.where("least < most").select("sid", "bucket"), "near-rows")
+    rows = written(rows.where("least < most").select("sid", "bucket", F.floor(F.col("band") / STEP).cast("int").alias("step")), "near-rows")
     pairs = written(by_tries(own), "near-pairs")
     # The shingles are made again, of one document for each sid that may meet another: of all they would be more than the texts.
     some = rows.select("sid").union(pairs.select("u")).union(pairs.select("v")).distinct()
     ids = own.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(some, "sid", "left_semi")
     met = written(sets(docs, ids), "near-sets")
-    judged = None
-    while True:
-        new = beside(pairs, met, "shingles").mapInArrow(trimmed(compare), "u long, v long, near boolean")
-        new = written(new, "near")
-        # What is linked changes with new near pairs alone.
-        if judged is None or not new.where("near").isEmpty():
-            label = components((new if judged is None else judged.unionByName(new)).where("near").select("u", "v"))
-        judged = new if judged is None else judged.unionByName(new)
-        known = rows.join(label, F.col("sid") == F.col("node"), "left").select("sid", "bucket", F.coalesce("component", "sid").alias("component"))
-        several = known.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-        known = known.join(several, "bucket", "left_semi")
-        apart = judged.where("not near").groupBy(F.col("u").alias("sid")).agg(F.collect_set("v").alias("apart"))
-        side = met.select("sid", "sketch").join(apart, "sid", "left")
-        found = known.join(side, "sid").repartition("bucket").sortWithinPartitions("bucket", "sid")
-        found = written(found.mapInArrow(trimmed(in_buckets), "u long, v long, bucket long"), "near-found")
-        if found.isEmpty():
-            return judged.where("near").select("u", "v")
-        rows = written(rows.join(found.select("bucket").distinct(), "bucket", "left_semi").select("sid", "bucket"), "near-rows")
-        # A row meets a few at a time; what is left out is found again.
-        few = found.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("v"))
-        pairs = written(few.select("u", F.explode(F.slice("v", 1, ROW_PAIRS)).alias("v")), "near-pairs")
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        return written(beside(pairs, met, "shingles").mapInArrow(trimmed(compare), "u long, v long, near boolean"), "near")
+
+    judged = judge(pairs)
+    label = components(judged.where("near").select("u", "v"))
+    for step in range(-(-BANDS // STEP)):
+        left = rows.where(F.col("step") == step).select("sid", "bucket")
+        while True:
+            known = left.join(label, F.col("sid") == F.col("node"), "left").select("sid", "bucket", F.coalesce("component", "sid").alias("component"))
+            known = known.withColumn("a", F.min("component").over(inside)).withColumn("b", F.max("component").over(inside)).where("a < b")
+            known = known.select("sid", "bucket", "component")
+            apart = judged.where("not near").groupBy(F.greatest("u", "v").alias("sid")).agg(F.collect_set(F.least("u", "v")).alias("apart"))
+            side = met.select("sid", "sketch", "short").join(apart, "sid", "left")
+            found = known.join(side, "sid").repartition("bucket").sortWithinPartitions("bucket", "sid")
+            found = written(found.mapInArrow(trimmed(in_buckets), "u long, v long, bucket long"), "near-found")
+            if found.isEmpty():
+                break
+            new = judge(found.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(F.first("u").alias("u"), F.first("v").alias("v")).select("u", "v"))
+            judged = judged.unionByName(new)
+            if not new.where("near").isEmpty():
+                label = components(judged.where("near").select("u", "v"))
+            ends = [F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")]
+            wrong = new.where("not near").select(*ends)
+            again = written(found.select("bucket", *ends).join(wrong, ["x", "y"], "left_semi").select("bucket").distinct(), "near-again")
+            if again.isEmpty():
+                break
+            left = left.join(again, "bucket", "left_semi")
+    return judged.where("near").select("u", "v")
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -95,3 +95,35 @@ def test_few_pairs_of_a_bucket():
     assert near.few_pairs(sid, np.array([0, 0, 2, 2]), sketch, {(2, 0)}) == [(2, 1), (3, 0), (3, 1)]
     many = 2 * near.AT_ONCE + 3
     assert near.few_pairs(np.arange(many), np.arange(many), np.zeros((many, near.HASHES), np.uint8), set()) is None
+
+
+def test_a_large_group_gives_few_pairs():
+    """Edits of one text that are near to it, but mostly not to each other: a row links each to it, and no more are looked at."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(base)]
+    for n in rng.integers(5, 30, 150):
+        own = base.copy()
+        own[rng.choice(200, n, replace=False)] = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets.append(np.unique(own))
+    sets = [sets[k] for k in rng.permutation(len(sets))]
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    close = {(i, j) for i in range(len(sets)) for j in range(i) if like(sets[i], sets[j]) >= 0.8}
+    shorts = near.Shorts([s.astype(np.uint16).tobytes() for s in sets])
+    sketch = np.stack([near.minima(s).astype(np.uint8) for s in sets])
+    order, every = shorts.central(), np.arange(len(sets))
+    assert like(sets[order[0]], base) > 0.97
+    assert all(shorts.may(i, every)[j] for i, j in close)
+    few = near.few_pairs(every, every, sketch, set(), shorts)
+    assert few is None or close <= set(few)
+    placed = near.Shorts([sets[k].astype(np.uint16).tobytes() for k in order])
+    apart, linked = set(), []
+    while True:  # what the whole sets refute is known when the rows meet again
+        label = classes(set(every.tolist()), linked)
+        found = near.forest(order, np.array([label[k] for k in order]), sketch[order], apart, placed)
+        assert len(found) + len(linked) < len(sets) < len(close) / 10
+        linked += [p for p in found if p in close]
+        if not (wrong := set(found) - close):
+            break
+        apart |= wrong
+    assert len(apart) < 20 and classes(set(every.tolist()), linked) == classes(set(every.tolist()), close)
