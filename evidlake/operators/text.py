@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,18 +152,36 @@ def shingles(text: Column, words: int = SHINGLE_WORDS) -> Column:
     return F.transform(F.array(F.split(text, " ")), of)[0]
 
 
-def with_minima(df: DataFrame, text: str, name: str = "minima") -> DataFrame:
-    """Add eight min-hashes of the shingle set: the least 32-bit word at each place of the SHA-256s.
+MINIMA = 8
 
-    Row-local: no shingle is ever shuffled.
+
+def minima_of(texts: pd.Series) -> pd.Series:
+    """The least 32-bit word at each place of the SHA-256s of a text's shingles, in hex; of no text, as many nulls.
+
+    A shingle is the text from its first word's start to its last word's end.
     """
-    hashed = df.withColumn("__d", F.transform(shingles(F.col(text)), lambda s: F.sha2(s, 256)))
+    sha256, out = hashlib.sha256, []
+    for text in texts:
+        if text is None:
+            out.append([None] * MINIMA)
+            continue
+        data = text.encode()
+        blank = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        start, end = np.append(0, blank + 1), np.append(blank, len(data))
+        words = min(SHINGLE_WORDS, len(start))
+        cut = zip(start[: len(start) - words + 1].tolist(), end[words - 1 :].tolist(), strict=True)
+        digests = b"".join([sha256(data[i:j]).digest() for i, j in cut])
+        least = np.frombuffer(digests, ">u4").reshape(-1, MINIMA).min(axis=0)
+        out.append([f"{x:08x}" for x in least.tolist()])
+    return pd.Series(out)
 
 
-    def least(k: int) -> Column:
-        return F.array_min(F.transform(F.col("__d"), lambda d: F.substring(d, 1 + 8 * k, 8)))
+def with_minima(df: DataFrame, text: str, name: str = "minima") -> DataFrame:
+    """Add eight min-hashes of the shingle set: the least 32-bit word at each place of the SHA-256s.
 
-    return hashed.withColumn(name, F.array(*[least(k) for k in range(8)])).drop("__d")
+    Row-local: no shingle is ever shuffled.
+    """
+    return df.withColumn(name, F.pandas_udf(minima_of, "array<string>")(F.col(text)))
 
 
 def with_sketch(df: DataFrame, text: str) -> DataFrame:

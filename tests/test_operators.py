@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidlake.functions.expr import leaf_hash
-from evidlake.operators import coverage, fusion, ledger, plugins, rights, similarity, usage
+from evidlake.operators import coverage, fusion, ledger, plugins, rights, similarity, text, usage
 from evidlake.operators import evaluation as ev
 from evidlake.operators import profiles as pr
 from evidlake.sources.catalog import bulk_import
@@ -73,6 +73,24 @@ def test_copies_stay_linear(spark):
     assert similarity.exact_matches(hashed).count() == 39
 
 
+def test_shingles_are_hashed_once(spark):
+    """The bands are stored: no join or aggregate over them hashes the texts again. Min-hashes are as by SHA-256 of each shingle."""
+    rows = [(0, "a b c d e f g"), (1, "a  b é "), (2, ""), (3, None), (4, "a b c d e f h"), (5, None), (6, "x y z")]
+    docs = spark.createDataFrame(rows, "work_id bigint, text string")
+    got = {r.work_id: r.minima for r in text.with_minima(docs, "text").collect()}
+    for i, t in rows:
+        if t is None:
+            assert got[i] == [None] * 8
+            continue
+        w = t.split(" ")
+        hashed = [hashlib.sha256(" ".join(w[k : k + 5]).encode()).hexdigest() for k in range(max(1, len(w) - 4))]
+        assert got[i] == [min(h[8 * k : 8 * k + 8] for h in hashed) for k in range(8)]
+    found = similarity.lsh_candidates(docs, "work_id", "text")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "minima_of" not in plan
+    assert (5, 3, 4) in {tuple(r) for r in found.collect()}
+
+
 def merkle(leaves):
     level = [hashlib.sha256(b"\x00" + bytes.fromhex(x)).hexdigest() for x in leaves]
     while len(level) > 1:
