@@ -111,7 +111,7 @@ _SETS = f"""with s as (select doc_id, list_sort({SHINGLES.format("text")}) as g
 )
 def jn4_sets(t):
     """Pairs of different documents with a Jaccard similarity of 0.8 or more of their word shingles."""
-    pairs = S.similar_sets(S.shingle_sets(t.raw("documents"), "doc_id", "text"))
+    pairs = S.similar_items(t.raw("documents"), "doc_id", "text")
     return pairs.withColumn("jaccard", r6(F.col("jaccard")))
 
 
