@@ -1,8 +1,9 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their groups.
 
 The binary tries of ``simhash`` come first: what they link within three bits is checked on the shingles of both. Most pairs at
-0.8 differ in more bits, so min-hash bands then choose which of the groups left apart meet, a few bands at a time. A sketch of 200
-bytes drops most that are too far apart, 16 bits of each shingle nearly all others (never a near pair), and the shingles
+0.8 differ in more bits, so min-hash bands choose what else meets. In buckets of a few rows each meets the one of the smallest sid,
+and is checked with what the tries link. In the others the groups left apart meet, a few bands at a time. A sketch of 200 bytes
+drops most that are too far apart, 32 bits of each shingle all others but for collisions (never a near pair), and the shingles
 decide. A pair at 0.8 misses all bands with probability 1e-7, and the sketch drops it with about as much.
 """
 
@@ -31,16 +32,18 @@ LOW = 130
 # Pairs of one bucket that are listed at once, for each of its rows; rows that meet one copy of a set.
 AT_ONCE, SIDE_ROWS = 16, 256
 # Bands whose buckets are looked at together: what they link leaves the others.
-STEP = 10
-# Sets of more shingles go without their 16 bits.
-LONG = 4096
+STEP = 20
+# Buckets of so many rows are looked at first, before any group is known.
+FEW = 4
+# Sets of more shingles go without their 32 bits.
+LONG = 1 << 14
 # Buckets of so many rows are looked at pair by pair, if few of their pairs may be near.
 SMALL = 512
 _random = np.random.default_rng(5)
 _TIMES = _random.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _random.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
 NODES = pa.schema([("sid", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("sid", pa.int64()), ("shingles", pa.binary()), ("sketch", pa.binary()), ("short", pa.binary())])
+SETS = pa.schema([("sid", pa.int64()), ("shingles", pa.binary()), ("sketch", pa.binary()), ("low", pa.binary())])
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("bucket", pa.int64())])
 
 
@@ -90,8 +93,8 @@ def send_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, own, sid in cut(batch):
             sketch = [minima(h).astype(np.uint8).tobytes() for h in own]
-            short = [h.astype(np.uint16).tobytes() if len(h) <= LONG else b"" for h in own]
-            sent = [pa.array(c, pa.binary()) for c in ([h.tobytes() for h in own], sketch, short)]
+            low = [h.astype(np.uint32).tobytes() if len(h) <= LONG else b"" for h in own]
+            sent = [pa.array(c, pa.binary()) for c in ([h.tobytes() for h in own], sketch, low)]
             yield pa.RecordBatch.from_arrays([sid, *sent], schema=SETS)
 
 
@@ -101,10 +104,10 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """sid, shingles, sketch and short, each sid once, of the texts that have one of the doc_ids and a sid named with it."""
+    """sid, shingles, sketch and low, each sid once, of the texts that have one of the doc_ids and a sid named with it."""
     own = texts(docs).hint("merge").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    own = own.mapInArrow(trimmed(send_sets), "sid long, shingles binary, sketch binary, short binary")
-    return own.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("shingles", "sketch", "short")])
+    own = own.mapInArrow(trimmed(send_sets), "sid long, shingles binary, sketch binary, low binary")
+    return own.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("shingles", "sketch", "low")])
 
 
 def by_tries(own: DataFrame) -> DataFrame:
@@ -131,13 +134,13 @@ class Shorts:
 
     def central(self) -> np.ndarray:
         """The rows, those first whose values most rows hold: edits of one text are nearer to it than to each other."""
-        held = np.bincount(self.values, minlength=1 << 16)[self.values]
+        held = np.bincount(self.values, minlength=len(self.seen))[self.values]
         total = np.append(0, np.cumsum(held))
         return np.argsort(-(total[self.start[1:]] - total[self.start[:-1]]) / np.maximum(self.size, 1), kind="stable")
 
     def may(self, one: int, rows: np.ndarray) -> np.ndarray:
         """Whether rows may be near to one. Values in common are at least the shingles in common, so no near one is dropped."""
-        own, n = self.values[self.start[one] : self.start[one + 1]], self.size[rows]
+        own, n = self.values[self.start[one] : self.start[one] + self.size[one]], self.size[rows]
         if not len(own) or not len(rows):
             return np.ones(len(rows), bool)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[rows], n)
@@ -148,6 +151,20 @@ class Shorts:
         return (n == 0) | (9 * both >= 4 * (n + len(own)))
 
 
+class Lows(Shorts):
+    """The same by the lowest 32 bits, numbered: two shingles of a bucket hardly ever have them in common."""
+
+    def __init__(self, low: list[bytes]) -> None:
+        self.size = np.array([len(x) // 4 for x in low])
+        self.start = np.append(0, np.cumsum(self.size))
+        distinct, self.values = np.unique(np.frombuffer(b"".join(low), np.uint32), return_inverse=True)
+        self.seen = np.zeros(len(distinct), bool)
+
+    def take(self, order: np.ndarray) -> None:
+        """From now on the rows come in this order."""
+        self.size, self.start = self.size[order], self.start[order]
+
+
 def near_to(one: int, rows: np.ndarray, sketch: np.ndarray, shorts: Shorts | None) -> np.ndarray:
     """Which of the rows may be near to one."""
     rows = rows[agree(sketch[rows], sketch[one]) >= LOW]
@@ -219,12 +236,13 @@ def forest(sid: np.ndarray, component: np.ndarray, sketch: np.ndarray, apart: se
 def in_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, held in runs(batches, "bucket"):
         table = pa.Table.from_batches(held)
-        order = Shorts(table.column("short").to_pylist()).central()
-        table = table.take(pa.array(order))
+        lows = Lows(table.column("low").to_pylist())
+        table = table.drop_columns(["low"]).take(pa.array(order := lows.central()))
+        lows.take(order)
         sid, component = (table.column(c).to_numpy() for c in ("sid", "component"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
         apart = {(u, v) for u, own in zip(sid.tolist(), table.column("apart").to_pylist(), strict=True) for v in own or ()}
-        if found := forest(sid, component, sketch, apart, Shorts(table.column("short").to_pylist())):
+        if found := forest(sid, component, sketch, apart, lows):
             # The one of more pairs is second: ``beside`` spreads its rows.
             many = Counter(x for p in found for x in p)
             found = [(u, v) if many[u] <= many[v] else (v, u) for u, v in found]
@@ -254,18 +272,25 @@ def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """Edges (u, v) between sids that connect all near pairs; every edge is a near pair.
+    """Edges (u, v) between sids that connect all near pairs; every edge is a near pair. Takes the documents and their ``nodes``."""
+    return joined(docs, own, own.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0))[0]
+
 
-    Takes the documents and their ``nodes``. What the tries link is judged first, then the buckets of some bands at a time.
-    Only buckets with several components are looked at. A bucket is done when all pairs that it gives are near, and looked at again
-    when the shingles refute one.
+def joined(docs: DataFrame, own: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``links``, and the components (node, component) of these and the given edges.
+
+    What the tries link and what buckets of a few rows give is judged first, then the larger buckets of some bands at a time.
+    Only those with several components are looked at. A bucket is done when all pairs that it gives are near, and looked at again
+    when the shingles refute one: 32 bits of each leave that to collisions and to sets of more than ``LONG``.
     """
     one = own.groupBy("sid").agg(F.first("bands").alias("bands"))
     rows = one.select("sid", F.posexplode("bands").alias("band", "bucket"))
     inside = Window.partitionBy("bucket")
-    rows = rows.withColumn("least", F.min("sid").over(inside)).withColumn("most", F.max("sid").over(inside))
-    rows = written(rows.where("least < most").select("sid", "bucket", F.floor(F.col("band") / STEP).cast("int").alias("step")), "near-rows")
-    pairs = written(by_tries(own), "near-pairs")
+    rows = rows.withColumn("least", F.min("sid").over(inside)).withColumn("n", F.count(F.lit(1)).over(inside))
+    rows = rows.where("n > 1").select("sid", "bucket", "least", "n", F.floor(F.col("band") / STEP).cast("int").alias("step"))
+    rows = written(rows, "near-rows")
+    few = rows.where((F.col("n") <= FEW) & (F.col("sid") > F.col("least"))).select(F.col("sid").alias("u"), F.col("least").alias("v"))
+    pairs = written(by_tries(own).union(few).distinct(), "near-pairs")
     # The shingles are made again, of one document for each sid that may meet another: of all they would be more than the texts.
     some = rows.select("sid").union(pairs.select("u")).union(pairs.select("v")).distinct()
     ids = own.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(some, "sid", "left_semi")
@@ -274,16 +299,20 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
     def judge(pairs: DataFrame) -> DataFrame:
         return written(beside(pairs, met, "shingles").mapInArrow(trimmed(compare), "u long, v long, near boolean"), "near")
 
+    def labels(judged: DataFrame) -> DataFrame:
+        return components(judged.where("near").select("u", "v").unionByName(given))
+
     judged = judge(pairs)
-    label = components(judged.where("near").select("u", "v"))
+    label = labels(judged)
     for step in range(-(-BANDS // STEP)):
-        left = rows.where(F.col("step") == step).select("sid", "bucket")
+        # The one pair of a bucket of two is judged.
+        left = rows.where((F.col("step") == step) & (F.col("n") > 2)).select("sid", "bucket")
         while True:
             known = left.join(label, F.col("sid") == F.col("node"), "left").select("sid", "bucket", F.coalesce("component", "sid").alias("component"))
             known = known.withColumn("a", F.min("component").over(inside)).withColumn("b", F.max("component").over(inside)).where("a < b")
             known = known.select("sid", "bucket", "component")
             apart = judged.where("not near").groupBy(F.greatest("u", "v").alias("sid")).agg(F.collect_set(F.least("u", "v")).alias("apart"))
-            side = met.select("sid", "sketch", "short").join(apart, "sid", "left")
+            side = met.select("sid", "sketch", "low").join(apart, "sid", "left")
             found = known.join(side, "sid").repartition("bucket").sortWithinPartitions("bucket", "sid")
             found = written(found.mapInArrow(trimmed(in_buckets), "u long, v long, bucket long"), "near-found")
             if found.isEmpty():
@@ -291,14 +320,14 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
             new = judge(found.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(F.first("u").alias("u"), F.first("v").alias("v")).select("u", "v"))
             judged = judged.unionByName(new)
             if not new.where("near").isEmpty():
-                label = components(judged.where("near").select("u", "v"))
+                label = labels(judged)
             ends = [F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")]
             wrong = new.where("not near").select(*ends)
             again = written(found.select("bucket", *ends).join(wrong, ["x", "y"], "left_semi").select("bucket").distinct(), "near-again")
             if again.isEmpty():
                 break
             left = left.join(again, "bucket", "left_semi")
-    return judged.where("near").select("u", "v")
+    return judged.where("near").select("u", "v"), label
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -310,7 +339,7 @@ def groups(docs: DataFrame) -> DataFrame:
     ids = own.select("doc_id", "sid").distinct()
     first = ids.groupBy("doc_id").agg(F.min("sid").alias("v"), F.max("sid").alias("most")).where("v < most")
     several = ids.join(first, "doc_id").select(F.col("sid").alias("u"), "v")
-    found = components(links(docs, own).unionByName(several))
+    _, found = joined(docs, own, several)
     named = written(ids.join(found, F.col("sid") == F.col("node"), "left").select("doc_id", F.coalesce("component", "sid").alias("c")), "near-groups")
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "c").select("doc_id", "component_id").distinct()

@@ -127,3 +127,28 @@ def test_a_large_group_gives_few_pairs():
             break
         apart |= wrong
     assert len(apart) < 20 and classes(set(every.tolist()), linked) == classes(set(every.tolist()), close)
+
+
+def test_buckets_are_done_in_one_round(spark, monkeypatch):
+    """Long texts just below 0.8: their shingles' lowest 16 bits would say near, and each pair refuted is another round of jobs."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        for k in range(8):
+            own = list(base)
+            for at in range(5 * k, 3000, 85):  # 35 edits of 5 shingles each, at other places: 0.79 to each other
+                own[at] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own), "a"))
+    again, rounds = [], []
+
+    def noted(df, name, to=near.written, **options):
+        out = to(df, name, **options)
+        if name == "near-again":
+            again.append(out.count())
+        rounds.append(name)
+        return out
+
+    monkeypatch.setattr(near, "written", noted)
+    assert {r.doc_id: r.component_id for r in near.groups(frame(spark, rows)).collect()} == slow_groups(rows)
+    assert not any(again) and rounds.count("near-found") <= 2 * -(-near.BANDS // near.STEP)
