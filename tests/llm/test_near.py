@@ -152,3 +152,27 @@ def test_buckets_are_done_in_one_round(spark, monkeypatch):
     monkeypatch.setattr(near, "written", noted)
     assert {r.doc_id: r.component_id for r in near.groups(frame(spark, rows)).collect()} == slow_groups(rows)
     assert not any(again) and rounds.count("near-found") <= 2 * -(-near.BANDS // near.STEP)
+
+
+def test_lows_are_exact_in_any_order():
+    """Of sets of one bucket, some without their bits: may is the Jaccard similarity, always true of those."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = []
+    for n in (0, 300, 330, 340, 360, 2900, 10):
+        own = base.copy()
+        own[rng.choice(3000, n, replace=False)] = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets.append(np.unique(own))
+    low = [s.astype(np.uint32).tobytes() for s in sets]
+    low[5] = low[6] = b""
+    lows = near.Lows(low)
+    order = lows.central()
+    lows.take(order)
+    for k, i in enumerate(order):
+        for m, j in enumerate(order):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            want = 9 * both >= 4 * (len(sets[i]) + len(sets[j])) or not low[i] or not low[j]
+            assert lows.may(k, np.array([m]))[0] == want
+    none = near.Lows([b"", b""])
+    none.take(none.central())
+    assert none.may(0, np.arange(2)).all()
