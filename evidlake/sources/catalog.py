@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.functions.expr import cascade, codes, joined
+from evidlake.functions.expr import cascade, codes, compound_key, joined
 from evidlake.functions.running import ordinal
 
 
@@ -72,20 +72,24 @@ def bulk_import(files: DataFrame, manifest: DataFrame, batch: str, size: int) ->
     """Outcome of each import batch: files left-joined to the manifest by file name.
 
     A batch of more than ``size`` files is imported in numbered parts of that size, in the order of the file
-    names' MD5, so every file is in one part whatever the batch holds.
+    names' MD5, so every file is in one part whatever the batch holds; files without a batch are a batch too. A file is
+    imported or rejected as ``admitted`` says (without that column, as ``reject_reason`` is NULL or not), and neither
+    where that is NULL.
     """
-    spread = files.withColumn("__md5", F.md5("filename")).withColumn("__chunk", F.substring("__md5", 1, 3))
-    numbered = ordinal(spread, [batch], [("__chunk", True)], [("__md5", True), ("filename", True)], "__nr")
+    admitted = F.col("admitted") if "admitted" in files.columns else F.col("reject_reason").isNull()
+    spread = files.withColumn("__in", admitted).withColumn("__md5", F.md5(F.coalesce("filename", F.lit(""))))
+    spread = spread.withColumn("__chunk", F.substring("__md5", 1, 3)).withColumn("__key", compound_key(batch))
+    numbered = ordinal(spread, ["__key"], [("__chunk", True)], [("__md5", True), ("filename", True)], "__nr")
     rows = numbered.withColumn("part", F.floor((F.col("__nr") - 1) / size).cast("bigint")).join(manifest, "filename", "left")
     n = F.count(F.lit(1))
-    ok = F.count(F.when(F.col("reject_reason").isNull(), 1))
+    rejected = F.count_if(~F.col("__in"))
     return rows.groupBy(batch, "part").agg(
         n.alias("files"),
         F.count("title").alias("described"),
         F.count(F.when(F.coalesce(F.col("license_hint"), F.lit("NONE")) == "NONE", 1)).alias("defaulted"),
-        ok.alias("imported"),
-        (n - ok).alias("rejected"),
-        (ok == n).alias("complete"),
+        F.count_if("__in").alias("imported"),
+        rejected.alias("rejected"),
+        (rejected == 0).alias("complete"),
     )
 
 
