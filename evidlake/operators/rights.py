@@ -182,8 +182,8 @@ def rights_facts(claims: DataFrame, licenses: DataFrame, uses: list[str], as_of:
 
     ``claims`` and ``licenses`` come through ``gated``: what isn't verified contributes no right, and says why. ``uses``
     is the short list of uses asked about. Everything is conditional counts and sets of a few codes, combined before
-    the shuffle, so nothing but one row per work is ever gathered. The authorizing license is the first by version (and time of
-    creation, where there is one), then id.
+    the shuffle, so nothing but one row per work, and per claim that a fitting license names, is ever gathered. The authorizing
+    license is the first by version (and time of creation, where there is one), then id.
     """
     c = F.col
     verified = c("verified")
@@ -196,7 +196,6 @@ def rights_facts(claims: DataFrame, licenses: DataFrame, uses: list[str], as_of:
         F.count_if(c("effective_until") <= as_of).alias("claims_ended"),
         F.collect_set(F.when(~verified, c("integrity_code"))).alias("claim_failures"),
     )
-    backed = backed_licenses(_listed(licenses), claims, as_of)
     state_ok = ~c("state").isin(*LICENSE_BLOCKED)
     late, over = F.coalesce(c("effective_from") > as_of, F.lit(False)), F.coalesce(c("effective_until") <= as_of, F.lit(False))
     in_time = verified & state_ok & ~late & ~over
@@ -205,27 +204,36 @@ def rights_facts(claims: DataFrame, licenses: DataFrame, uses: list[str], as_of:
         "LICENSE_NOT_BOUND_TO_RECORDED_CLAIM", "MATCHED_CLAIM_DISPUTED", "MATCHED_CLAIM_NOT_CORROBORATED", "MATCHED_CLAIM_REVOKED",
         "MATCHED_CLAIM_SUPERSEDED",
     )
-    per_use = []
+    listed, per_use, fitting = _listed(licenses), [], F.lit(False)
     for i, u in enumerate(uses):
-        veto = F.array_contains("prohibited_uses", u)
-        fits = in_time & ~veto & F.array_contains("permitted_uses", u)
-        strong = fits & (c("backing") == "STRONG")
+        veto, named = F.array_contains("prohibited_uses", u), F.array_contains("permitted_uses", u)
+        fits = F.coalesce(in_time & ~veto & named, F.lit(False))
+        fitting = fitting | fits
         per_use += [
-            F.count_if(fits).alias(f"scope_{i}"),
-            F.count_if(strong).alias(f"strong_{i}"),
-            F.min(F.when(strong, order)).alias(f"first_{i}"),
-            F.count_if(in_time & veto).alias(f"vetoed_{i}"),
-            F.count_if(in_time & ~veto & ~F.array_contains("permitted_uses", u)).alias(f"other_{i}"),
-            F.collect_set(F.when(fits & c("backing").isin(*weak_codes), c("backing"))).alias(f"weak_{i}"),
+            F.count_if(fits).alias(f"scope_{i}"), F.min(F.when(fits, order)).alias(f"first_{i}"),
+            F.count_if(in_time & veto).alias(f"vetoed_{i}"), F.count_if(in_time & ~veto & ~named).alias(f"other_{i}"),
         ]
-    license_facts = backed.groupBy("work_id").agg(
+    # Only a license that fits a use asks for its claim; all others of a work are one row before they meet the claims.
+    blocked = [f"licenses_{s.lower()}" for s in LICENSE_BLOCKED]
+    sums = ["licenses", *blocked, "licenses_not_yet", "licenses_over"]
+    by_claim = listed.withColumn("claim_id", F.when(fitting, c("claim_id"))).groupBy("work_id", "claim_id").agg(
         F.count(F.lit(1)).alias("licenses"),
-        *[F.count_if(verified & (c("state") == s)).alias(f"licenses_{s.lower()}") for s in LICENSE_BLOCKED],
+        *[F.count_if(verified & (c("state") == s)).alias(n) for n, s in zip(blocked, LICENSE_BLOCKED)],
         F.count_if(verified & state_ok & late).alias("licenses_not_yet"),
         F.count_if(verified & state_ok & ~late & over).alias("licenses_over"),
         F.collect_set(F.when(~verified, c("integrity_code"))).alias("license_failures"),
         *per_use,
     )
+    backed = backed_licenses(by_claim, claims, as_of)
+    strong, weak = c("backing") == "STRONG", c("backing").isin(*weak_codes)
+    license_facts = backed.groupBy("work_id").agg(
+        *[F.sum(n).alias(n) for n in sums],
+        F.array_distinct(F.flatten(F.collect_set("license_failures"))).alias("license_failures"),
+        *[F.sum(f"{n}_{i}").alias(f"{n}_{i}") for n in ("scope", "vetoed", "other") for i in range(len(uses))],
+        *[F.coalesce(F.sum(F.when(strong, c(f"scope_{i}"))), F.lit(0).cast("bigint")).alias(f"strong_{i}") for i in range(len(uses))],
+        *[F.min(F.when(strong, c(f"first_{i}"))).alias(f"first_{i}") for i in range(len(uses))],
+        *[F.collect_set(F.when((c(f"scope_{i}") > 0) & weak, c("backing"))).alias(f"weak_{i}") for i in range(len(uses))],
+    )
     names = ("scope", "strong", "first", "vetoed", "other", "weak")
     stacked = F.explode(
         F.array(*[F.struct(F.lit(u).alias("intended_use"), *[c(f"{n}_{i}").alias(n) for n in names]) for i, u in enumerate(uses)])

@@ -11,10 +11,12 @@ from evidlake.operators import rights as R
 from evidlake.operators.fusion import origin_state
 from evidlake.plans.fusion import _STATES
 from evidlake.plans.registry import query
-from evidlake.session import stored
+from evidlake.session import stored, stored_by
 from evidlake.sources.tables import Tables
 
 AS_OF = "1999-06-15 00:00:00"
+# Rows of rights facts (under a kilobyte each) that every executor may hold.
+FEW_FACTS = 10_000
 
 
 def as_of():
@@ -50,13 +52,13 @@ def gated_rights(t: Tables):
 
 
 def gated_claims(t: Tables):
-    titles = t.titles()
+    titles = t.titles(stored_by(t.claims(), "claims", "claim_id", [t.raw("orders")]))
     return R.gated(titles, L.projection_integrity(*t.rights_log("claim", titles), subject="claim"), "claim_id", "claim")
 
 
 def gated_licenses(t: Tables):
-    """The licenses are a join and an aggregate: stored, since rows, events and leaves are each derived from them."""
-    grants = stored(t.grants(), "grants")
+    """Licenses, their events and their verdicts meet by license, in the buckets they are stored in."""
+    grants = t.grants(stored_by(t.first_licenses(), "licenses", "license_id", [t.raw("lineitem"), t.raw("orders")]))
     return R.gated(grants, L.projection_integrity(*t.rights_log("license", grants), subject="license"), "license_id", "license")
 
 
@@ -203,10 +205,15 @@ def with_facts(t: Tables):
     s = t.scans().selectExpr(
         "*", "element_at(array('REQUIRED', 'INFORMATIONAL', 'DISABLED'), cast(scan_id % 3 + 1 as int)) as origin_mode", "style_tier in ('HIGH', 'REVIEW') as style_review"
     )
-    key = F.concat_ws("|", "work_id", "intended_use")
-    known = facts(t).withColumn("__use", key).drop("work_id", "intended_use")
-    joined_ = join_unique(D.baseline_policy(s).withColumn("__use", key), known, "__use", "scan_id")
-    return joined_.drop("__use").withColumn("recorded_action", F.col("baseline_action"))
+    # One row for each work and use: where they are few, no scan is sent to meet them.
+    known = stored(facts(t), "facts")
+    if known.count() <= FEW_FACTS:
+        joined_ = D.baseline_policy(s).join(F.broadcast(known), ["work_id", "intended_use"], "left")
+    else:
+        key = F.concat_ws("|", "work_id", "intended_use")
+        known = known.withColumn("__use", key).drop("work_id", "intended_use")
+        joined_ = join_unique(D.baseline_policy(s).withColumn("__use", key), known, "__use", "scan_id").drop("__use")
+    return joined_.withColumn("recorded_action", F.col("baseline_action"))
 
 
 _POL = [

@@ -219,26 +219,29 @@ class Tables:
             )
         )
 
-    def titles(self) -> DataFrame:
-        """Claims with all five states and an end for some of them."""
-        return self.claims().withColumn(
+    def titles(self, claims: DataFrame | None = None) -> DataFrame:
+        """Claims (``claims``, where they are stored already) with all five states and an end for some of them."""
+        return (claims or self.claims()).withColumn(
             "state",
             F.expr("case when claim_id % 17 = 3 then 'SUPERSEDED' when claim_id % 19 = 4 then 'REVOKED' else state end"),
         ).withColumn("effective_until", F.expr("case when claim_id % 4 = 1 then effective_from + interval 700 day end"))
 
-    def grants(self) -> DataFrame:
-        """Licenses with versions, all five states, lists of permitted and prohibited uses and open ends."""
-        # One row for each id, as in a table with that key.
-        first = F.min(F.struct("effective_from", "state", "permitted_use", "tenant_id", "effective_until")).alias("m")
-        rows = self.licenses().groupBy("license_id", "claim_id", "work_id").agg(first)
-        return rows.select("license_id", "claim_id", "work_id", "m.*").selectExpr(
+    def first_licenses(self) -> DataFrame:
+        """One row for each license id, as in a table with that key."""
+        first = F.min(F.struct("effective_from", "state", "permitted_use", "tenant_id")).alias("m")
+        return self.licenses().groupBy("license_id", "claim_id", "work_id").agg(first).select("license_id", "claim_id", "work_id", "m.*")
+
+    def grants(self, rows: DataFrame | None = None) -> DataFrame:
+        """Licenses (``rows``: those of ``first_licenses``, where they are stored already) with versions, all five states, lists of
+        permitted and prohibited uses and open ends."""
+        return (rows or self.first_licenses()).selectExpr(
             "license_id", "claim_id", "if(license_id % 27 = 2, work_id + 1, work_id) as work_id", "tenant_id", "license_id % 10 as version",
             "case when license_id % 23 = 5 then 'SUPERSEDED' when license_id % 29 = 6 then 'EXPIRED' else state end as state",
             "if(license_id % 5 = 0, array('marketing', 'editorial'), array(permitted_use)) as permitted_uses",
             "case when license_id % 6 = 1 then array('marketing') when license_id % 10 = 3 then array('editorial', 'resale') "
             "else cast(array() as array<string>) end as prohibited_uses",
             "if(license_id % 13 = 0, null, effective_from + make_interval(0, 0, 0, 0, 0, 0, license_id % 86400)) as effective_from",
-            "if(license_id % 8 = 0, null, effective_until + interval 400 day) as effective_until",
+            "if(license_id % 8 = 0, null, effective_from + interval 430 day) as effective_until",
         )
 
     def rights_log(self, kind: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
