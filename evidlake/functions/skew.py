@@ -13,21 +13,24 @@ def hot_threshold(df: DataFrame) -> int:
 
 
 def join_unique(
-    big: DataFrame, unique: DataFrame, key: str, row_id: str, how: str = "left", salts: int = 64
+    big: DataFrame, unique: DataFrame, key: str, row_id: str, how: str = "left", salts: int = 64, hot: DataFrame | None = None
 ) -> DataFrame:
     """Join ``big`` to a side holding at most one row per ``key``, spreading hot keys over salts.
 
     A key is hot when it has more than ``spark.evidlake.hotKeyRows`` rows, so at most rows/threshold keys
-    are hot; only those few rows of ``unique`` are replicated, once per salt. Every row is kept.
+    are hot; only those few rows of ``unique`` are replicated, once per salt. Every row is kept. ``hot``: those keys, where they are
+    known already, in a column of the name ``key``; every task then holds them, and rows are sent once.
     """
-    limit = hot_threshold(big)
-    hot = (
-        big.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("__hk"))
-        .agg(F.count(F.lit(1)).alias("__hn"))
-        .where(F.col("__hn") > limit)
-        .select("__hk")
-    )
+    if hot is not None:
+        hot = F.broadcast(hot.select(F.col(key).alias("__hk")))
+    else:
+        hot = (
+            big.where(F.col(key).isNotNull())
+            .groupBy(F.col(key).alias("__hk"))
+            .agg(F.count(F.lit(1)).alias("__hn"))
+            .where(F.col("__hn") > hot_threshold(big))
+            .select("__hk")
+        )
     salted = (
         big.join(hot, F.col(key) == F.col("__hk"), "left")
         .withColumn(

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidlake.functions.expr import cascade, codes, effective_at, joined
 from evidlake.functions.running import running
-from evidlake.functions.skew import join_unique
+from evidlake.functions.skew import hot_threshold, join_unique
 from evidlake.session import stored
 
 DAY_US = 86_400_000_000
-MINUTE_US = 60_000_000
 # States that never authorize.
 LICENSE_BLOCKED = ("SUSPENDED", "SUPERSEDED", "REVOKED", "EXPIRED")
 CLAIM_BLOCKED = ("DISPUTED", "SUPERSEDED", "REVOKED")
 # Before every instant.
 ALWAYS = -(1 << 62)
+# What the sweep adds up, and how often an instant is asked about.
+_SWEPT = ("permits", "vetoes", "started", "ended", "asked")
 
 
 def gated(rows: DataFrame, verdicts: DataFrame, id_column: str, subject: str) -> DataFrame:
@@ -56,16 +58,13 @@ def license_authorizes(uses: DataFrame, licenses: DataFrame) -> DataFrame:
     No use is paired with a license. Permissions and vetoes are counted apart per (work, use): each license adds to them
     when it begins and takes away when it ends; changes and questions are reduced to one row for each instant before they are
     swept in time order, so neither many licenses of a work nor many uses at one time gather in a task. The sweep is
-    chunked by day and minute, and every use then looks its instant up.
+    chunked by day: a work's day is dealt once, where both what began and ended and what each use may do are added up; the
+    days' totals are carried on as a small table, and every use then looks its instant up.
     """
     c = F.col
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    # Read for the changes and for the totals; the integrity join behind it runs once.
-    rows = stored(
-        _listed(licenses).select("work_id", "state", "permitted_uses", "prohibited_uses", "from_us", "until_us", "verified"), "licenses"
-    )
+    rows = _listed(licenses).select("work_id", "state", "permitted_uses", "prohibited_uses", "from_us", "until_us", "verified")
     blocked = c("state").isin(*LICENSE_BLOCKED)
-    active = rows.where(c("verified") & ~blocked)
     starts = F.coalesce("from_us", F.lit(ALWAYS))
     terms = F.array(
         F.struct(starts.alias("at_us"), one.alias("sign"), one.alias("started"), zero.alias("ended")),
@@ -73,50 +72,62 @@ def license_authorizes(uses: DataFrame, licenses: DataFrame) -> DataFrame:
         F.struct(F.greatest(starts, "until_us").alias("at_us"), (-one).alias("sign"), zero.alias("started"), one.alias("ended")),
     )
     terms = F.filter(terms, lambda t: (t["sign"] > 0) | c("until_us").isNotNull())
-    allowed = F.array_except("permitted_uses", "prohibited_uses")
+    # "u:" and "s:" keep uses and states apart.
+    use = lambda u: F.concat(F.lit("u:"), u)
+    effect = lambda u, permits, vetoes: F.struct(u.alias("use_key"), permits.alias("permits"), vetoes.alias("vetoes"))
     effects = F.concat(
-        F.array(F.struct(F.lit("*").alias("use_key"), zero.alias("permits"), zero.alias("vetoes"))),
-        F.transform(allowed, lambda u: F.struct(u.alias("use_key"), one.alias("permits"), zero.alias("vetoes"))),
-        F.transform(F.array_distinct("prohibited_uses"), lambda u: F.struct(u.alias("use_key"), zero.alias("permits"), one.alias("vetoes"))),
+        F.transform(F.array_except("permitted_uses", "prohibited_uses"), lambda u: effect(use(u), one, zero)),
+        F.transform(F.array_distinct("prohibited_uses"), lambda u: effect(use(u), zero, one)),
     )
-    changes = active.select("work_id", F.explode(terms).alias("t"), effects.alias("es")).select("work_id", "t", F.explode("es").alias("e"))
+    effects = F.when(F.size(effects) > 0, effects).otherwise(F.array(effect(F.lit("u"), zero, zero)))
     # Kind 0 sorts before the questions of the same instant: a license is effective from its first moment on, and no
-    # longer at its last. "u:" keeps a use that is called "*" apart.
-    use = lambda u: F.concat(F.lit("u:"), u)
-    key = F.when(c("e.use_key") == "*", F.when((c("e.permits") + c("e.vetoes")) == 0, F.lit("*")).otherwise(use(c("e.use_key")))).otherwise(use(c("e.use_key")))
-    changes = changes.select(
-        "work_id", key.alias("use_key"), c("t.at_us").alias("at_us"), F.lit(0).alias("kind"),
-        (c("t.sign") * c("e.permits")).alias("permits"), (c("t.sign") * c("e.vetoes")).alias("vetoes"),
-        c("t.started").alias("started"), c("t.ended").alias("ended"),
+    # longer at its last. Licenses without a term (kind -1) are only counted.
+    change = lambda use_key, at, kind, *n: F.struct(
+        use_key.alias("use_key"), at.alias("at_us"), F.lit(kind).alias("kind"), *[x.alias(y) for x, y in zip(n, _SWEPT)]
     )
-    asked = uses.where("work_id is not null and intended_use is not null and at_us is not null").select("work_id", "intended_use", "at_us").distinct()
+    dated = F.flatten(
+        F.transform(terms, lambda t: F.transform(effects, lambda e, i: change(
+            e["use_key"], t["at_us"], 0, t["sign"] * e["permits"], t["sign"] * e["vetoes"], F.when(i == 0, t["started"]).otherwise(zero),
+            F.when(i == 0, t["ended"]).otherwise(zero), zero,
+        )))
+    )
+    counted = lambda name: F.array(change(name, F.lit(ALWAYS), -1, one, zero, zero, zero, zero))
+    entries = F.when(~c("verified"), counted(F.lit("s:"))).when(blocked, counted(F.concat(F.lit("s:"), c("state")))).when(~blocked, dated)
+    changes = rows.select("work_id", F.explode(entries).alias("e")).select("work_id", "e.*")
+    asked = uses.where("work_id is not null and intended_use is not null and at_us is not null")
     questions = asked.select(
-        "work_id", F.explode(F.array(F.lit("*"), use(c("intended_use")))).alias("use_key"), "at_us", F.lit(1).alias("kind"),
-        *[zero.alias(n) for n in ("permits", "vetoes", "started", "ended")],
-    )
-    sums = [F.sum(n).alias(n) for n in ("permits", "vetoes", "started", "ended")]
-    # Swept more than once, level by level: computed once.
-    line = stored(changes.unionByName(questions).groupBy("work_id", "use_key", "at_us", "kind").agg(*sums), "changes")
-    line = line.withColumn("day", F.floor(c("at_us") / DAY_US).cast("bigint")).withColumn("minute", F.floor(c("at_us") / MINUTE_US).cast("bigint"))
-    swept = running(
-        line, ["work_id", "use_key"], [("day", True), ("minute", True)], [("at_us", True), ("kind", True)],
-        {f"n_{n}": (c(n), "sum") for n in ("permits", "vetoes", "started", "ended")},
-    ).where("kind = 1")
-    swept = stored(swept.select("work_id", "use_key", "at_us", *[f"n_{n}" for n in ("permits", "vetoes", "started", "ended")]), "swept")
-    at_all = swept.where("use_key = '*'").select("work_id", "at_us", c("n_started").alias("begun"), c("n_ended").alias("over"))
-    at_use = swept.where("use_key <> '*'").select(
-        "work_id", F.substring("use_key", 3, 1 << 30).alias("intended_use"), "at_us", c("n_permits").alias("permitting"), c("n_vetoes").alias("prohibiting")
-    )
-    ok = c("verified")
-    totals = rows.groupBy("work_id").agg(
-        F.count_if(ok & ~blocked).alias("active"),
-        *[F.count_if(ok & (c("state") == s)).alias(f"state_{s.lower()}") for s in LICENSE_BLOCKED],
-        F.count_if(~ok).alias("unverified"),
-    )
-    known = at_use.join(at_all, ["work_id", "at_us"]).join(totals, "work_id", "left")
-    together = lambda df: F.to_json(F.struct(*[df[n] for n in ("work_id", "intended_use", "at_us")]), {"ignoreNullFields": "false"})
-    known = known.withColumn("__ask", together(known)).drop("work_id", "intended_use", "at_us")
-    out = join_unique(uses.withColumn("__ask", together(uses)), known, "__ask", "event_id")
+        "work_id", use(c("intended_use")).alias("use_key"), "at_us", F.lit(1).alias("kind"), *[zero.alias(n) for n in _SWEPT[:4]], one.alias("asked")
+    )
+    line = changes.unionByName(questions).groupBy("work_id", "use_key", "at_us", "kind").agg(*[F.sum(n).alias(n) for n in _SWEPT])
+    line = line.withColumn("day", F.expr(f"at_us div {DAY_US}")).repartition("work_id", "day")
+    in_day = Window.partitionBy("work_id", "day").orderBy("at_us", "kind")
+    in_use = Window.partitionBy("work_id", "day", "use_key").orderBy("at_us", "kind")
+    so_far = lambda n, w: F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(n)
+    swept = line.select(
+        "work_id", "day", "use_key", "at_us", "kind", "asked", so_far("permits", in_use), so_far("vetoes", in_use), so_far("started", in_day),
+        so_far("ended", in_day), F.lead("kind").over(in_use).isNull().alias("ends_use"), F.lead("kind").over(in_day).isNull().alias("ends_day"),
+    )
+    swept = stored(swept.where("kind = 1 or ends_use or ends_day"), "swept")
+    # What the days before left: a row for each day of a work, and of a use of it.
+    days = swept.where("ends_day").select("work_id", "day", "started", "ended")
+    days = running(days, ["work_id"], [], [("day", True)], {"begun": (c("started"), "sum"), "over": (c("ended"), "sum")}, inclusive=False)
+    lasting = swept.where("ends_use and kind >= 0").select("work_id", "use_key", "day", "permits", "vetoes")
+    lasting = running(
+        lasting, ["work_id", "use_key"], [], [("day", True)], {"permitting": (c("permits"), "sum"), "prohibiting": (c("vetoes"), "sum")}, inclusive=False
+    )
+    state = lambda s: F.sum(F.when((c("kind") == -1) & (c("use_key") == f"s:{s}"), c("permits")))
+    totals = swept.groupBy("work_id").agg(
+        F.sum(F.when(c("ends_day"), c("started"))).alias("active"), *[state(s).alias(f"state_{s.lower()}") for s in LICENSE_BLOCKED], state("").alias("unverified")
+    )
+    before = lasting.drop("permits", "vetoes").join(days.drop("started", "ended"), ["work_id", "day"]).join(totals, "work_id")
+    known = swept.where("kind = 1").withColumn("__ask", F.struct("work_id", "use_key", "at_us"))
+    hot = known.where(c("asked") > hot_threshold(uses)).select("__ask")
+    known = known.join(before, ["work_id", "use_key", "day"]).select(
+        "__ask", (c("permitting") + c("permits")).alias("permitting"), (c("prohibiting") + c("vetoes")).alias("prohibiting"),
+        (c("begun") + c("started")).alias("begun"), (c("over") + c("ended")).alias("over"), *totals.columns[1:],
+    )
+    out = uses.select("event_id", F.struct("work_id", use(c("intended_use")).alias("use_key"), "at_us").alias("__ask"))
+    out = join_unique(out, known, "__ask", "event_id", hot=hot).withColumn("work_id", c("__ask.work_id"))
     n = lambda name: F.coalesce(c(name), zero)
     out = out.select(
         "event_id", "work_id", n("permitting").alias("permitting"), n("prohibiting").alias("prohibiting"),
