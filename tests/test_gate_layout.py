@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from evidlake.plans import rights as plans
 from evidlake.plans.rights import gated_rights
 from evidlake.session import stored_by
 from evidlake.sources.tables import Tables
@@ -42,3 +43,12 @@ def test_buckets_keep_every_row(spark):
 
 def test_dry_run_sends_no_scan(merging):
     assert sent(entry.queries()["jn21_policy_dry_run"](merging, SF)) == []
+
+
+def test_evaluation_sends_no_scan_unless_facts_are_many(merging, monkeypatch):
+    few = entry.queries()["dc12_policy_evaluation"](merging, SF)
+    assert sent(few) == []
+    monkeypatch.setattr(plans, "FEW_FACTS", 0)
+    many = entry.queries()["dc12_policy_evaluation"](merging, SF)
+    assert sent(many) and few.columns == many.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
