@@ -11,7 +11,7 @@ from evidlake.operators import rights as R
 from evidlake.operators.fusion import origin_state
 from evidlake.plans.fusion import _STATES
 from evidlake.plans.registry import query
-from evidlake.session import stored, stored_by
+from evidlake.session import spread, stored, stored_by
 from evidlake.sources.tables import Tables
 
 AS_OF = "1999-06-15 00:00:00"
@@ -202,7 +202,8 @@ def _policy_sql(rules: dict) -> str:
 
 
 def with_facts(t: Tables):
-    s = t.scans().selectExpr(
+    # Evaluation is heavy per row: three numbers of each scan are dealt out where a scan of the table has few splits.
+    s = t.scans(spread(t.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")).selectExpr(
         "*", "element_at(array('REQUIRED', 'INFORMATIONAL', 'DISABLED'), cast(scan_id % 3 + 1 as int)) as origin_mode", "style_tier in ('HIGH', 'REVIEW') as style_review"
     )
     # One row for each work and use: where they are few, no scan is sent to meet them.

@@ -278,8 +278,8 @@ class Tables:
         leaves = newest.where("id % 53 <> 0").selectExpr("event_id", "payload_digest as packet_hash")
         return rows, newest.unionByName(first), leaves
 
-    def scans(self) -> DataFrame:
-        return self.raw("orders").selectExpr(
+    def scans(self, orders: DataFrame | None = None) -> DataFrame:
+        return (orders or self.raw("orders")).selectExpr(
             "o_orderkey as scan_id", "o_custkey as tenant_id",
             "case o_orderkey % 5 when 0 then 'MATCH_FOUND' when 1 then 'INCONCLUSIVE' "
             "when 2 then 'NO_MATCH_IN_CHECKED_SOURCES' when 3 then 'SCOPE_INCOMPLETE' else 'ERROR' end as match_status",
